@@ -1,0 +1,84 @@
+from __future__ import annotations
+
+import random
+import re
+
+from gapline.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (2 if i % 2 else 1)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def brute(text: str) -> list[str]:
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False,
+                "card": 13 <= len(digits) <= 19 and luhn(digits),
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def spans(spark, texts, kinds=pii.BASE):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.find_pii(df).select("doc_id", pii.span_digest(kinds).alias("s")).collect()
+    return [r.s for r in sorted(got)]
+
+
+def test_planned_cases(spark):
+    texts = [
+        None,
+        "",
+        "mail a.b@c.de or x@y.z.w, (ü) _d@e.f-g.h",
+        "a@b.c_d@e.f x@y @z.z a@@b.c",
+        "ip 1.2.3.4.5 1.2.3.256 00001.2.3.4 0.0.0.0 1.2.3.0000000000000255",
+        "card 4111 1111 1111 1111, 4111-1111-1111-1112 and 4111  1111 1111 1111 x5500005555555559",
+        "call +1 (988) 555-2485 or +49.30.123456-, +1 ((((, +1234567",
+        "é" * 50 + "\U0001f600 +1 (988) 555-2485 \U0001f600 a@b.cd",
+        "IBAN GB82 WEST 1234 5698 7654 32 and GB82WEST12345698765433",
+    ]
+    assert spans(spark, texts) == [",".join(brute(t or "")) for t in texts]
+    assert spans(spark, texts, tuple(pii.KINDS))[8].endswith("iban:5:32")
+
+
+def test_random_texts(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("0123456789 .-+()@ab_ ü1.2") for _ in range(rng.randint(0, 300))) for _ in range(300)]
+    texts += [" ".join(rng.choice(["4111111111111111", "+1 988 555 2485", "a@b.c", "9.9.9.9", "x"]) for _ in range(40))]
+    assert spans(spark, texts) == [",".join(brute(t)) for t in texts]
+
+
+def test_very_long_texts(spark):
+    texts = ["1." * 60_000, "a" * 120_000, "1 " * 60_000, "+1" + "(" * 100_000, "a@" + "b." * 50_000 + "c", "7" * 100_000]
+    assert spans(spark, texts) == [",".join(brute(t)) if t[0] != "a" or "@" in t else "" for t in texts]
+
+
+def test_context_raises_the_score(spark):
+    df = spark.createDataFrame([(1, "call +1 (988) 555-2485"), (2, "xxxx +1 (988) 555-2485")], "doc_id long, text string")
+    got = {r.doc_id: r.pii_phone[0].score for r in pii.find_pii(df).collect()}
+    assert got[1] > got[2]
+
+
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, kind string, start int, value string")
+    assert pii.find_pii(df).count() == 0
+    df = spark.createDataFrame([(1, "a@b.c", "k", 1, "v")] * 2, "doc_id long, text string, kind string, start int, value string")
+    assert [len(r.pii_email) for r in pii.find_pii(df).collect()] == [1, 1]
