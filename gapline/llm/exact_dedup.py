@@ -112,11 +112,10 @@ class DigestIndex:
         limit = max(100, -(-rows.count() // 1000))
         keep = self.table().select("text_sha256", "keep_id", "keep_row", F.col("batch").alias("of"))
         size = F.col("total").alias("group_size")
-        hot = F.broadcast(
-            sizes.filter(F.col("total") > limit).join(keep, "text_sha256").select("text_sha256", "keep_id", "keep_row", "of", size)
-        )
-        rest = sizes.filter(F.col("total") <= limit).join(keep, "text_sha256").select("text_sha256", "keep_id", "keep_row", "of", size)
-        both = rows.join(hot, "text_sha256").unionByName(rows.join(rest, "text_sha256"))
+        found = sizes.join(keep, "text_sha256").select("text_sha256", "keep_id", "keep_row", "of", size)
+        hot = F.broadcast(found.filter(F.col("group_size") > limit))
+        cold = rows.join(hot.select("text_sha256"), "text_sha256", "left_anti")
+        both = rows.join(hot, "text_sha256").unionByName(cold.join(found, "text_sha256"))
         return both.withColumn("kept", (F.col("of") == batch) & (F.col("__row") == F.col("keep_row")))
 
 
