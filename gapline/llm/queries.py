@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import decontaminate, exact_dedup, ngram_join, packing, pii, substring_dedup, url_filter
+from gapline.llm import (
+    decontaminate,
+    exact_dedup,
+    langid,
+    ngram_join,
+    packing,
+    pii,
+    substring_dedup,
+    toxicity,
+    url_filter,
+    warc,
+)
 
 #: Fixed rules of the URL query.
 URL_RULES = ("block com/en/", "allow example.com/en/7", "block net/de/", "block example.net/de/8", "block org/es/")
@@ -28,6 +39,35 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Whether nothing may be learned from a row; a row without an id is held out."""
+    crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
+    return F.coalesce(crc % 3 == 1, F.lit(True))
+
+
+def toxicity_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.learn_lexicon(docs.select("doc_id", "text"), labels.filter(~held_out()))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity_lexicon(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn_profiles(docs.select("doc_id", "text", "lang").filter(~held_out()))
+    judged = langid.predict_language(docs.select("doc_id", "text"), profiles)
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -43,6 +83,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark)
     return index.add(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -68,8 +112,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_substring_dedup,
+            op2_toxicity,
+            op3_language,
             op4_ngram_join,
             op5_pii,
+            op6_warc,
             op7_exact_dedup,
             op8_packing,
             op9_url_filter,

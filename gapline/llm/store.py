@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,12 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(self.path(name))
+        self.free()
+
+    def free(self) -> None:
+        """Let go of the shuffle files of finished jobs, which Spark keeps until their plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm

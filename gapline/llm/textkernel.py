@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from gapline.deploy import ship
+
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text worked on at once, if no single text is longer.
@@ -110,7 +112,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def bound_arrow_batches(spark, mb: int = 16) -> None:
-    """Keep batches that go to Python small, whatever the length of the texts."""
+    """Send the package to the workers and keep batches that go to Python small, whatever the length of the texts."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     try:
         if int(spark.conf.get(key, "0").rstrip("b") or 0) in (0, 2**31 - 1, 64 << 20, 256 << 20):
