@@ -36,6 +36,7 @@ component is null unless a row with an id is linked.  Repeated rows are linked.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,20 @@ LOAD, NARROW, WIDE = 64, 1 << 16, 1 << 24
 SEGMENT = 1 << 14
 #: Members of a block in the comparison of lists.
 SIDE = 256
+#: Most bits of a set's parity.
+PARITY = 4096
+#: Bits of the filter of signatures that sets share: 16 for each, within limits.
+FILTER_BITS, FILTER_WIDE = 16, 1 << 28
+
+
+@cache
+def _poly() -> Poly:
+    return Poly(21)
 
 
 def _sets(batch_text: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ascending distinct element hashes) of each text."""
-    poly = Poly(21)
+    poly = _poly()
     for lo, hi, data, bounds in pieces(batch_text):
         starts, ends, first = find_words(data, bounds)
         words = poly.ranges(data, starts, ends, poly.folded)
@@ -78,17 +88,44 @@ def _set_id(elements: np.ndarray) -> int:
     return int(signed(mix((sums * np.array([1, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], U64)).sum(keepdims=True, dtype=U64)))[0])
 
 
+def _parity(elements: np.ndarray) -> bytes:
+    """A bit array in which each element flips one bit; as many bits as elements, up to a power of two."""
+    size = min(max(64, 1 << len(elements).bit_length()), PARITY)
+    odd = np.bincount((elements >> U64(40)).astype(np.int64) & size - 1, minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _distance(x: bytes, y: bytes) -> int:
+    """At most the size of the sets' symmetric difference; the longer array is folded onto the shorter one."""
+    if len(x) > len(y):
+        x, y = y, x
+    a = int.from_bytes(x, "little")
+    for k in range(0, len(y), len(x)):
+        a ^= int.from_bytes(y[k : k + len(x)], "little")
+    return a.bit_count()
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose parities do not rule a link out.  Columns: a, b, n and parity of either."""
+    for batch in batches:
+        n = (batch.column(2).to_numpy() + batch.column(4).to_numpy()) * (100 - percent) // (100 + percent)
+        x, y = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+        keep = pa.array([_distance(x[i], y[i]) <= n[i] for i in range(batch.num_rows)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
 def _describe(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [(_set_id(s), len(s)) for _, s in _sets(batch.column(2), shingle)]
+        out = [(_set_id(s), len(s), _parity(s)) for _, s in _sets(batch.column(2), shingle)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
                 pa.array([x[0] for x in out], pa.int64()),
                 pa.array([x[1] for x in out], pa.int64()),
+                pa.array([x[2] for x in out], pa.binary()),
             ],
-            names=["doc", "twin", "sid", "n"],
+            names=["doc", "twin", "sid", "n", "parity"],
         )
 
 
@@ -143,32 +180,60 @@ def frequent_cells(docs: DataFrame, shingle: int, elements: int) -> tuple[np.nda
     return bits, width
 
 
+def _mark(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """This partition's signatures as bits, in segments."""
+    bits = np.zeros(width, bool)
+    for batch in batches:
+        bits[(batch.column(0).to_numpy().view(U64) & U64(width - 1)).astype(np.int64)] = True
+    packed = np.packbits(bits, bitorder="little")
+    for k in range(0, len(packed), SEGMENT):
+        part = packed[k : k + SEGMENT]
+        if part.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k // SEGMENT], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["segment", "cells"]
+            )
+
+
+def _either(table: pa.Table) -> pa.Table:
+    out = np.zeros(SEGMENT, np.uint8)
+    for x in table.column("cells"):
+        part = np.frombuffer(x.as_buffer(), np.uint8)
+        out[: len(part)] |= part
+    return pa.table({"segment": table.column("segment")[:1], "cells": pa.array([out.tobytes()], pa.binary())})
+
+
+def shared_filter(signatures: DataFrame, count: int) -> np.ndarray:
+    """Bits that are set for every signature; a wrongly set one only lets a useless row through."""
+    width = int(min(max(NARROW, 1 << (FILTER_BITS * max(1, count)).bit_length()), FILTER_WIDE))
+    schema = "segment int, cells binary"
+    parts = signatures.mapInArrow(lambda it: _mark(it, width), schema)
+    for salt in (8, 1):
+        parts = parts.groupBy("segment", F.pmod(F.xxhash64("cells"), F.lit(salt))).applyInArrow(_either, schema)
+    bits = np.zeros(width // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        part = np.frombuffer(row["cells"], np.uint8)[: width // 8]
+        bits[row["segment"] * SEGMENT :][: len(part)] = part
+    return bits
+
+
 def budgets(n: int, percent: int) -> tuple[int, int]:
     """(d, D): unshared elements of a set of n, and of it and its largest partner together."""
     return n - -(-percent * n // 100), (n + 100 * n // percent) * (100 - percent) // (100 + percent)
 
 
 def _signatures(
-    batches: Iterator[pa.RecordBatch], shingle: int, percent: int, bits: np.ndarray, width: int
+    batches: Iterator[pa.RecordBatch], shingle: int, percent: int, bits: np.ndarray, width: int, wanted: np.ndarray | None
 ) -> Iterator[pa.RecordBatch]:
+    """(sig, sid, info) of the sets; ``info`` packs size, number of rare elements and whether sig is a combination."""
     seen: set[int] = set()
     for batch in batches:
-        signs, sids, sizes, rares, pairs = [], [], [], [], []
+        signs, sids, infos, held = [], [], [], 0
 
         def flush():
             counts = [len(x) for x in signs]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(np.concatenate(signs))),
-                    pa.array(np.repeat(np.array(sids, np.int64), counts)),
-                    pa.array(np.repeat(np.array(sizes, np.int32), counts)),
-                    pa.array(np.repeat(np.array(rares, np.int32), counts)),
-                    pa.array(np.repeat(np.array(pairs, bool), counts)),
-                ],
-                names=["sig", "sid", "n", "rare", "pair"],
-            )
+            columns = [np.concatenate(signs).view(np.int64), np.repeat(np.array(sids, np.int64), counts), np.repeat(np.array(infos, np.int64), counts)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "sid", "info"])
 
-        held = 0
         for _, s in _sets(batch.column(0), shingle):
             n = len(s)
             sid = _set_id(s)
@@ -179,18 +244,20 @@ def _signatures(
             cell = (s & U64(width - 1)).astype(np.int64)
             hot = (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
             rare, often = s[~hot], s[hot]
-            for out, is_pair in ((mix(rare[: d + 1]), False), (None, True)):
-                if is_pair:
-                    if len(rare) > d or both < len(rare):
-                        continue
-                    top = often[: d + both - 2 * len(rare) + 2]
-                    out = mix(mix(top[:-1]) * U64(3) + top[1:])
+            made = [(mix(rare[: d + 1]), 0)]
+            if len(rare) <= min(d, both):
+                top = often[: d + both - 2 * len(rare) + 2]
+                made.append((mix(mix(top[:-1]) * U64(3) + top[1:]), 1))
+            for out, is_pair in made:
+                if wanted is not None:
+                    at = out & U64(len(wanted) * 8 - 1)
+                    out = out[(wanted[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1]
                 if len(out):
-                    signs.append(out), sids.append(sid), sizes.append(n), rares.append(len(rare)), pairs.append(is_pair)
+                    signs.append(out), sids.append(sid), infos.append(n << 32 | len(rare) << 1 | is_pair)
                     held += len(out)
             if held > 200_000:
                 yield flush()
-                signs, sids, sizes, rares, pairs, held = [], [], [], [], [], 0
+                signs, sids, infos, held = [], [], [], 0
         if signs:
             yield flush()
 
@@ -308,36 +375,45 @@ def jaccard_components(
         F.col(text_col).alias("__text"),
     )
     rows = scratch.keep(
-        docs.mapInArrow(lambda it: _describe(it, shingle), "doc long, twin int, sid long, n long"), "rows"
+        docs.mapInArrow(lambda it: _describe(it, shingle), "doc long, twin int, sid long, n long, parity binary"), "rows"
     )
     sets = scratch.keep(
         rows.filter("n > 0")
         .groupBy("sid")
-        .agg(F.min(F.struct("doc", "twin")).alias("best"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-        .select("sid", "best.doc", "best.twin", "n", "copies"),
+        .agg(F.min(F.struct("doc", "twin", "parity")).alias("best"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+        .select("sid", "best.doc", "best.twin", "best.parity", "n", "copies"),
         "sets",
     )
     elements = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits, width = frequent_cells(docs, shingle, elements)
     shared = spark.sparkContext.broadcast(bits)
-    index = docs.select("__text").mapInArrow(
-        lambda it: _signatures(it, shingle, percent, shared.value, width), "sig long, sid long, n int, rare int, pair boolean"
+    index = lambda wanted: docs.select("__text").mapInArrow(
+        lambda it: _signatures(it, shingle, percent, shared.value, width, wanted and wanted.value), "sig long, sid long, info long"
     )
-
     lists = scratch.keep(
-        index.groupBy("sig")
-        .agg(F.min(F.struct("rare", "sid", "n")).alias("rep"), F.min("sid").alias("lo"), F.max("sid").alias("hi"))
-        .filter("lo < hi")
-        .select("sig", "rep.sid", "rep.n", "rep.rare")
-        .toDF("sig", "rep", "rep_n", "rep_rare"),
-        "lists",
+        index(None).groupBy("sig").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("sig"), "lists"
+    )
+    wanted = spark.sparkContext.broadcast(shared_filter(lists, lists.count()))
+    scratch.free()
+    members = index(wanted).join(lists, "sig", "left_semi").select(
+        "sig",
+        "sid",
+        F.shiftright("info", 32).cast("int").alias("n"),
+        F.shiftright(F.col("info").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int").alias("rare"),
+        (F.col("info") % 2 == 1).alias("pair"),
     )
-    members = scratch.keep(index.join(lists, "sig"), "members")
+    members = scratch.keep(members, "members")
     scratch.drop("lists")
+    reps = members.groupBy("sig").agg(F.min(F.struct("rare", "sid", "n")).alias("rep"))
+    reps = scratch.keep(reps.select("sig", "rep.sid", "rep.n", "rep.rare").toDF("sig", "rep", "rep_n", "rep_rare"), "reps")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link."""
-        pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
+        known = sets.select("sid", "n", "parity")
+        pairs = scratch.keep(pairs.distinct(), f"{name}-all")
+        pairs = pairs.join(known.toDF("a", "n_a", "parity_a"), "a").join(known.toDF("b", "n_b", "parity_b"), "b")
+        pairs = pairs.select("a", "b", "n_a", "parity_a", "n_b", "parity_b").mapInArrow(lambda it: _near(it, percent), "a long, b long")
+        pairs = scratch.keep(pairs, f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         where = scratch.keep(sets.join(wanted, "sid", "left_semi").select("sid", "doc", "twin"), f"{name}-where")
         on = (docs["__doc"] == where["doc"]) & (docs["__twin"] == where["twin"])
@@ -348,11 +424,11 @@ def jaccard_components(
         full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         found = full.mapInArrow(lambda it: _verify(it, shingle, percent), "a long, b long")
         found = scratch.keep(found, f"{name}-links")
-        scratch.drop(f"{name}-pairs", f"{name}-where", f"{name}-texts")
+        scratch.drop(f"{name}-all", f"{name}-pairs", f"{name}-where", f"{name}-texts")
         return found
 
     unlike = (F.col("rare") + F.col("rep_rare")) * (100 + percent) > (F.col("n") + F.col("rep_n")) * (100 - percent)
-    star = members.filter(
+    star = members.join(reps, "sig").filter(
         (F.col("sid") != F.col("rep")) & _size_ok(F.col("n"), F.col("rep_n"), percent) & ~(F.col("pair") & unlike)
     ).select(F.least("sid", "rep").alias("a"), F.greatest("sid", "rep").alias("b"))
     labels = sets.select("sid", F.struct("doc", "twin", "sid").alias("label"))
