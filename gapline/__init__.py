@@ -1,0 +1 @@
+"""Interval analytics for insertions in long-read alignments, on Spark DataFrames."""
