@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gapline.llm.packing import Encoder, best_fit, pack_documents
@@ -27,8 +28,8 @@ def test_encoder_equals_the_tokenizer():
     texts += ["", "<|endoftext|> it's we'LL Don't", "Word. word, WORD! wörd", "a" * 5000, "İ. Éa."]
     coder, right = Encoder(open(PATH, encoding="utf-8").read()), reference()
     for _ in range(2):
-        got = coder.encode([t.encode() for t in texts])
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [right(t) for t in texts]
+        got = coder.encode(pa.array([*texts, None]))
+        assert [x.tolist() for x in got] == [right(t) for t in [*texts, ""]]
 
 
 def placed(rows, capacity):
