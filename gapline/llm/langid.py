@@ -108,7 +108,7 @@ class Profiles:
     """Profiles ready for comparison."""
 
     def __init__(self, profiles: dict[str, list[int]], top: int = TOP):
-        self.names, self.top = sorted(profiles), top
+        self.names, self.top = sorted(k for k, codes in profiles.items() if codes), top
         self.tables = []
         for name in self.names:
             codes = np.array(profiles[name], np.int64)
