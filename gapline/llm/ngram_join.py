@@ -262,11 +262,39 @@ def _signatures(
             yield flush()
 
 
-def _across(
-    sid: np.ndarray, n: np.ndarray, rare: np.ndarray, comp: np.ndarray, side: np.ndarray, same: bool, pair: bool, percent: int
-) -> tuple[np.ndarray, np.ndarray]:
+class _Parities:
+    """Parities of a block's sets, as one matrix for each length."""
+
+    def __init__(self, parities: list[bytes]):
+        self.size = np.array([len(p) // 8 for p in parities], np.int64)
+        self.place, self.rows = np.empty(len(parities), np.int64), {}
+        for size in np.unique(self.size):
+            own = np.flatnonzero(self.size == size)
+            self.place[own] = np.arange(len(own))
+            self.rows[size] = np.frombuffer(b"".join(parities[k] for k in own), U64).reshape(-1, size)
+
+    def _folded(self, k: np.ndarray, size: int, to: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(self.rows[size][self.place[k]].reshape(len(k), -1, to), axis=1)
+
+    def distance(self, x: np.ndarray, y: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """At most the symmetric differences of the sets x and y."""
+        out = np.empty(len(x), np.int64)
+        for lo in range(0, len(x), step):
+            a, b = x[lo : lo + step], y[lo : lo + step]
+            for p in np.unique(self.size[a]):
+                for q in np.unique(self.size[b]):
+                    k = np.flatnonzero((self.size[a] == p) & (self.size[b] == q))
+                    if len(k):
+                        to = min(p, q)
+                        bits = np.bitwise_count(self._folded(a[k], p, to) ^ self._folded(b[k], q, to))
+                        out[lo + k] = bits.sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _across(columns: dict[str, np.ndarray], parities: list[bytes], same: bool, pair: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs worth verifying between two blocks of one index list, or within one block."""
-    left, right = (np.arange(len(sid)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    sid, n, rare, comp = (columns[k] for k in ("sid", "n", "rare", "comp"))
+    left, right = (np.arange(len(sid)),) * 2 if same else (np.flatnonzero(columns["side"] == k) for k in (0, 1))
     nx, ny = n[left][:, None], n[right][None, :]
     ok = (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
     if pair:
@@ -274,7 +302,11 @@ def _across(
     if same:
         ok &= sid[left][:, None] < sid[right][None, :]
     a, b = np.nonzero(ok)
-    return sid[left][a], sid[right][b]
+    x, y = left[a], right[b]
+    if len(x):
+        near = _Parities(parities).distance(x, y) <= (n[x] + n[y]) * (100 - percent) // (100 + percent)
+        x, y = x[near], y[near]
+    return sid[x], sid[y]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -282,7 +314,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     held: pa.Table | None = None
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
-        column = {k: table.column(k).to_numpy() for k in table.column_names}
+        column = {k: table.column(k).to_numpy() for k in table.column_names if k != "parity"}
+        parities = table.column("parity").to_pylist()
         new = np.ones(len(table), bool)
         new[1:] = False
         for k in ("sig", "i", "j"):
@@ -290,8 +323,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         cuts = np.append(np.flatnonzero(new), len(table))
         xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = [column[k][a:b].astype(np.int64) for k in ("sid", "n", "rare", "comp", "side")]
-            x, y = _across(*part, bool(column["i"][a] == column["j"][a]), bool(column["pair"][a]), percent)
+            part = {k: column[k][a:b].astype(np.int64) for k in ("sid", "n", "rare", "comp", "side")}
+            x, y = _across(part, parities[a:b], bool(column["i"][a] == column["j"][a]), bool(column["pair"][a]), percent)
             xs.append(x), ys.append(y)
         x, y = np.concatenate(xs), np.concatenate(ys)
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
@@ -407,13 +440,16 @@ def jaccard_components(
     reps = members.groupBy("sig").agg(F.min(F.struct("rare", "sid", "n")).alias("rep"))
     reps = scratch.keep(reps.select("sig", "rep.sid", "rep.n", "rep.rare").toDF("sig", "rep", "rep_n", "rep_rare"), "reps")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that link."""
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs whose parities do not rule a link out."""
         known = sets.select("sid", "n", "parity")
-        pairs = scratch.keep(pairs.distinct(), f"{name}-all")
         pairs = pairs.join(known.toDF("a", "n_a", "parity_a"), "a").join(known.toDF("b", "n_b", "parity_b"), "b")
-        pairs = pairs.select("a", "b", "n_a", "parity_a", "n_b", "parity_b").mapInArrow(lambda it: _near(it, percent), "a long, b long")
-        pairs = scratch.keep(pairs, f"{name}-pairs")
+        pairs = pairs.select("a", "b", "n_a", "parity_a", "n_b", "parity_b")
+        return pairs.mapInArrow(lambda it: _near(it, percent), "a long, b long")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link."""
+        pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         where = scratch.keep(sets.join(wanted, "sid", "left_semi").select("sid", "doc", "twin"), f"{name}-where")
         on = (docs["__doc"] == where["doc"]) & (docs["__twin"] == where["twin"])
@@ -424,7 +460,7 @@ def jaccard_components(
         full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         found = full.mapInArrow(lambda it: _verify(it, shingle, percent), "a long, b long")
         found = scratch.keep(found, f"{name}-links")
-        scratch.drop(f"{name}-all", f"{name}-pairs", f"{name}-where", f"{name}-texts")
+        scratch.drop(f"{name}-pairs", f"{name}-where", f"{name}-texts")
         return found
 
     unlike = (F.col("rare") + F.col("rep_rare")) * (100 + percent) > (F.col("n") + F.col("rep_n")) * (100 - percent)
@@ -432,7 +468,7 @@ def jaccard_components(
         (F.col("sid") != F.col("rep")) & _size_ok(F.col("n"), F.col("rep_n"), percent) & ~(F.col("pair") & unlike)
     ).select(F.least("sid", "rep").alias("a"), F.greatest("sid", "rep").alias("b"))
     labels = sets.select("sid", F.struct("doc", "twin", "sid").alias("label"))
-    links = verified(star, "star")
+    links = verified(near(scratch.keep(star.distinct(), "stars")), "star")
     stars = scratch.keep(components(links, labels, scratch, "star-parts"), "star-parts")
 
     # lists whose members are not all in one component yet
@@ -446,13 +482,13 @@ def jaccard_components(
         .select("sig", F.ceil(F.col("size") / SIDE).cast("int").alias("sides")),
         "open",
     )
-    part = own.join(open_lists, "sig").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("sides")).cast("int"))
+    part = own.join(open_lists, "sig").join(sets.select("sid", "parity"), "sid").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("sides")).cast("int"))
     spread = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select(
         "sig",
         F.least("part", "other").alias("i"),
         F.greatest("part", "other").alias("j"),
         F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"),
-        *["sid", "n", "rare", "pair", "comp"],
+        *["sid", "n", "rare", "pair", "comp", "parity"],
     )
     spread = spread.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     across = spread.mapInArrow(lambda it: _blocks(it, percent), "a long, b long")
