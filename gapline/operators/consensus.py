@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapline.functions.cigar import aligned_pairs
+from gapline.functions.sequences import homopolymer_runs
+
 
 def run_length_vote(observed: DataFrame, *, key: Sequence[str], length: str = "length", reference: str = "ref_length") -> DataFrame:
     """The corrected length of each run: the most common other length if strictly more reads have it than the reference's.
@@ -63,22 +66,87 @@ def insertion_consensus(columns: DataFrame, *, key: Sequence[str], inserted: str
     return made.select(*key, F.coalesce(kept, F.lit("")).alias("insertion"), "depth")
 
 
-def query_runs(pairs: DataFrame, runs: DataFrame, *, key: Sequence[str] = ("read_id",), ref_key: Sequence[str] = ()) -> DataFrame:
-    """The stretch of each read that stands for each run of the reference.
+def run_observations(pairs: DataFrame, runs: DataFrame, reads: DataFrame) -> DataFrame:
+    """What each read says about each run of its contig: (contig, run_start, read_id, text, length, voted).
 
-    ``pairs`` has the reads' aligned pairs, ``runs`` run_start and run_end.  The
-    stretch goes from the nearest aligned column before the run to the nearest one
-    behind it: its length is what a read says about the run's length.
+    ``pairs`` has contig, read_id, ordinal, query and ref of the aligned pairs (-1
+    for gaps), ``runs`` contig, run_start, run_end (exclusive) and base, ``reads``
+    read_id and seq.  The stretch of the read begins behind the nearest aligned
+    column before the run, or, if the run's first base is deleted, at the next
+    aligned one within the run; likewise at the end.  ``voted`` is its length, one
+    more if it equals the run's and the read has the same base once more before it.
     """
-    aligned = pairs.filter((F.col("query") >= 0) & (F.col("ref") >= 0))
-    on = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in ref_key]
-    near = (F.col("p.ref") >= F.col("r.run_start") - 1) & (F.col("p.ref") <= F.col("r.run_end"))
-    condition = near
-    for c in on:
-        condition &= c
-    joined = aligned.alias("p").join(runs.alias("r"), condition)
-    made = joined.groupBy(*[F.col(f"p.{k}").alias(k) for k in key], *[F.col(f"r.{k}").alias(k) for k in ref_key], F.col("r.run_start").alias("run_start"), F.col("r.run_end").alias("run_end")).agg(
-        F.max(F.when(F.col("p.ref") < F.col("r.run_start"), F.col("p.query"))).alias("left"),
-        F.min(F.when(F.col("p.ref") >= F.col("r.run_end"), F.col("p.query"))).alias("right"),
+    both = F.when((F.col("query") >= 0) & (F.col("ref") >= 0), F.struct("query", "ref"))
+    order = Window.partitionBy("contig", "read_id").orderBy("ordinal")
+    near = pairs.withColumns(
+        {
+            "left": F.last(both, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+            "right": F.first(both, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
+        }
+    ).filter("ref >= 0")
+    here, last = F.col("query") >= 0, F.col("run_end") - 1
+    begin = F.when(here, F.coalesce(F.col("left.query") + 1, F.col("query"))).otherwise(F.when(F.col("right.ref") <= last, F.col("right.query")))
+    end = F.when(here, F.coalesce(F.col("right.query"), F.col("query") + 1)).otherwise(F.when(F.col("left.ref") >= F.col("run_start"), F.col("left.query") + 1))
+    gone = ~here & (F.col("run_start") == last)
+    keys = ["contig", "read_id", "run_start"]
+    starts = near.join(runs.withColumn("ref", F.col("run_start")), ["contig", "ref"]).select(
+        *keys, "run_end", "base", F.when(gone, 0).otherwise(begin).alias("a"), gone.alias("gone")
+    )
+    ends = near.join(runs.withColumn("ref", last), ["contig", "ref"]).select(*keys, F.when(gone, 0).otherwise(end).alias("b"))
+    size = F.col("b") - F.col("a")
+    before = F.substr("seq", F.col("a"), F.lit(1))
+    once_more = ~F.col("gone") & (F.col("a") > 0) & (size == F.col("run_end") - F.col("run_start")) & (before == F.col("base"))
+    found = starts.join(ends, keys).filter("a is not null and b is not null and b >= a").join(reads.select("read_id", "seq"), "read_id")
+    return found.select(
+        "contig", "run_start", "run_end", "base", "read_id", F.substr("seq", F.col("a") + 1, size).alias("text"), size.alias("length"),
+        (size + once_more.cast("int")).alias("voted"),
+    )
+
+
+def recalibrate(contigs: DataFrame, reads: DataFrame, pairs: DataFrame, longest: int = 20) -> DataFrame:
+    """Contigs (contig, seq) whose homopolymer runs have the length and bases that most reads show.
+
+    Runs of more than ``longest`` bases and runs without reads stay.  The run
+    behind one whose length changed stays too.
+    """
+    runs = contigs.select("contig", F.posexplode(homopolymer_runs(F.col("seq"))).alias("k", "r"))
+    runs = runs.select("contig", "k", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.base").alias("base"))
+    seen = run_observations(pairs, runs.filter(F.col("run_end") - F.col("run_start") <= longest).drop("k"), reads)
+    key = ["contig", "run_start"]
+    votes = run_length_vote(seen.withColumn("ref_length", F.col("run_end") - F.col("run_start")).withColumn("length", F.col("voted")), key=key)
+    fitting = seen.join(votes.select(*key, "new_length"), key).filter(F.col("length") == F.col("new_length"))
+    columns = fitting.select(*key, "base", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("place", "letter"))
+    bases = base_vote(columns, key=[*key, "place"], base="letter", reference="base")
+    text = bases.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "consensus"))), lambda x: x["consensus"]), "").alias("new_text"))
+    made = runs.join(votes, key, "left").join(text, key, "left")
+    old = F.repeat("base", F.col("run_end") - F.col("run_start"))
+    eligible = F.col("new_length").isNotNull()
+    # a run that should vanish does; one whose length no read has stays
+    new = F.when(F.col("new_length") == 0, "").otherwise(F.coalesce("new_text", old))
+    changed = eligible & (F.col("changed") & ((F.col("new_length") == 0) | F.col("new_text").isNotNull()))
+    rows = made.groupBy("contig").agg(
+        F.array_sort(F.collect_list(F.struct("k", eligible.alias("ok"), F.coalesce(changed, F.lit(False)).alias("changed"), old.alias("old"), new.alias("new")))).alias("rows")
+    )
+    zero = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        use = x["ok"] & ~state["skip"]
+        skip = F.when(x["ok"], use & x["changed"]).otherwise(state["skip"])
+        return F.struct(skip.alias("skip"), F.concat(state["out"], F.array(F.when(use, x["new"]).otherwise(x["old"]))).alias("out"))
+
+    return rows.select("contig", F.array_join(F.aggregate("rows", zero, step, lambda s: s["out"]), "").alias("seq"))
+
+
+def pileup_columns(alignments: DataFrame, *, key: Sequence[str], ops: Column, pos: str = "pos", seq: str = "seq") -> DataFrame:
+    """A row for each reference column of each alignment: ref, base (empty for a deletion), inserted (bases that follow)."""
+    rows = alignments.select(*key, F.col(seq).alias("seq"), F.posexplode(aligned_pairs(ops, F.col(pos))).alias("ordinal", "p"))
+    rows = rows.select(*key, "seq", "ordinal", F.col("p.query").alias("query"), F.col("p.ref").alias("ref"))
+    order = Window.partitionBy(*key).orderBy("ordinal")
+    column = F.last(F.when(F.col("ref") >= 0, F.col("ref")), ignorenulls=True).over(order)
+    letter = F.when(F.col("query") >= 0, F.substr("seq", F.col("query") + 1, F.lit(1))).otherwise("")
+    parts = rows.select(*key, "ordinal", "ref", column.alias("column"), letter.alias("letter")).filter("column is not null")
+    made = parts.groupBy(*key, "column").agg(
+        F.max(F.when(F.col("ref") >= 0, F.col("letter"))).alias("base"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ref") < 0, F.struct("ordinal", "letter")))), lambda x: x["letter"]), "").alias("inserted"),
     )
-    return made.filter("left is not null and right is not null").withColumn("length", F.col("right") - F.col("left") - 1)
+    return made.withColumnRenamed("column", "ref")
