@@ -7,6 +7,13 @@ from gapline.llm.url_filter import parse_rule
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in map(parse_rule, URL_RULES))
 
+OP6 = """
+SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(coalesce(html, '')) < 1000 OR page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
+"""
+
 OP7 = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -37,4 +44,4 @@ FROM q LEFT JOIN m USING (page_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7, "op9_url_filter": OP9}
+    return {"op6_warc": OP6, "op7_exact_dedup": OP7, "op9_url_filter": OP9}

@@ -25,12 +25,13 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.store import Scratch
-from gapline.llm.textkernel import bound_arrow_batches
+from gapline.llm.textkernel import Poly, bound_arrow_batches, find_words, pieces, signed
 
 #: Labelled rows to learn from.
 SAMPLE = 12_000
@@ -41,6 +42,8 @@ CHANCE = 0.01
 #: Lengths of word beginnings.
 SHORT, LONG = 4, 12
 REPEATS, LENGTH = 5, 200
+#: Words in a row whose least hash tells copies.
+COPY = 5
 THRESHOLD = 0.7
 
 #: Small Cyrillic and Greek letters that look like Latin ones.
@@ -158,14 +161,19 @@ def _words(batches: Iterator[pa.RecordBatch], stems: tuple[str, ...]) -> Iterato
 
 
 def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the least hash of their words."""
-    import xxhash
-
+    """Rows with the least hash of their word sequences of length ``COPY``."""
+    poly = Poly(41)
     for batch in batches:
-        least = [
-            min((xxhash.xxh3_64_intdigest(w) >> 1 for w in set(fold(x.as_py()).split())), default=0) for x in batch.column(1)
-        ]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["label", "text", "least"])
+        least = np.zeros(batch.num_rows, np.uint64)
+        for lo, hi, data, bounds in pieces(batch.column(1)):
+            starts, ends, first = find_words(data, bounds)
+            words = poly.ranges(data, starts, ends, poly.folded)
+            for k in range(lo, hi):
+                a, b = first[k - lo], first[k - lo + 1]
+                if b > a:
+                    at = np.arange(a, max(a + 1, b - COPY + 1))
+                    least[k] = poly.ranges(words, at, np.minimum(at + COPY, b)).min()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(least))], names=["label", "text", "least"])
 
 
 def poisson_tail(n: int, mean: float) -> float:

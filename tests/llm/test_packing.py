@@ -25,7 +25,7 @@ def test_encoder_equals_the_tokenizer():
     rng = random.Random(2)
     letters = "abcXYZ'sétßıİŐΣσς́̇.,;:!?-–…0١19 \n\t\x0b\x1c\x85\xa0 漢字<|endoftext|>µªº×÷ǅ"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(800)]
-    texts += ["", "<|endoftext|> it's we'LL Don't", "Word. word, WORD! wörd", "a" * 5000, "İ. Éa."]
+    texts += ["", "<|endoftext|> it's we'LL Don't", "Word. word, WORD! wörd", "a" * 5000, "İ. Éa.", "ÀÞßÿ, Ã× Ã÷. Ã", "×", "a× ÷b.", "WORD", "word", "Word?!"]
     coder, right = Encoder(open(PATH, encoding="utf-8").read()), reference()
     for _ in range(2):
         got = coder.encode(pa.array([*texts, None]))
