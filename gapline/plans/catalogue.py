@@ -65,7 +65,7 @@ def segment_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT aln_id, m1 + ins + m2 AS map_length, pos + m1 + m2 AS ref_end, lc AS first_clip, rc AS last_clip,
        CASE WHEN flag & 16 <> 0 THEN rc ELSE lc END AS q_start,
        lc + m1 + ins + m2 + rc - CASE WHEN flag & 16 <> 0 THEN lc ELSE rc END AS q_end,
-       round(CAST(nm - 1 AS DOUBLE) / (m1 + ins + m2), 6) AS divergence
+       CAST(nm - 1 AS DOUBLE) / (m1 + ins + m2) AS divergence
 FROM {aln}""")
 def cigar_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "aln").withColumn("ops", C.parse(F.col("cigar")))
@@ -73,7 +73,7 @@ def cigar_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = C.query_interval(ops, length, F.col("flag").bitwiseAND(F.lit(16)) != 0)
     return rows.select(
         "aln_id", C.map_length(ops).alias("map_length"), C.reference_end(ops, F.col("pos")).alias("ref_end"), C.clip(ops).alias("first_clip"),
-        C.clip(ops, True).alias("last_clip"), span["start"].alias("q_start"), span["end"].alias("q_end"), six(C.divergence(F.col("nm"), F.lit(1), ops), "divergence"),
+        C.clip(ops, True).alias("last_clip"), span["start"].alias("q_start"), span["end"].alias("q_end"), C.divergence(F.col("nm"), F.lit(1), ops).alias("divergence"),
     )
 
 
