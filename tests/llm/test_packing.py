@@ -32,6 +32,16 @@ def test_encoder_equals_the_tokenizer():
         assert [x.tolist() for x in got] == [right(t) for t in [*texts, ""]]
 
 
+def test_a_tokenizer_that_keeps_blanks_sees_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    right = Tokenizer.from_file(path)
+    texts = ["a b", " The cat\n", "", "é  x"]
+    got = Encoder(open(path, encoding="utf-8").read()).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [[*right.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def placed(rows, capacity):
     bins = {}
     for r in rows:
