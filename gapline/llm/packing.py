@@ -21,8 +21,12 @@ packed each.  Text never becomes a special token.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -30,111 +34,251 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.store import Scratch
-from gapline.llm.textkernel import bound_arrow_batches
+from gapline.llm.textkernel import Poly, bound_arrow_batches, find_words, pieces
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 CAPACITY, END = 4096, 1
 GROUP = 20_000
 #: Weights of tokens, documents and attention cost in the choice of a sequence.
 WEIGHTS = (1.0, 0.01, 0.01)
-#: Words whose ids a worker remembers.
-CACHE = 300_000
+#: Words of a kind whose ids a task remembers; about 200 bytes each.
+KNOWN = 200_000
+#: Bytes of text encoded at once.
+ENCODED = 2 << 20
+#: Byte-level vocabularies spell a byte by the character of its number, but for
+#: bytes without a visible one, which are spelled by the characters from 256 on, in order.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN) if b >= 128}
+#: Marks that may close a plain word.
+MARKS = b".,;:!?"
+
+
+def _plain_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which bytes belong to Latin-1 letters, the bytes with those letters in lower case).
+
+    In UTF-8 these are ASCII letters and the bytes of U+00C0 to U+00FF but for the
+    signs of multiplication and division.
+    """
+    ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    lead = data == 0xC3
+    behind = np.zeros(len(data), bool)
+    behind[1:] = lead[:-1]
+    behind &= (data >= 0x80) & (data != 0x97) & (data != 0xB7)
+    lower = data.copy()
+    lower[ascii_letter] |= 32
+    lower[behind & (data <= 0x9E)] += 32
+    return ascii_letter | lead | behind, lower
 
 
 class Encoder:
     """Token ids of whole texts, word by word.
 
-    The tokenizer drops white space, which no token crosses, so the ids of a text
-    are those of its blank-separated words in turn; a word's ids are remembered.
+    Where the tokenizer drops white space, which no token crosses, the ids of a text
+    are those of its blank-separated words in turn.  A plain word, Latin-1 letters
+    and at most one closing mark, has the ids of its lower-case letters, then that of
+    the mark, since a token crosses from letters to marks as little.  Distinct words
+    of a piece of text, told apart by 64-bit hashes, are looked up once, and their
+    ids are remembered.  New plain words are encoded many at once; a word's last
+    token is of a kind of its own, which tells where its ids end.
     """
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(words.values()) + 1, bool)
+        self.closes[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        #: Whether white space leaves no trace in the ids; otherwise texts are encoded whole.
+        self.by_word = one(" Ab\n cd. ") == one("Ab") + one("cd.")
+        self.bare = self._bare(vocabulary) if self.by_word else None
+        self.poly = Poly(31)
+        #: ids of other words and of plain ones
+        self.known: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
+        marks = self._each([chr(m) for m in MARKS])
+        #: Number of a byte among the marks, 0 for others; only marks of one id count.
+        self.mark = np.zeros(256, np.int64)
+        self.mark_ids = [END] + [int(np.frombuffer(x, "<u4")[0]) if len(x) == 4 else -1 for x in marks]
+        for k, m in enumerate(MARKS, 1):
+            self.mark[m] = k if self.mark_ids[k] >= 0 else 0
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, the end id included."""
-        split = [t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHE:
+    def forget(self) -> None:
+        for known in self.known:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([END], "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) + end for words in split]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _bare(self, vocabulary: str) -> Tokenizer | None:
+        """The model behind a splitter at blanks, for lower-case words whose bytes are spelled as the vocabulary does.
+
+        It skips the patterns of the whole tokenizer.  None if some probe differs.
+        """
+        from tokenizers import Tokenizer
+
+        parts = json.loads(vocabulary) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        try:
+            bare = Tokenizer.from_str(json.dumps(parts))
+        except Exception:  # a model that does not stand alone
+            return None
+        probes = [*map(chr, (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))), "the", "straße", "éàçñ", "thereandthen"]
+        for probe in probes:
+            if bare.encode(self._spelled(probe.encode()), add_special_tokens=False).ids != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+                return None
+        return bare
+
+    @staticmethod
+    def _spelled(words: bytes) -> str:
+        text = words.decode("latin-1")
+        return text if text.isascii() else text.translate(SPELLING)
+
+    def _many(self, words: list[bytes], step: int = 100) -> list[bytes]:
+        """Ids of plain words, many in one call."""
+        out: list[bytes] = []
+        tokenizer, spell = (self.bare, self._spelled) if self.bare else (self.tokenizer, bytes.decode)
+        texts = [spell(b" ".join(words[k : k + step])) for k in range(0, len(words), step)]
+        for k, e in enumerate(tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []):
+            part = words[k * step : (k + 1) * step]
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) == len(part):
+                data, stops = ids.tobytes(), ends.tolist()
+                out += [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+            else:  # a vocabulary without such tokens
+                out += self._each([w.decode() for w in part])
+        return out
+
+    def ids_of(self, words: list[bytes], plain: bool) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
+        known = self.known[plain]
+        if len(known) > KNOWN:
+            known.clear()
+        out = list(map(known.get, words))
+        fresh = [i for i, x in enumerate(out) if x is None]
+        new = [words[i] for i in fresh]
+        for i, w, x in zip(fresh, new, self._many(new) if plain else self._each([w.decode() for w in new]), strict=True):
+            out[i] = known[w] = x
+        return out
+
+    def encode(self, text: pa.Array) -> Iterator[np.ndarray]:
+        """32-bit ids of each text, the end id included."""
+        if not self.by_word:
+            for x in text:
+                yield np.append(np.frombuffer(self._each([x.as_py() or ""])[0], "<u4"), np.array([END], "<u4"))
+            return
+        for lo, hi, data, bounds in pieces(text, ENCODED):
+            starts, ends, first = find_words(data, bounds)
+            letter, lower = _plain_bytes(data)
+            strange = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(~letter, out=strange[1:])
+            mark = np.where(ends - starts > 1, self.mark[data[ends - 1]] if len(ends) else 0, 0)
+            stops = ends - (mark > 0)
+            plain = strange[stops] == strange[starts]
+            mark, stops = np.where(plain, mark, 0), np.where(plain, stops, ends)
+            # a plain word by its lower-case letters, any other by all its bytes
+            hashes = self.poly.ranges(lower, starts, stops, self.poly.bytes)
+            rest = np.flatnonzero(~plain)
+            hashes[rest] = ~self.poly.ranges(data, starts[rest], stops[rest], self.poly.bytes)
+            _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            # other words first, then plain ones
+            order = np.argsort(plain[index], kind="stable")
+            cut = len(index) - int(plain[index].sum())
+            place = np.empty(len(index), np.int64)
+            place[order] = np.arange(len(index))
+            index, inverse = index[order], place[inverse]
+            found = []
+            for part, content, kind in ((index[:cut], data, False), (index[cut:], lower, True)):
+                raw = content.tobytes()
+                found += self.ids_of([raw[a:b] for a, b in zip(starts[part].tolist(), stops[part].tolist(), strict=True)], kind)
+            flat = np.frombuffer(b"".join(found) + np.array(self.mark_ids, "<i4").tobytes(), "<u4")
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            # two stretches of ids for each word, its own and its mark's
+            n, at = np.empty(2 * len(starts), np.int64), np.empty(2 * len(starts), np.int64)
+            n[0::2], n[1::2] = size[inverse], mark > 0
+            at[0::2], at[1::2] = (np.cumsum(size) - size)[inverse], len(flat) - len(self.mark_ids) + mark
+            total = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(at - total[:-1], n) + np.arange(total[-1])]
+            cuts = total[2 * first].tolist()
+            for k in range(hi - lo):
+                out = np.empty(cuts[k + 1] - cuts[k] + 1, "<u4")
+                out[:-1], out[-1] = ids[cuts[k] : cuts[k + 1]], END
+                yield out
+
+
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """The worker's encoder; loading the vocabulary takes longer than a small task."""
+    return Encoder(vocabulary)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(vocabulary)
+    coder = encoder(vocabulary)
+    try:
+        yield from _cut(batches, coder, capacity)
+    finally:
+        coder.forget()  # the worker goes on to other tasks
+
+
+def _cut(batches: Iterator[pa.RecordBatch], coder: Encoder, capacity: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
-        for lo in range(0, batch.num_rows, 200):
-            part = texts.slice(lo, 200)
-            rows, piece, start, length, crc = [], [], [], [], []
-            coded = encoder.encode([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part])
-            for i, ids in enumerate(coded):
-                for k in range(0, len(ids), 4 * capacity):
-                    own = ids[k : k + 4 * capacity]
-                    rows.append(lo + i)
-                    piece.append(k // (4 * capacity))
-                    start.append(k // 4)
-                    length.append(len(own) // 4)
-                    crc.append(zlib.crc32(own))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(piece, pa.int32()),
-                    *[pa.array(x, pa.int64()) for x in (start, length, crc)],
-                ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        rows, piece, start, length, crc = [], [], [], [], []
+        for i, ids in enumerate(coder.encode(batch.column(1))):
+            for k in range(0, len(ids), capacity):
+                own = ids[k : k + capacity]
+                rows.append(i)
+                piece.append(k // capacity)
+                start.append(k)
+                length.append(len(own))
+                crc.append(zlib.crc32(own))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(pa.array(rows, pa.int64())),
+                pa.array(piece, pa.int32()),
+                *[pa.array(x, pa.int64()) for x in (start, length, crc)],
+            ],
+            names=["doc_id", "piece", "start", "length", "ids_crc32"],
+        )
 
 
 def best_fit(lengths: np.ndarray, limits: tuple[int, int, int], rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece; limits of tokens, documents and attention cost."""
     cap = np.array(limits, float)
     weights = np.array(WEIGHTS)
-    order = np.argsort(-lengths, kind="stable")
-    residual = np.empty((3, max(1, len(lengths))))
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    opened, shut = 0, 0  # bins below ``shut`` can take no piece any more
     smallest = float(lengths.min()) if len(lengths) else 0.0
-    spare = np.array([smallest, 1.0, smallest * smallest])
-    live = np.empty(0, np.int64)
-    pending: list[int] = []
-    for at in order:
+    spare = (smallest, 1.0, smallest * smallest)  # a bin with less room can take no piece any more
+    # residuals of the bins that can, as columns, and their numbers
+    left, number, live, opened = np.empty((3, max(1, len(lengths)))), np.empty(max(1, len(lengths)), np.int64), 0, 0
+    for at in np.argsort(-lengths, kind="stable"):
         size = float(lengths[at])
         need = np.array([size, 1.0, size * size])
         if (need > cap).any():
             raise ValueError(f"a piece of {int(size)} tokens is above the limits {limits}")
-        if pending:
-            live = np.append(live, pending)
-            pending = []
-        left = residual[:, live] - need[:, None]
-        fits = (left >= 0).all(axis=0)
-        if fits.any():
+        room = left[:, :live]
+        fits = np.flatnonzero((room[0] >= need[0]) & (room[1] >= 1.0) & (room[2] >= need[2]))
+        if len(fits):
+            own = room[:, fits]
             if rule == "norm":
-                score = (weights[:, None] * (left / cap[:, None]) ** 2).sum(axis=0)
+                score = weights @ ((own - need[:, None]) / cap[:, None]) ** 2
             else:
-                score = -((weights * need / cap)[:, None] * (residual[:, live] / cap[:, None])).sum(axis=0)
-            k = int(np.argmin(np.where(fits, score, np.inf)))
-            b = int(live[k])
+                score = -(weights * need / cap**2) @ own
+            k = int(fits[np.argmin(score)])
         else:
-            b, k = opened, -1
-            residual[:, b] = cap
-            opened += 1
-        bins[at], offsets[at] = b, int(cap[0] - residual[0, b])
-        residual[:, b] -= need
-        dead = (residual[:, b] < spare).any()
-        if k >= 0 and dead:
-            live = np.delete(live, k)
-        elif k < 0 and not dead:
-            pending.append(b)
+            k = live
+            left[:, k], number[k] = cap, opened
+            live, opened = live + 1, opened + 1
+        bins[at], offsets[at] = number[k], int(cap[0] - left[0, k])
+        left[:, k] -= need
+        if left[0, k] < spare[0] or left[1, k] < spare[1] or left[2, k] < spare[2]:
+            live -= 1
+            left[:, k], number[k] = left[:, live], number[live]
     return bins, offsets
 
 
