@@ -75,6 +75,7 @@ class Poly:
 
 def pieces(text: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows' texts in the bytes); null counts as empty."""
+    pa.set_memory_pool(pa.system_memory_pool())  # which returns large blocks when they are freed
     text = text.fill_null("") if text.null_count else text
     kind = np.int64 if pa.types.is_large_string(text.type) else np.int32
     _, offsets, data = text.buffers()
@@ -111,7 +112,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def bound_arrow_batches(spark, mb: int = 16) -> None:
+def bound_arrow_batches(spark, mb: int = 4) -> None:
     """Send the package to the workers and keep batches that go to Python small, whatever the length of the texts."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
