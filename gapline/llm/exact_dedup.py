@@ -79,6 +79,8 @@ class DigestIndex:
             F.col("n_chars"), F.col("__id").isNotNull(), F.bitwise_not("__id").alias("a"), F.bitwise_not("__row").alias("b")
         )
         groups = rows.groupBy("text_sha256").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("n"))
+        # written, or else Spark would move the anti-join below the aggregation and shuffle every row
+        groups = self.scratch.keep(groups, f"groups-{batch}")
         known = self.table().select("text_sha256", F.lit(True).alias("old"), "group_size")
         seen = self.scratch.keep(
             groups.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti").select(
