@@ -19,7 +19,7 @@ class Config:
     read_flank: int = 3000
     #: Positions of a tile in clustering and of a bin in interval joins.
     tile: int = 1 << 20
-    bin: int = 1 << 14
+    bin: int = 1 << 11
 
     def __post_init__(self):
         for name in ("min_segment", "max_gap", "min_overhang", "tile", "bin"):

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OP = r"([0-9]+)([MIDNSHP=X])"
+OPS = "MIDNSHP=X"
 
 
 def parse(cigar: Column) -> Column:
-    """Array of (n, op)."""
-    sizes = F.regexp_extract_all(cigar, F.lit(OP), F.lit(1))
-    kinds = F.regexp_extract_all(cigar, F.lit(OP), F.lit(2))
-    return F.zip_with(sizes, kinds, lambda n, op: F.struct(n.cast("int").alias("n"), op.alias("op")))
+    """Array of (n, op); empty for ``*``."""
+    # both strings are cut outside the lambda, which would compute them for each element
+    sizes = F.split(F.translate(cigar, OPS, " " * len(OPS)), " ", -1)
+    kinds = F.split(F.translate(cigar, "0123456789", ""), "")
+    pairs = F.zip_with(sizes, kinds, lambda n, op: F.struct(n.try_cast("int").alias("n"), op.alias("op")))
+    return F.filter(pairs, lambda x: x["n"].isNotNull())
 
 
 def total(ops: Column, kinds: str) -> Column:

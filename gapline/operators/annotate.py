@@ -151,7 +151,7 @@ def tail_rows(clusters: DataFrame, *, key: Sequence[str] = ("cluster_id",), seq:
     none = F.array().cast("array<struct<tid:int,query_start:int,query_end:int,reverse:boolean,ref_start:int,ref_end:int,flag:int>>")
     a = F.when(has_a, F.transform(poly_tails(after, True), row(TAIL_A, F.col("last_end"), False))).otherwise(none)
     t = F.when(has_t, F.transform(poly_tails(ahead, False), row(TAIL_T, F.lit(0), True))).otherwise(none)
-    return clusters.select(*key, F.explode(F.concat(a, t)).alias("__t")).select(*key, "__t.*")
+    return clusters.select(*key, F.explode_outer(F.concat(a, t)).alias("__t")).filter("__t is not null").select(*key, "__t.*")
 
 
 # --- structure ----------------------------------------------------------------------

@@ -109,7 +109,7 @@ def recalibrate(contigs: DataFrame, reads: DataFrame, pairs: DataFrame, longest:
     Runs of more than ``longest`` bases and runs without reads stay.  The run
     behind one whose length changed stays too.
     """
-    runs = contigs.select("contig", F.posexplode(homopolymer_runs(F.col("seq"))).alias("k", "r"))
+    runs = contigs.select("contig", F.posexplode_outer(homopolymer_runs(F.col("seq"))).alias("k", "r")).filter("r is not null")
     runs = runs.select("contig", "k", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.base").alias("base"))
     seen = run_observations(pairs, runs.filter(F.col("run_end") - F.col("run_start") <= longest).drop("k"), reads)
     key = ["contig", "run_start"]
@@ -139,7 +139,7 @@ def recalibrate(contigs: DataFrame, reads: DataFrame, pairs: DataFrame, longest:
 
 def pileup_columns(alignments: DataFrame, *, key: Sequence[str], ops: Column, pos: str = "pos", seq: str = "seq") -> DataFrame:
     """A row for each reference column of each alignment: ref, base (empty for a deletion), inserted (bases that follow)."""
-    rows = alignments.select(*key, F.col(seq).alias("seq"), F.posexplode(aligned_pairs(ops, F.col(pos))).alias("ordinal", "p"))
+    rows = alignments.select(*key, F.col(seq).alias("seq"), F.posexplode_outer(aligned_pairs(ops, F.col(pos))).alias("ordinal", "p")).filter("p is not null")
     rows = rows.select(*key, "seq", "ordinal", F.col("p.query").alias("query"), F.col("p.ref").alias("ref"))
     order = Window.partitionBy(*key).orderBy("ordinal")
     column = F.last(F.when(F.col("ref") >= 0, F.col("ref")), ignorenulls=True).over(order)

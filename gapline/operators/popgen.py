@@ -8,7 +8,7 @@ only, so they are stored as Af Ar Tf Tr Cf Cr Gf Gr.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,8 +60,8 @@ def max_bias(samples: Column) -> Column:
 
 def ranked_alleles(sample: Column) -> Column:
     """Array of (base, n) by falling count, then by base."""
-    rows = F.array(*[F.struct((-allele(sample, b)).alias("k"), F.lit(b).alias("base")) for b in BASES])
-    return F.transform(F.array_sort(rows), lambda x: F.struct(x["base"].alias("base"), (-x["k"]).alias("n")))
+    rows = lambda s: F.array(*[F.struct((-allele(s, b)).alias("k"), F.lit(b).alias("base")) for b in BASES])
+    return F.transform(F.array_sort(bound(sample, rows)), lambda x: F.struct(x["base"].alias("base"), (-x["k"]).alias("n")))
 
 
 def n_alleles(sample: Column, min_count: int) -> Column:
@@ -83,7 +83,7 @@ def polymorphic(samples: Column, min_count: int, each: bool = False) -> Column:
     """Whether two alleles reach ``min_count`` in the pool, or in some sample (``each``)."""
     if each:
         return F.exists(samples, lambda s: n_alleles(s, min_count) >= 2)
-    return n_alleles(pooled(samples), min_count) >= 2
+    return bound(pooled(samples), lambda s: n_alleles(s, min_count) >= 2)
 
 
 def is_truth(pos: Column) -> Column:
@@ -94,10 +94,13 @@ def is_truth(pos: Column) -> Column:
 # --- measures -----------------------------------------------------------------------
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fst(samples: Column, first: int = 0, second: int = 1) -> Column:
     """Fst of two populations from the pool's two most common alleles; 0 where it is undefined."""
-    best = ranked_alleles(pooled(samples))
-    major, minor = F.element_at(best, 1)["base"], F.element_at(best, 2)["base"]
 
     def count(s: Column, base: Column) -> Column:
         out = F.lit(0)
@@ -105,14 +108,19 @@ def fst(samples: Column, first: int = 0, second: int = 1) -> Column:
             out = F.when(base == b, allele(s, b)).otherwise(out)
         return out
 
-    shares = []
-    for k in (first, second):
+    def share(k: int, best: Column) -> Column:
+        major, minor = F.element_at(best, 1)["base"], F.element_at(best, 2)["base"]
         s = F.element_at(samples, k + 1)
-        p, q = count(s, major), count(s, minor)
-        shares.append(F.try_divide(p, p + q))
-    het = lambda p: 1 - p * p - (1 - p) * (1 - p)
-    total = het((shares[0] + shares[1]) / 2)
-    return F.coalesce(F.try_divide(total - (het(shares[0]) + het(shares[1])) / 2, total), F.lit(0.0))
+        both = F.struct(count(s, major).alias("p"), count(s, minor).alias("q"))
+        return bound(both, lambda x: F.try_divide(x["p"], x["p"] + x["q"]))
+
+    def ratio(x: Column) -> Column:
+        het = lambda p: 1 - p * p - (1 - p) * (1 - p)
+        total = het((x["a"] + x["b"]) / 2)
+        return F.coalesce(F.try_divide(total - (het(x["a"]) + het(x["b"])) / 2, total), F.lit(0.0))
+
+    shares = bound(ranked_alleles(pooled(samples)), lambda best: F.struct(share(first, best).alias("a"), share(second, best).alias("b")))
+    return bound(shares, ratio)
 
 
 def _chi_p(x: float) -> float:
@@ -173,7 +181,7 @@ def multimeasure(sites: DataFrame, *, bias: str = "maxfraction", measure: str =
     equal strands); ``measure`` is fst or fet (Fisher's test of the two populations).
     """
     pool, samples = pooled(F.col("samples")), F.col("samples")
-    best = ranked_alleles(F.col("__pool"))
+    best = F.col("__best")
 
     def of(s: Column, rank: int, part: str) -> Column:
         base, out = F.element_at(best, rank)["base"], F.lit(0).cast("bigint")
@@ -182,7 +190,7 @@ def multimeasure(sites: DataFrame, *, bias: str = "maxfraction", measure: str =
             out = F.when(base == b, value).otherwise(out)
         return out
 
-    rows = sites.filter(covered(samples, least)).withColumn("__pool", pool)
+    rows = sites.filter(covered(samples, least)).withColumn("__pool", pool).withColumn("__best", ranked_alleles(F.col("__pool")))
     if bias == "maxfraction":
         biased = max_bias(samples)
     elif bias == "alleleimbalance":

@@ -21,33 +21,36 @@ def overhang(kind: Column, matched: Column, total: Column) -> Column:
     return F.when(kind == LEFT, total).when(kind == MIDDLE, F.least(matched, total - matched)).otherwise(matched)
 
 
+#: Operations by what they advance: up to 3 read and reference, up to 5 the read, up to 7 the reference.
+_ORDER = "M=XSIDN"
+
+
 def cut_segments(ops: Column, pos: Column, min_length: int) -> Column:
     """One walk over the operations: (ref_end, match_len, segments)."""
     last = F.size(ops) - 1
-    zero = F.struct(
-        F.lit(0).alias("q"), pos.cast("int").alias("r"), F.lit(0).alias("m"), F.lit(0).alias("i"), F.array().cast(SEGMENTS).alias("found")
-    )
+    zero = F.struct(F.lit(0).alias("q"), pos.cast("int").alias("r"), F.lit(0).alias("m"), F.array().cast(SEGMENTS).alias("found"))
+    kind = lambda i: F.when(i == 0, LEFT).when(i == last, RIGHT).otherwise(MIDDLE)
+    steps = F.transform(ops, lambda x, i: F.struct(x["n"].alias("n"), F.instr(F.lit(_ORDER), x["op"]).alias("c"), kind(i).alias("kind")))
 
     def step(state: Column, x: Column) -> Column:
-        matches, gaps, cuts = x["op"].isin("M", "=", "X"), x["op"].isin("D", "N"), x["op"].isin("S", "I")
-        kind = F.when(state["i"] == 0, LEFT).when(state["i"] == last, RIGHT).otherwise(MIDDLE)
+        n, c = x["n"], x["c"]
+        cut = (c == 4) | (c == 5)
         one = F.struct(
-            kind.alias("kind"),
+            x["kind"].alias("kind"),
             state["q"].alias("query_start"),
-            (state["q"] + x["n"]).alias("query_end"),
+            (state["q"] + n).alias("query_end"),
             state["r"].alias("ref_pos"),
             state["m"].alias("matched"),
         )
         return F.struct(
-            (state["q"] + F.when(matches | cuts, x["n"]).otherwise(0)).alias("q"),
-            (state["r"] + F.when(matches | gaps, x["n"]).otherwise(0)).alias("r"),
-            (state["m"] + F.when(matches, x["n"]).otherwise(0)).alias("m"),
-            (state["i"] + 1).alias("i"),
-            F.when(cuts & (x["n"] >= min_length), F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"),
+            (state["q"] + F.when(c.between(1, 5), n).otherwise(0)).alias("q"),
+            (state["r"] + F.when((c == 0) | cut, 0).otherwise(n)).alias("r"),
+            (state["m"] + F.when(c.between(1, 3), n).otherwise(0)).alias("m"),
+            F.when(cut & (n >= min_length), F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"),
         )
 
     close = lambda s: F.struct(s["r"].alias("ref_end"), s["m"].alias("match_len"), s["q"].alias("read_len"), s["found"].alias("found"))
-    return F.aggregate(ops, zero, step, close)
+    return F.aggregate(steps, zero, step, close)
 
 
 def extract_segments(
@@ -65,11 +68,13 @@ def extract_segments(
     num_seg) is computed in the row before the array is exploded, so nothing is
     shuffled.  ``min_overhang`` drops badly anchored segments.
     """
-    walked = alignments.filter(valid(F.col(flag))).withColumn("__walk", cut_segments(C.parse(F.col(cigar)), F.col(pos), min_length))
+    # Each of these is used several times, so it is a column of its own.  A plain explode
+    # would make Spark filter by the array's size first, which computes it twice.
+    parsed = alignments.filter(valid(F.col(flag))).withColumn("__ops", C.parse(F.col(cigar)))
+    walked = parsed.withColumn("__walk", cut_segments(F.col("__ops"), F.col(pos), min_length))
     found = F.col("__walk.found")
     rows = (
-        walked.filter(F.size(found) > 0)
-        .withColumns(
+        walked.withColumns(
             {
                 "aln_end": F.col("__walk.ref_end"),
                 "match_len": F.col("__walk.match_len"),
@@ -78,7 +83,8 @@ def extract_segments(
                 "num_seg": F.size(found),
             }
         )
-        .select(*alignments.columns, "aln_end", "match_len", "read_len", "aln_type", "num_seg", F.posexplode(found).alias("seg_order", "__s"))
+        .select(*alignments.columns, "aln_end", "match_len", "read_len", "aln_type", "num_seg", F.posexplode_outer(found).alias("seg_order", "__s"))
+        .filter(F.col("__s").isNotNull())
     )
     rows = rows.select(
         "*",

@@ -22,7 +22,8 @@ def locate(alignments: DataFrame, repeats: DataFrame, gaps: DataFrame, config: C
     Both ends are points of one join, so the intervals are read once.
     """
     known = repeats.select("tid", "i_start", "i_end").unionByName(gaps.select("tid", "i_start", "i_end"))
-    ends = alignments.select("aln_id", "tid", F.posexplode(F.array(F.col("pos"), C.reference_end(C.parse(F.col("cigar")), F.col("pos")))).alias("side", "at"))
+    parsed = alignments.select("aln_id", "tid", "pos", C.reference_end(C.parse(F.col("cigar")), F.col("pos")).alias("stop"))
+    ends = parsed.select("aln_id", "tid", F.posexplode(F.array("pos", "stop")).alias("side", "at"))
     found = intervals.point_flank_join(
         ends, known, key=["aln_id", "side"], chrom="tid", pos="at", start="i_start", end="i_end", flank=config.location_flank, bin=config.bin
     )

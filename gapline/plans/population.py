@@ -267,8 +267,8 @@ WITH r AS (SELECT doc_id, unnest(regexp_extract_all(substr(seq, 1, 400), 'A+|C+|
 p AS (SELECT doc_id, run, CAST(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY k) AS INT) AS run_end FROM r)
 SELECT doc_id, CAST(run_end - length(run) AS INT) AS run_start, run_end, left(run, 1) AS base FROM p WHERE length(run) >= 3""")
 def homopolymer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "dna").select("doc_id", F.explode(sequences.homopolymer_runs(F.substring("seq", 1, 400), 3)).alias("r"))
-    return rows.select("doc_id", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.base").alias("base"))
+    rows = view(spark, sf_dir, "dna").select("doc_id", F.explode_outer(sequences.homopolymer_runs(F.substring("seq", 1, 400), 3)).alias("r"))
+    return rows.filter("r is not null").select("doc_id", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.base").alias("base"))
 
 
 @query("""
