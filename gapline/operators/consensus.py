@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,3 +152,51 @@ def pileup_columns(alignments: DataFrame, *, key: Sequence[str], ops: Column, po
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ref") < 0, F.struct("ordinal", "letter")))), lambda x: x["letter"]), "").alias("inserted"),
     )
     return made.withColumnRenamed("column", "ref")
+
+
+def _common_stretch(rows: Sequence[str], begin: int, end: int) -> str:
+    """The ungapped text of columns begin to end that most rows show; the longer one on ties, then the first seen."""
+    counts = Counter(row[begin : end + 1].replace("-", "") for row in rows)
+    ranked = sorted(counts.items(), key=lambda x: (-x[1], -len(x[0])))
+    return ranked[1][0] if not ranked[0][0] and len(ranked) > 1 else ranked[0][0]
+
+
+def anchor_consensus(rows: Sequence[str], tail: int = 15, span: int = 3) -> str:
+    """Consensus of aligned rows of equal length, without the last ``tail`` columns.
+
+    Columns are voted on one by one.  Where all bases agree the column is an anchor,
+    and the stretch since the anchor before is decided anew as a whole: by the text
+    that most rows show over the last ``span`` anchors, if it continues what was
+    decided, else by the text since the anchor before.
+    """
+    out: list[str] = []
+    anchors: list[int] = []
+    for i in range(max(0, min(map(len, rows)) - tail) if rows else 0):
+        column = Counter(row[i] for row in rows)
+        (top, n), (second, m) = sorted(((b, column[b]) for b in "ATCG-"), key=lambda x: -x[1])[:2]
+        if top == "-":
+            out.append(second if 2 * m >= n else "-")
+            continue
+        if sum(column.values()) - column["-"] > n:
+            out.append(top)
+            continue
+        anchors.append(i)
+        if len(anchors) == 1:
+            out.append(top)
+            continue
+        begin, before = anchors[-span:][0], anchors[-2]
+        decided = "".join(out[begin : before + 1]).replace("-", "")
+        stretch = _common_stretch(rows, begin, i)
+        new = stretch[len(decided) :] if stretch.startswith(decided) else _common_stretch(rows, before, i)[1:]
+        out[before + 1 :] = ["-"] * (i - before - len(new)) + list(new)
+    return "".join(out).replace("-", "")
+
+
+def anchor_consensus_table(aligned: DataFrame, *, key: str = "cluster_id", row: str = "aligned") -> DataFrame:
+    """(key, consensus) of the aligned rows of each cluster; a cluster is one task's work."""
+    kind = aligned.schema[key].dataType.simpleString()
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: part[key].iloc[:1], "consensus": [anchor_consensus(sorted(part[row]))]})
+
+    return aligned.select(key, row).groupBy(key).applyInPandas(one, f"`{key}` {kind}, consensus string")

@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from gapline.functions import cigar as C
-from gapline.operators.consensus import pileup_columns, recalibrate
+from gapline.operators.consensus import anchor_consensus, anchor_consensus_table, pileup_columns, recalibrate
 
 
 def pairs_of(cigar, pos):
@@ -119,3 +119,19 @@ def test_pileup_columns(spark):
     df = spark.createDataFrame([("r", 5, "2M2I1D1M", "ACGGT")], "qname string, pos int, cigar string, seq string")
     rows = pileup_columns(df, key=["qname"], ops=C.parse(F.col("cigar"))).orderBy("ref").collect()
     assert [(r.ref, r.base, r.inserted) for r in rows] == [(5, "A", ""), (6, "C", "GG"), (7, "", ""), (8, "T", "")]
+
+
+def test_anchor_consensus(spark):
+    end = "T" * 15
+    same = ["ACGTACGT" + end] * 3
+    assert anchor_consensus(same) == "ACGTACGT"
+    assert anchor_consensus([]) == "" and anchor_consensus(["ACGT"]) == ""
+    # a base that one of three rows lacks, an insertion of one row, a substitution
+    assert anchor_consensus(["ACGTACGT" + end, "ACGTACGT" + end, "AC-TACGT" + end]) == "ACGTACGT"
+    assert anchor_consensus(["AC-GTACGT" + end, "AC-GTACGT" + end, "ACTGTACGT" + end]) == "ACGTACGT"
+    assert anchor_consensus(["ACGTAAGT" + end, "ACGTACGT" + end, "ACGTACGT" + end]) == "ACGTACGT"
+    # two rows share a two-base insertion: columns tie with gaps, the stretch decides
+    rows = ["ACG--TAC" + end, "ACGGGTAC" + end, "ACGGGTAC" + end, "ACG--TAC" + end, "ACGGGTAC" + end]
+    assert anchor_consensus(rows) == "ACGGGTAC"
+    df = spark.createDataFrame([(1, r) for r in rows] + [(2, same[0])], "cluster_id int, aligned string")
+    assert {r.cluster_id: r.consensus for r in anchor_consensus_table(df).collect()} == {1: "ACGGGTAC", 2: "ACGTACGT"}
