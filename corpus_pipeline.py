@@ -29,8 +29,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links join."""
-    return ngram_join.jaccard_dedup(docs)
+    """The document with the smallest id of each group that links join: five-word sequences, similarity 0.8."""
+    return ngram_join.jaccard_dedup(docs, shingle=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,3 +98,22 @@ def test_nothing_held_out_is_learned(spark, corpus):
     assert held == {k for k in range(240) if zlib.crc32(str(k).encode()) % 3 == 1}
     lexicon = queries.toxicity_lexicon(spark, corpus)
     assert toxicity.Scorer(lexicon).score("a vileword and a crudeword here") >= toxicity.THRESHOLD
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark, tmp_path):
+    """Pairs that link by five words and 0.8, and not by four words and 0.85, and one that does not by either."""
+    word = lambda k: f"w{k}"
+    long = [word(k) for k in range(1000, 1200)]
+    changed = [f"x{k}" if k in (20, 60, 100, 140) else w for k, w in enumerate(long)]
+    far = [f"y{k}" if k % 20 == 10 else word(2000 + k) for k in range(200)]
+    texts = [
+        [word(k) for k in range(100)],
+        [word(k) for k in range(118)],  # 96 of 114
+        long,
+        changed,  # 176 of 216
+        [word(2000 + k) for k in range(200)],
+        far,  # 146 of 246
+    ]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", len(" ".join(t))) for k, t in enumerate(texts)], COLUMNS)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2, 4, 5]
