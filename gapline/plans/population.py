@@ -262,15 +262,28 @@ def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "dna").select("doc_id", sequences.reverse_complement(F.col("seq")).alias("rc"), F.char_length("seq").cast("bigint").alias("n"))
 
 
-@query("""
+RUNS_SQL = """
 WITH r AS (SELECT doc_id, unnest(regexp_extract_all(substr(seq, 1, 400), 'A+|C+|G+|T+|N+')) AS run, generate_subscripts(regexp_extract_all(substr(seq, 1, 400), 'A+|C+|G+|T+|N+'), 1) AS k FROM {dna}),
 p AS (SELECT doc_id, run, CAST(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY k) AS INT) AS run_end FROM r)
-SELECT doc_id, CAST(run_end - length(run) AS INT) AS run_start, run_end, left(run, 1) AS base FROM p WHERE length(run) >= 3""")
-def homopolymer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "dna").select("doc_id", F.explode_outer(sequences.homopolymer_runs(F.substring("seq", 1, 400), 3)).alias("r"))
+SELECT doc_id, CAST(run_end - length(run) AS INT) AS run_start, run_end, left(run, 1) AS base FROM p WHERE length(run) >= 3"""
+
+
+def _runs(spark: SparkSession, sf_dir: str, seq: Column) -> DataFrame:
+    rows = view(spark, sf_dir, "dna").select("doc_id", F.explode_outer(sequences.homopolymer_runs(seq, 3)).alias("r"))
     return rows.filter("r is not null").select("doc_id", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.base").alias("base"))
 
 
+@query(RUNS_SQL)
+def homopolymer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first 400 bases, as its SQL."""
+    return _runs(spark, sf_dir, F.substring("seq", 1, 400))
+
+
+@query(RUNS_SQL.replace("substr(seq, 1, 400)", "seq"))
+def homopolymer_runs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir, F.col("seq"))
+
+
 @query("""
 SELECT doc_id, CASE WHEN length(seq) <= 20 THEN repeat('N', length(seq)) ELSE concat('NNNNNNNNNN', substr(seq, 11, length(seq) - 20), 'NNNNNNNNNN') END AS masked,
   nullif(replace(seq, 'N', ''), '') AS stripped,
