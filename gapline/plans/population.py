@@ -301,7 +301,7 @@ def sequence_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def poly_tail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sequential scan, which plain SQL has no form for; tested against a loop."""
-    rows = view(spark, sf_dir, "dna").select("doc_id", F.concat(F.substring("seq", 1, 60), F.repeat(F.lit("A"), (F.col("doc_id") % 25).cast("int")), F.lit("CGT")).alias("s"))
+    rows = view(spark, sf_dir, "dna").select("doc_id", F.concat("seq", F.repeat(F.lit("A"), (F.col("doc_id") % 25).cast("int")), F.lit("CGT")).alias("s"))
     tails = rows.select("doc_id", F.explode(sequences.poly_tails(F.col("s"), True)).alias("t"), sequences.flank_has_tail(F.right("s", F.lit(20)), True).alias("flank"))
     return tails.select("doc_id", F.col("t.start").alias("tail_start"), F.col("t.end").alias("tail_end"), "flank")
 
@@ -365,20 +365,33 @@ def dsl_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_table(rows).select("id", "seq", "tsd", "error")
 
 
-@query("""
-SELECT doc_id, replace(replace(left(seq, 12), 'A', '.'), 'C', ',') AS text, length(replace(left(seq, 12), 'G', '')) AS n FROM {dna} WHERE length(seq) >= 12""")
-def pileup_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+PILEUP_SQL = """
+SELECT doc_id, replace(replace(left(seq, 12), 'A', '.'), 'C', ',') AS text, length(replace(left(seq, 12), 'G', '')) AS n FROM {dna} WHERE length(seq) >= 12"""
+
+
+def _pileup(rows: DataFrame, seq: Column) -> DataFrame:
     """Pileup strings built from sequences and read back: an indel of each is skipped."""
-    rows = view(spark, sf_dir, "dna").filter(F.char_length("seq") >= 12)
-    text = F.replace(F.replace(F.left("seq", F.lit(12)), F.lit("A"), F.lit(".")), F.lit("C"), F.lit(","))
+    text = F.replace(F.replace(seq, F.lit("A"), F.lit(".")), F.lit("C"), F.lit(","))
     noisy = F.concat(F.lit("^~"), text, F.lit("+2GG$"))
-    counts = base_counts(pileup_bases(F.lit("T"), noisy), F.repeat(F.lit("I"), F.lit(12)))
+    counts = base_counts(pileup_bases(F.lit("T"), noisy), F.repeat(F.lit("I"), F.char_length(seq)))
     n = sum((counts[k] for k in popgen.FIELDS), F.lit(0)) - counts["Gf"]
     back = F.replace(F.replace(noisy, F.lit("^~"), F.lit("")), F.lit("+2GG$"), F.lit(""))
     missing = F.char_length(F.regexp_replace(text, "[^N]", ""))
     return rows.select("doc_id", back.alias("text"), (n + missing).cast("bigint").alias("n"))
 
 
+@query(PILEUP_SQL)
+def pileup_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first 12 bases, as its SQL."""
+    rows = view(spark, sf_dir, "dna").filter(F.char_length("seq") >= 12)
+    return _pileup(rows, F.left("seq", F.lit(12)))
+
+
+@query(PILEUP_SQL.replace("left(seq, 12)", "seq").replace(" WHERE length(seq) >= 12", ""))
+def pileup_strings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pileup(view(spark, sf_dir, "dna"), F.col("seq"))
+
+
 # --- legacy and simulators ------------------------------------------------------------
 
 

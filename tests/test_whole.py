@@ -14,3 +14,15 @@ def test_runs_behind_the_first_400_bases(spark, tmp_path):
     where = documents(spark, tmp_path, [(1, "bc" * 300 + "aaaa" + "bc" * 10), (2, "ddd"), (3, None)])
     got = driver.queries()["homopolymer_runs_whole"](spark, where).collect()
     assert sorted(map(tuple, got)) == [(1, 600, 604, "A"), (2, 0, 3, "T")]
+
+
+def test_tails_behind_the_first_60_bases(spark, tmp_path):
+    where = documents(spark, tmp_path, [(25, "bc" * 50 + "a" * 30 + "bc" * 20), (50, "bc" * 10)])
+    got = driver.queries()["poly_tail_scan"](spark, where).collect()
+    assert [(r.doc_id, r.tail_start, r.tail_end) for r in got] == [(25, 100, 130)]
+
+
+def test_long_and_short_pileup_strings(spark, tmp_path):
+    where = documents(spark, tmp_path, [(1, "abcd!" * 30), (2, "abc"), (3, "")])
+    got = driver.queries()["pileup_strings_whole"](spark, where).collect()
+    assert sorted(map(tuple, got)) == [(1, ".,GTN" * 30, 120), (2, ".,G", 2), (3, "", 0)]
