@@ -185,19 +185,31 @@ def merge_stats_take(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- labelling ------------------------------------------------------------------------
 
 
-@query("""
+TRUTH_SQL = """
 WITH j AS (
   SELECT aln_id, ivl_id, i_start, i_end FROM {aln} LEFT JOIN {ivl}
     ON aln.tid = ivl.tid AND ivl_id % 5 = 0 AND i_start < pos + 20 + 50 AND i_end > greatest(0, pos - 50))
 SELECT aln_id AS cand_id, count(i_start) AS n_truth, arg_max(ivl_id, {'a': i_start, 'b': i_end, 'c': ivl_id}) AS truth_id,
-  CASE count(i_start) WHEN 0 THEN 'FP' WHEN 1 THEN 'TP' ELSE 'Special' END AS label FROM j GROUP BY aln_id""")
-def truth_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+  CASE count(i_start) WHEN 0 THEN 'FP' WHEN 1 THEN 'TP' ELSE 'Special' END AS label FROM j GROUP BY aln_id"""
+
+
+def _truth(spark: SparkSession, sf_dir: str, truth: DataFrame) -> DataFrame:
     rows = view(spark, sf_dir, "aln").select(F.col("aln_id").alias("cand_id"), "tid", "pos", (F.col("pos") + 20).alias("stop"))
-    truth = view(spark, sf_dir, "ivl").filter("ivl_id % 5 = 0")
     made = label.classify(rows, truth, chrom="tid", start="pos", end="stop", t_start="i_start", t_end="i_end", t_id="ivl_id")
     return made.select("cand_id", "n_truth", "truth_id", "label")
 
 
+@query(TRUTH_SQL)
+def truth_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against a fifth of the intervals, as its SQL."""
+    return _truth(spark, sf_dir, view(spark, sf_dir, "ivl").filter("ivl_id % 5 = 0"))
+
+
+@query(TRUTH_SQL.replace(" AND ivl_id % 5 = 0", ""))
+def truth_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truth(spark, sf_dir, view(spark, sf_dir, "ivl"))
+
+
 MATRIX_SQL = """
 cell AS (SELECT o_custkey AS pos, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS col,
   CASE WHEN o_orderkey % 3 = 0 THEN '*' ELSE concat('d', o_orderkey % 3) END AS def_name FROM orders)"""
@@ -219,23 +231,36 @@ def carrier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("pos", "def_name", F.array_join(F.transform("hgs", lambda h: h.cast("string")), ",").alias("hgs"))
 
 
-@query("""
+SUPPORT_SQL = """
 WITH r AS (SELECT aln_id, tid, pos, pos + m1 AS stop, CAST(aln_id % 7 AS INT) AS hg, CASE WHEN mapq > 6 THEN tid ELSE 9 END AS origin FROM {aln}),
 i AS (SELECT ivl_id, tid, i_start, i_end FROM {ivl} WHERE ivl_id % 4 = 0)
 SELECT aln_id, ivl_id, CAST(ivl_id % 7 AS INT) IN (hg, (hg + 3) % 7) AND origin = r.tid AS supports
-FROM r JOIN i ON r.tid = i.tid AND i_start < stop + 50 AND i_end > greatest(0, pos - 50)""")
-def support_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+FROM r JOIN i ON r.tid = i.tid AND i_start < stop + 50 AND i_end > greatest(0, pos - 50)"""
+
+
+def _support(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     aln = view(spark, sf_dir, "aln")
     reads = aln.select(
         "aln_id", F.col("tid").alias("chrom"), F.col("pos").alias("start"), (F.col("pos") + F.col("m1")).alias("end"), (F.col("aln_id") % 7).cast("int").alias("hg"),
         F.when(F.col("mapq") > 6, F.col("tid")).otherwise(9).alias("origin_chrom"),
     )
-    ins = view(spark, sf_dir, "ivl").filter("ivl_id % 4 = 0").select(F.col("ivl_id").alias("ins_id"), F.col("tid").alias("chrom"), "i_start", "i_end")
+    ins = rows.select(F.col("ivl_id").alias("ins_id"), F.col("tid").alias("chrom"), "i_start", "i_end")
     own = (F.col("ins_id") % 7).cast("int")
     carried = ins.select("ins_id", F.explode(F.array(own, (own + 4) % 7)).alias("hg"))
     return label.support(reads, ins, carried).select("aln_id", F.col("ins_id").alias("ivl_id"), "supports")
 
 
+@query(SUPPORT_SQL)
+def support_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against a quarter of the intervals, as its SQL."""
+    return _support(spark, sf_dir, view(spark, sf_dir, "ivl").filter("ivl_id % 4 = 0"))
+
+
+@query(SUPPORT_SQL.replace(" WHERE ivl_id % 4 = 0", ""))
+def support_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _support(spark, sf_dir, view(spark, sf_dir, "ivl"))
+
+
 @query("""
 WITH s AS (SELECT aln_id % 5000 AS cand_id, qname, tid, CASE WHEN mapq > 30 THEN tid ELSE 9 END AS origin FROM {aln})
 SELECT cand_id, count(DISTINCT qname) AS n_reads, count(*) FILTER (tid = origin) AS n_consistent FROM s GROUP BY cand_id""")
@@ -408,18 +433,31 @@ def insertion_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("frequency", F.round("frequency", 6))
 
 
-@query("""
+REPEATS_SQL = """
 WITH b AS (SELECT aln_id % 3000 AS cluster_id, tid, min(pos) AS s, max(pos) AS e FROM {aln} WHERE mapq > 50 GROUP BY ALL)
 SELECT cluster_id, b.tid, s AS bp_start, e AS bp_end FROM b WHERE NOT EXISTS (
-  SELECT 1 FROM {ivl} WHERE ivl.tid = b.tid AND ivl_id % 50 = 0 AND i_start < e + 5 AND i_end > greatest(0, s - 5))""")
-def not_in_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+  SELECT 1 FROM {ivl} WHERE ivl.tid = b.tid AND ivl_id % 50 = 0 AND i_start < e + 5 AND i_end > greatest(0, s - 5))"""
+
+
+def _not_in(spark: SparkSession, sf_dir: str, ivl: DataFrame) -> DataFrame:
     rows = view(spark, sf_dir, "aln").filter("mapq > 50").withColumn("cluster_id", F.col("aln_id") % 3000)
     found = rows.groupBy("cluster_id", "tid").agg(F.min("pos").alias("bp_start"), F.max("pos").alias("bp_end"))
     tagged = found.select(F.concat_ws(":", "cluster_id", "tid").alias("id"), "cluster_id", "tid", "bp_start", "bp_end", F.col("tid").alias("chrom"), F.lit("x").alias("te"), F.lit("+").alias("strand"))
-    repeats = view(spark, sf_dir, "ivl").filter("ivl_id % 50 = 0").select(F.col("tid").alias("chrom"), F.col("i_start").alias("start"), F.col("i_end").alias("end"), F.lit("x").alias("te"), F.lit("+").alias("strand"))
+    repeats = ivl.select(F.col("tid").alias("chrom"), F.col("i_start").alias("start"), F.col("i_end").alias("end"), F.lit("x").alias("te"), F.lit("+").alias("strand"))
     return legacy.not_in_repeats(tagged, repeats, key="id").select("cluster_id", "tid", "bp_start", "bp_end")
 
 
+@query(REPEATS_SQL)
+def not_in_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against a fiftieth of the intervals, as its SQL."""
+    return _not_in(spark, sf_dir, view(spark, sf_dir, "ivl").filter("ivl_id % 50 = 0"))
+
+
+@query(REPEATS_SQL.replace(" AND ivl_id % 50 = 0", ""))
+def not_in_repeats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _not_in(spark, sf_dir, view(spark, sf_dir, "ivl"))
+
+
 @query()
 def seed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows seeded in the order of rows; tested against a loop."""

@@ -26,3 +26,18 @@ def test_long_and_short_pileup_strings(spark, tmp_path):
     where = documents(spark, tmp_path, [(1, "abcd!" * 30), (2, "abc"), (3, "")])
     got = driver.queries()["pileup_strings_whole"](spark, where).collect()
     assert sorted(map(tuple, got)) == [(1, ".,GTN" * 30, 120), (2, ".,G", 2), (3, "", 0)]
+
+
+def test_intervals_outside_the_former_subsets_count(spark, tmp_path):
+    """One alignment and one interval over it, whose number no subset has."""
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    line = [(1, 57, 5, 1, 1.0, "N", "O")]  # tid 0, pos 5560, mapq 57
+    spark.createDataFrame(line, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = [(26, 95)]  # tid 0, 5486 to 5621
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: driver.queries()[name](spark, str(tmp_path)).collect()
+    assert [(r.n_truth, r.truth_id) for r in run("truth_label_whole")] == [(1, 26)]
+    assert [r.ivl_id for r in run("support_label_whole")] == [26]
+    assert run("not_in_repeats_whole") == [] and run("blacklist_anti_whole") == []
+    assert len(run("blacklist_semi_whole")) == 1
+    assert len(run("not_in_repeats")) == len(run("blacklist_anti")) == 1 and run("support_label") == run("blacklist_semi") == []
