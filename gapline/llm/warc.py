@@ -205,7 +205,7 @@ def read_arc(content: bytes, name: str) -> Iterator[dict]:
                 return
             values = dict(zip(fields, [" ".join(parts[: extra + 1]), *parts[extra + 1 :]], strict=True))
             url, date = values.get("URL", ""), values.get("Archive-date", "")
-            kind = "response" if url.startswith(("http://", "https://", "-")) and block.startswith(b"HTTP/") else "resource"
+            kind = "response" if block.startswith(b"HTTP/") else "resource"  # whatever the URL's scheme
         made = uuid.uuid5(NAMESPACE, f"{name}/{offset}/{line.decode('utf-8', 'replace')}")
         yield {"offset": offset, "kind": kind, "url": url, "date": iso_date(date), "block": block, "id": f"urn:uuid:{made}"}
 

@@ -31,6 +31,15 @@ def test_round_trip(spark):
     assert sorted(map(key, got), key=repr) == brute(rows)
 
 
+def test_urls_of_any_form(spark):
+    urls = ["ftp://h/a", "HTTP://h/a", " http://h/a", "/relative", "h/a b", "HTTPS://h", "mailto:x@y", "", None, "http://h/"]
+    rows = [(k, u, body) for k, (u, body) in enumerate((u, b) for u in urls for b in ("x" * 1500, "short"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.archive_round_trip(df, "page_id", "url", "html").collect()
+    key = lambda r: (r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
+    assert sorted(map(key, got), key=repr) == brute(rows)
+
+
 def test_repeated_rows_have_one_response(spark):
     df = spark.createDataFrame([(7, "http://a/", "z" * 1500, "k")] * 3, "page_id long, url string, html string, key string")
     got = sorted((r.record_type, r.refers_to) for r in warc.archive_round_trip(df, "page_id", "url", "html").collect())
