@@ -2,9 +2,11 @@
 
 Every kind has a pattern whose leftmost non-overlapping matches are proposed,
 and a validator that confirms them; a match that fails is dropped and not
-retried.  Base kinds: ``email``, ``ip`` (parts at most 255), ``card`` (13 to 19
+retried, but for ``iban``.  Base kinds: ``email``, ``ip`` (parts at most 255), ``card`` (13 to 19
 digits passing Luhn) and ``phone`` (9 to 15 digits).  ``iban`` is added by the
-method: 15 to 34 letters and digits that pass mod-97.  A span's score starts at
+method: 15 to 34 letters and digits that pass mod-97.  Its pattern proposes a
+whole run of words of capitals and digits; an account number is looked for from
+each of its words, up to the end of any other.  A span's score starts at
 its kind's prior and rises when a word that goes with the kind stands within
 ``CONTEXT`` code points before it.
 
@@ -19,6 +21,8 @@ Only built-in column functions run here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,12 @@ KINDS = {
     "iban": (r"(?:\G|(?<![A-Z0-9]))[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])++", None, 0.8, "iban|bank|konto|account|compte|cuenta"),
 }
 BASE = ("email", "ip", "card", "phone")
+#: Lengths of account numbers by country; others are accepted too, these go first.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 "
+    "MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
 #: Code points before a span in which context words count, and what they add.
 CONTEXT, BONUS = 40, 0.2
 
@@ -75,10 +85,54 @@ def _valid(kind: str, value: Column) -> Column:
     n = F.char_length(_digits(value))
     if kind == "card":
         return F.when(n.between(13, 19), _luhn(value)).otherwise(F.lit(False))
-    if kind == "phone":
-        return n.between(9, 15)
-    n = F.char_length(F.replace(value, F.lit(" "), F.lit("")))
-    return F.when(n.between(15, 34), _mod97(value)).otherwise(F.lit(False))
+    return n.between(9, 15)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _account(rest: Column) -> Column:
+    """The account number that begins ``rest``, or an empty string.
+
+    It ends with a word; of several ends that of the country's length is taken,
+    else the last one.
+    """
+    size = lambda k: F.char_length(F.replace(F.left(rest, k), F.lit(" "), F.lit("")))
+    stops = lambda k: (F.char_length(rest) >= k) & F.substr(rest, k + 1, F.lit(1)).isin("", " ")
+    ends = F.filter(F.sequence(F.lit(15), F.lit(67)), lambda k: stops(k) & size(k).between(15, 34) & _mod97(F.left(rest, k)))
+    usual = F.filter(ends, lambda k: F.contains(F.lit(IBAN_LENGTHS), F.concat(F.left(rest, F.lit(2)), size(k).cast("string"))))
+    return F.left(rest, F.coalesce(F.array_max(usual), F.array_max(ends), F.lit(0)))
+
+
+FOUND = "array<struct<start:int,value:string>>"
+
+
+def _accounts(value: Column, begin: Column) -> Column:
+    """The account numbers within a match, none over another."""
+
+    def hits(words: Column) -> Column:
+        def hit(word: Column, i: Column) -> Column:
+            rest = F.left(F.array_join(F.slice(words, i + 1, 34), " "), F.lit(68))  # 34 characters with blanks between, and one behind
+            found = F.when(word.rlike("^[A-Z]{2}[0-9]{2}"), _let(rest, _account)).otherwise("")
+            return F.struct(word.alias("word"), found.alias("hit"))
+
+        return F.transform(words, hit)
+
+    start = F.struct(begin.alias("at"), begin.alias("free"), F.array().cast(FOUND).alias("found"))
+
+    def step(state: Column, x: Column) -> Column:
+        size = F.char_length(x["hit"])
+        good = (size > 0) & (state["at"] >= state["free"])
+        one = F.array(F.struct(state["at"].alias("start"), x["hit"].alias("value")))
+        return F.struct(
+            (state["at"] + F.char_length(x["word"]) + 1).alias("at"),
+            F.when(good, state["at"] + size).otherwise(state["free"]).alias("free"),
+            F.when(good, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"),
+        )
+
+    return F.when(F.char_length(value) >= 15, F.aggregate(_let(F.split(value, " "), hits), start, step, lambda state: state["found"])).otherwise(F.array().cast(FOUND))
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
@@ -90,14 +144,18 @@ def kind_spans(text: Column, kind: str) -> Column:
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     paired = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("found"))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + F.char_length(x["gap"])
-        one = F.array(F.struct(begin.alias("start"), x["hit"].alias("value")))
+        if kind == "iban":
+            found = F.concat(state["found"], _accounts(x["hit"], begin))
+        else:
+            one = F.array(F.struct(begin.alias("start"), x["hit"].alias("value")))
+            found = F.when(_valid(kind, x["hit"]), F.concat(state["found"], one)).otherwise(state["found"])
         return F.struct(
             (begin + F.char_length(x["hit"])).alias("at"),
-            F.when(_valid(kind, x["hit"]), F.concat(state["found"], one)).otherwise(state["found"]).alias("found"),
+            found.alias("found"),
         )
 
     found = F.aggregate(paired, start, step, lambda state: state["found"])

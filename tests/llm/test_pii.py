@@ -82,3 +82,20 @@ def test_empty_table_and_clashing_columns(spark):
     assert pii.find_pii(df).count() == 0
     df = spark.createDataFrame([(1, "a@b.c", "k", 1, "v")] * 2, "doc_id long, text string, kind string, start int, value string")
     assert [len(r.pii_email) for r in pii.find_pii(df).collect()] == [1, 1]
+
+
+def test_account_numbers_before_capitals_and_digits(spark):
+    gb, de, no = "GB82WEST12345698765432", "DE89370400440532013000", "NO9386011117947"
+    texts = [
+        f"IBAN {gb} Please pay",
+        f"{gb} {de} 9 {no} X",
+        "é AB12 GB82 WEST 1234 5698 7654 32 EUR 100",
+        f"{gb[:-1]}3 {no}",
+        f"{gb}X {gb}1",
+        "AA12 " * 2_000 + gb + " A" * 100,
+        f"XX11 {'A' * 40} {de} B",
+    ]
+    want = ["iban:5:27", "iban:0:22,iban:23:45,iban:48:63", "iban:7:34", "iban:23:38", "", "iban:10000:10022", "iban:46:68"]
+    got = spans(spark, texts, ("iban",))
+    assert [g for k, g in enumerate(got) if k != 5] == [w for k, w in enumerate(want) if k != 5]
+    assert got[5].split(",")[-1] == want[5]
