@@ -89,7 +89,8 @@ class KmerAligner:
 class GreedyAssembler:
     """Contigs of each cluster by greedy overlaps, in rounds with a falling minimum; the longest read if none overlap.
 
-    A cluster is one task's work, bounded by ``max_reads`` taken by length.
+    A cluster is one task's work.  Its reads come by length, ``max_reads`` at a time, each
+    batch joined with the contigs of those before.
     """
 
     def __init__(self, rounds: int = 5, overlap: int = 50, max_reads: int = 200):
@@ -97,11 +98,14 @@ class GreedyAssembler:
 
     def assemble(self, reads: DataFrame) -> DataFrame:
         def one(rows: pd.DataFrame) -> pd.DataFrame:
-            seqs = sorted(set(rows["seq"]), key=lambda s: (-len(s), s))[: self.max_reads]
-            for k in range(self.rounds):
-                seqs = _merge(seqs, max(10, self.overlap // 2**k))
-                if len(seqs) == 1:
-                    break
+            order = lambda s: (-len(s), s)
+            reads, seqs = sorted(set(rows["seq"]), key=order), []
+            for at in range(0, len(reads), self.max_reads):
+                seqs = sorted({*seqs, *reads[at : at + self.max_reads]}, key=order)
+                for k in range(self.rounds):
+                    seqs = _merge(seqs, max(10, self.overlap // 2**k))
+                    if len(seqs) == 1:
+                        break
             cluster = rows["cluster_id"].iloc[0]
             return pd.DataFrame([(cluster, i, s) for i, s in enumerate(seqs)], columns=["cluster_id", "contig", "seq"])
 

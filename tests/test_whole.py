@@ -41,3 +41,12 @@ def test_intervals_outside_the_former_subsets_count(spark, tmp_path):
     assert run("not_in_repeats_whole") == [] and run("blacklist_anti_whole") == []
     assert len(run("blacklist_semi_whole")) == 1
     assert len(run("not_in_repeats")) == len(run("blacklist_anti")) == 1 and run("support_label") == run("blacklist_semi") == []
+
+
+def test_reads_beyond_a_batch_are_assembled(spark):
+    from gapline.ext import GreedyAssembler
+
+    rows = [(1, "A" * 30 + "C" * 30), (1, "G" * 50), (1, "T" * 40), (1, "C" * 20 + "GA" * 9)]
+    df = spark.createDataFrame(rows, "cluster_id long, seq string")
+    got = GreedyAssembler(max_reads=2).assemble(df).collect()
+    assert {r.seq for r in got} == {"A" * 30 + "C" * 30 + "GA" * 9, "G" * 50, "T" * 40}
