@@ -2,14 +2,14 @@
 
 Words are maximal runs of UTF-8 bytes outside ``[\\x20\\x09-\\x0D]``.  Those are
 ASCII characters, so working on bytes gives the same words as working on
-characters.  Hashes are polynomials modulo 2**64 over random byte values,
-finished by a mixer; prefix sums give the hash of any range of a sequence in
-constant time.  All arrays are cut into blocks, so memory follows the block and
-not the longest text.
+characters.  A word's hash takes in eight bytes at a time; a range of words is
+hashed by the pieces of a power of two that cover it.  Texts are worked on in
+pieces, so memory follows the piece, or the longest text if that is longer.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +21,12 @@ WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text worked on at once, if no single text is longer.
 PIECE = 2 << 20
-#: Elements of a prefix sum.
-BLOCK = 1 << 20
 U64 = np.uint64
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
+LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,42 +38,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class Poly:
-    """Hashes of ranges of a sequence of 64-bit values."""
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, as one number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+class Hasher:
+    """64-bit hashes of words and of ranges of words.
+
+    Every step ends in a non-linear mixer, so sequences of a regular structure
+    (two symbols in the order of Thue and Morse, say) meet no sooner than others.
+    """
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 62, 1 << 63)) * 8 + 5 & (1 << 64) - 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.salt = U64(int(rng.integers(1, 1 << 63)) | 1)
-        self.bytes = rng.integers(0, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
-        self.folded = self.bytes.copy()
-        self.folded[65:91] = self.bytes[97:123]
-        self.up = self.down = np.ones(1, U64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, BLOCK)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                out = np.full(size, base, U64)
-                out[0] = 1
-                setattr(self, name, np.cumprod(out, dtype=U64))
-        return self.up, self.down
-
-    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
-        """Hash of ``values[s:e]`` for each range; starts and ends ascend.  ``table`` maps values first."""
-        out, i = np.empty(len(starts), U64), 0
-        while i < len(starts):
-            base = starts[i]
-            j = max(i + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-            part = values[base : ends[j - 1]]
-            up, down = self._powers(len(part) + 1)
-            sums = np.zeros(len(part) + 1, U64)
-            np.cumsum((part if table is None else table[part]) * up[: len(part)], out=sums[1:])
-            s, e = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * self.salt
-            i = j
-        return mix(out)
+        salts = np.random.default_rng(seed).integers(1, 1 << 63, 4, dtype=U64) * U64(2) + U64(1)
+        self.start, self.left, self.pair, self.size = salts
+        self.key = self.start.tobytes()
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of the bytes ``data[s:e]`` for each word."""
+        n = ends - starts
+        out = mix(self.start ^ n.astype(U64) * self.size)
+        lanes = _lanes(data)
+        some, done = np.flatnonzero(n <= LONG_WORD), 0
+        while len(some):
+            part = lanes[starts[some] + done] & LANE[np.minimum(n[some] - done, 8)]
+            out[some] = mix((out[some] ^ part) * self.left)
+            done += 8
+            some = some[n[some] > done]
+        for k in np.flatnonzero(n > LONG_WORD):
+            out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=self.key).digest(), "little")
+        return out
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(mix(a * self.left) + b ^ self.pair)
+
+    def grams(self, words: np.ndarray, n: int) -> np.ndarray:
+        """A hash of each ``n`` consecutive words."""
+        if len(words) < n:
+            return words[:0]
+        if n == 1:
+            return mix(words ^ self.size)
+        half = self.grams(words, n // 2)
+        both = self._join(half[: len(half) - n // 2], half[n // 2 :])
+        return self._join(both[: len(words) - n + 1], words[n - 1 :]) if n % 2 else both
+
+    def ranges(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of ``words[s:e]`` for each range: its length and the two longest pieces of a power of two."""
+        n = ends - starts
+        out = np.full(len(n), mix(self.size[None] ^ U64(1))[0], U64)
+        level, span = mix(words ^ self.size), 1
+        while len(some := np.flatnonzero((n >= span) & (n < 2 * span))) or (n >= span).any():
+            if len(some):
+                ends_of = self._join(level[starts[some]], level[ends[some] - span])
+                out[some] = mix(ends_of ^ n[some].astype(U64) * self.size)
+            if len(level) <= span:
+                break
+            level, span = self._join(level[:-span], level[span:]), span * 2
+        return out
+
+
+def equal_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes of the word whose number ``other`` gives."""
+    n = ends - starts
+    same = n == n[other]
+    lanes, some, done = _lanes(data), np.flatnonzero(same & (other != np.arange(len(n)))), 0
+    while len(some):
+        keep = LANE[np.minimum(n[some] - done, 8)]
+        same[some] = (lanes[starts[some] + done] & keep) == (lanes[starts[other[some]] + done] & keep)
+        done += 8
+        some = some[same[some] & (n[some] > done)]
+    return same
 
 
 def pieces(text: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
