@@ -7,35 +7,52 @@ without words the set is empty and linked with nothing.  Two documents link when
 
 Equal sets are collapsed first; what follows works on distinct sets.
 
-*Token classes.*  A one-row count-min sketch of all elements, summed over
-partitions, tells frequent elements from rare ones (any class function keeps the
-join exact).  Elements are ordered rare first, then by hash.
-
-*Prefixes.*  A set of n elements shares at least ceil(t n) with a partner, so the
-first shared one is among its first d + 1, d = n - ceil(t n).  Rare elements of
-this prefix are indexed singly.  If all U rare elements of a set may be unshared
-(U <= d), the pair can share frequent ones only; then the prefix is extended to
-the first (d - U) + (D - U) + 2 frequent elements, D bounding the symmetric
-difference with any partner.  Among these, two shared elements must be
-neighbours in both sets, because at most D - U others can stand between them,
-so pairs of neighbours are indexed: two-element combinations, as many as
-elements.
+*Token classes.*  A count-min sketch of all elements, summed over partitions,
+tells rare, frequent and very frequent elements apart (any class function keeps
+the join exact).  Elements are ordered by class, then by hash.  Rare ones are
+indexed singly, frequent ones in pairs, very frequent ones in triples, so the
+more frequent a token, the more tokens its index key combines.
+
+*Prefixes.*  A set of n elements shares at least ceil(t n) with a partner, so at
+most d = n - ceil(t n) of its elements are unshared; D bounds the unshared ones of
+both sets together.  U, V are the numbers of its rare and frequent elements.
+
+- The first shared element is among the set's first d + 1.  If it is rare, both
+  sets index it: k = 1 over the rare elements of this prefix.
+- Otherwise all rare elements are unshared, so U <= d.  Each unshared element can
+  stand between two shared frequent ones only once, so of D - U + 2 shared ones two
+  are neighbours in both sets: k = 2 over the neighbours among the first
+  (d - U) + (D - U) + 2 frequent elements.
+- If fewer are shared, V <= (d - U) + (D - U) + 1.  Each unshared element can break
+  two triples of very frequent ones, so of 2 (D - U) + 3 shared ones three are
+  consecutive in both sets: k = 3 over the first (d - U) + 2 (D - U) + 3.
+
+A pair of s shared and D unshared elements has such a triple if s >= 2 D + 4.
+Only small sets can lack it (``small``: of up to 6 elements at t = 0.8, none at
+0.85); they index pairs of very frequent elements too.  ``percent`` must be at
+least 67.
 
 *Candidates.*  In every index list each set meets the list's representative, the
 set with the fewest rare elements; the pairs are verified on the texts and linked
 into components.  Lists that hold sets of different components are then compared
-block by block, between components only.  Bounds on sizes and on rare elements
-that cannot be shared reject pairs before they leave a task.  A pair within one
-component changes no component, so all links between different components are
-found.
+block by block, between components only; long lists are split by size first, since
+only sets of nearly equal size can link.  Bounds on sizes, on rare elements that
+cannot be shared and on the sets' parities reject pairs before they leave a task.
+A pair within one component changes no component, so all components are found.
+
+*Links.*  All pairs of different sets within a component are then judged exactly,
+in blocks that multiply the sets' incidence matrices and hand on sums, no pairs.  A
+row's links count every other row that it links with, copies included.
 
 Null text counts as empty.  A null id is larger than all others and its row's
 component is null unless a row with an id is linked.  Repeated rows are linked.
+Sets are told apart by 64 bits, and where those meet by 64 others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -43,49 +60,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapline.llm import sketch
+from gapline.llm.rows import fresh
 from gapline.llm.store import Scratch
-from gapline.llm.textkernel import U64, Poly, bound_arrow_batches, find_words, mix, pieces, signed
+from gapline.llm.textkernel import FOLD, U64, Hasher, bound_arrow_batches, find_words, mix, pieces, signed
 
-LAST = (1 << 63) - 1
-#: Mean number of elements in a cell of the sketch, and limits of its width.
-LOAD, NARROW, WIDE = 64, 1 << 16, 1 << 24
-#: Cells in a row of a partial sketch.
+#: Mean number of elements in a counter of the sketch.
+LOAD = 64
+#: Elements in a counter from which they are frequent: this, and so many times the mean; very frequent from so many times more.
+FREQUENT, TIMES, MORE = 64, 4, 64
+#: Cells in a row of a filter of signatures.
 SEGMENT = 1 << 14
 #: Members of a block in the comparison of lists.
-SIDE = 256
+SIDE = 1024
+#: Sets and elements of a block in the count of links.
+LINK_SIDE, LINK_ELEMENTS = 4096, 1 << 21
 #: Most bits of a set's parity.
 PARITY = 4096
 #: Bits of the filter of signatures that sets share: 16 for each, within limits.
-FILTER_BITS, FILTER_WIDE = 16, 1 << 28
+NARROW, FILTER_BITS, FILTER_WIDE = 1 << 16, 16, 1 << 28
+KEY = ["nil", "doc", "t1", "t2"]
 
 
 @cache
-def _poly() -> Poly:
-    return Poly(21)
+def _hasher() -> Hasher:
+    return Hasher(21)
 
 
 def _sets(batch_text: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ascending distinct element hashes) of each text."""
-    poly = _poly()
+    hasher = _hasher()
     for lo, hi, data, bounds in pieces(batch_text):
         starts, ends, first = find_words(data, bounds)
-        words = poly.ranges(data, starts, ends, poly.folded)
-        at = np.arange(max(0, len(words) - shingle + 1))
-        grams = poly.ranges(words, at, at + shingle)
+        words = hasher.words(FOLD[data], starts, ends)
+        grams = hasher.grams(words, shingle)
+        size = np.diff(first)
+        short = np.flatnonzero((size > 0) & (size < shingle))
+        alone = dict(zip(short.tolist(), hasher.ranges(words, first[short], first[short + 1])[:, None], strict=True))
         for k in range(hi - lo):
-            a, b = first[k], first[k + 1]
-            if b - a >= shingle:
-                yield lo + k, np.unique(grams[a : b - shingle + 1])
+            if size[k] >= shingle:
+                yield lo + k, np.unique(grams[first[k] : first[k + 1] - shingle + 1])
             else:
-                yield lo + k, poly.ranges(words, np.array([a]), np.array([b])) if b > a else words[:0]
+                yield lo + k, alone.get(k, words[:0])
 
 
-def _set_id(elements: np.ndarray) -> int:
-    """The same for equal sets; 0 is kept for the empty one."""
+def _set_id(elements: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two numbers, the same for equal sets, the first of ``bits`` bits."""
     if not len(elements):
-        return 0
-    sums = np.array([mix(elements).sum(dtype=U64), mix(elements ^ U64(0x9E3779B97F4A7C15)).sum(dtype=U64), len(elements)], U64)
-    return int(signed(mix((sums * np.array([1, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], U64)).sum(keepdims=True, dtype=U64)))[0])
+        return 0, 0
+    sums = np.array([mix(elements ^ U64(0x9E3779B97F4A7C15)).sum(dtype=U64), mix(elements + U64(0x2545F4914F6CDD1D)).sum(dtype=U64)], U64)
+    sums = mix(sums + U64(len(elements)) * U64(0x9FB21C651E98DF25))
+    return int(signed(sums[:1] >> U64(64 - bits))[0]), int(signed(sums)[1])
+
+
+Names = dict[tuple[int, int], int]
+
+
+def _name(elements: np.ndarray, renamed: Names, bits: int) -> int:
+    """The set's id: its first number, or another one if a different set has that too."""
+    ids = _set_id(elements, bits)
+    return renamed.get(ids, ids[0])
 
 
 def _parity(elements: np.ndarray) -> bytes:
@@ -95,89 +129,57 @@ def _parity(elements: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _distance(x: bytes, y: bytes) -> int:
-    """At most the size of the sets' symmetric difference; the longer array is folded onto the shorter one."""
-    if len(x) > len(y):
-        x, y = y, x
-    a = int.from_bytes(x, "little")
-    for k in range(0, len(y), len(x)):
-        a ^= int.from_bytes(y[k : k + len(x)], "little")
-    return a.bit_count()
-
-
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose parities do not rule a link out.  Columns: a, b, n and parity of either."""
     for batch in batches:
+        size = batch.num_rows
         n = (batch.column(2).to_numpy() + batch.column(4).to_numpy()) * (100 - percent) // (100 + percent)
-        x, y = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-        keep = pa.array([_distance(x[i], y[i]) <= n[i] for i in range(batch.num_rows)], pa.bool_())
+        parities = _Parities(batch.column(3).to_pylist() + batch.column(5).to_pylist())
+        keep = pa.array(parities.distance(np.arange(size), size + np.arange(size)) <= n)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def _describe(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], shingle: int, id_bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [(_set_id(s), len(s), _parity(s)) for _, s in _sets(batch.column(2), shingle)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array([x[0] for x in out], pa.int64()),
-                pa.array([x[1] for x in out], pa.int64()),
-                pa.array([x[2] for x in out], pa.binary()),
-            ],
-            names=["doc", "twin", "sid", "n", "parity"],
-        )
+        out = [(*_set_id(s, id_bits), len(s), _parity(s)) for _, s in _sets(batch.column(4), shingle)]
+        made = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], names=[*KEY, "raw", "check", "n", "parity"])
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts as 16-bit numbers; what is larger is frequent in any case."""
-    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
-
-
-def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, width: int) -> Iterator[pa.RecordBatch]:
-    """This partition's counts of elements by cell, in segments."""
-    cells, seen = np.zeros(width, np.uint32), set()
+def _elements(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[np.ndarray]:
+    """The elements of this partition's sets; copies that meet here count once."""
+    seen = set()
     for batch in batches:
         for _, s in _sets(batch.column(0), shingle):
             sid = _set_id(s)
             if len(s) and sid not in seen:
                 seen.add(sid)
-                cells[(s & U64(width - 1)).astype(np.int64)] += 1  # elements of a set that share a cell count once
-    for k in range(0, width, SEGMENT):
-        part = cells[k : k + SEGMENT]
-        if part.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k // SEGMENT], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["segment", "cells"]
-            )
+                yield s
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    total = np.zeros(SEGMENT, np.uint64)
-    for x in table.column("cells"):
-        part = np.frombuffer(x.as_buffer(), np.uint16)
-        total[: len(part)] += part
-    return pa.table({"segment": table.column("segment")[:1], "cells": pa.array([_packed(total)], pa.binary())})
+class Classes:
+    """Bits of the counters that hold frequent and very frequent elements."""
 
+    def __init__(self, bits: tuple[np.ndarray, np.ndarray], width: int):
+        self.bits, self.width = bits, width
 
-def frequent_cells(docs: DataFrame, shingle: int, elements: int) -> tuple[np.ndarray, int]:
-    """The frequent cells as bits, and the number of cells; its size is bounded by ``WIDE``.
+    def split(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rare, frequent, very frequent) elements."""
+        at = sketch.cells(s, 0, self.width)
+        often, hot = ((b[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1 for b in self.bits)
+        return s[~often], s[often & ~hot], s[hot]
 
-    A cell is frequent if it holds four times the mean load and at least 64.
-    """
-    width = int(min(max(NARROW, 1 << (max(1, elements) // LOAD).bit_length()), WIDE))
-    schema = "segment int, cells binary"
-    parts = docs.select("__text").mapInArrow(lambda it: _sketch(it, shingle, width), schema)
-    # partial sketches of a segment meet in two steps, so no task gathers them all
-    for salt in (8, 1):
-        key = [F.col("segment"), F.pmod(F.xxhash64("cells"), F.lit(salt))]
-        parts = parts.groupBy(*key).applyInArrow(lambda table: _merge(table), schema)
-    limit = min(max(64, 4 * elements // width), 65535)
-    bits = np.zeros(width // 8, np.uint8)
-    for row in parts.toLocalIterator():
-        hot = np.frombuffer(row["cells"], np.uint16)[: min(SEGMENT, width)] >= limit
-        at = row["segment"] * SEGMENT // 8
-        bits[at : at + len(hot) // 8] = np.packbits(hot, bitorder="little")
-    return bits, width
+
+def token_classes(docs: DataFrame, shingle: int, elements: int, scratch: Scratch) -> Classes:
+    """The classes of ``elements`` elements; their bits take at most ``2 * sketch.WIDE / 8`` bytes."""
+    width = sketch.width_for(elements, LOAD)
+    texts = docs.select("text")
+    parts = texts.mapInArrow(lambda it: sketch.partial(_elements(it, shingle), 1, width), sketch.SCHEMA)
+    counts = scratch.keep(sketch.merged(parts, texts.rdd.getNumPartitions()), "counts")
+    limit = max(FREQUENT, TIMES * elements // width)
+    bits = tuple(sketch.reached(counts, k, 1, width) for k in (limit, limit * MORE))
+    scratch.drop("counts")
+    return Classes(bits, width)
 
 
 def _mark(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -221,8 +223,35 @@ def budgets(n: int, percent: int) -> tuple[int, int]:
     return n - -(-percent * n // 100), (n + 100 * n // percent) * (100 - percent) // (100 + percent)
 
 
+def small(percent: int) -> int:
+    """The size up to which linked sets may have no three consecutive shared elements."""
+    if not 67 <= percent <= 100:
+        raise ValueError("percent must be from 67 to 100")
+    found, apart = 0, 1
+    while percent < 100 and -(-percent * apart // (100 - percent)) <= 2 * apart + 3:
+        found, apart = 3 * apart + 3, apart + 1
+    return found
+
+
+def combinations(s: np.ndarray, classes: Classes, percent: int) -> list[tuple[np.ndarray, int]]:
+    """(signatures, k - 1) of a set, and the number of its rare elements last."""
+    n = len(s)
+    d, both = budgets(n, percent)
+    rare, often, hot = classes.split(s)
+    out = [(mix(rare[: d + 1]), 0)]
+    u = len(rare)
+    if u <= min(d, both):
+        room = d + both - 2 * u + 2
+        top = (np.concatenate([often, hot]) if n <= small(percent) else often)[:room]
+        out.append((mix(mix(top[:-1]) * U64(3) + top[1:]), 1))
+        if len(often) < room:
+            top = hot[: room + both - u + 1]
+            out.append((mix(mix(mix(top[:-2]) * U64(3) + top[1:-1]) * U64(5) + top[2:]), 2))
+    return [x for x in out if len(x[0])]
+
+
 def _signatures(
-    batches: Iterator[pa.RecordBatch], shingle: int, percent: int, bits: np.ndarray, width: int, wanted: np.ndarray | None
+    batches: Iterator[pa.RecordBatch], shingle: int, percent: int, id_bits: int, classes: Classes, renamed: Names, wanted: np.ndarray | None
 ) -> Iterator[pa.RecordBatch]:
     """(sig, sid, info) of the sets; ``info`` packs size, number of rare elements and whether sig is a combination."""
     seen: set[int] = set()
@@ -236,24 +265,17 @@ def _signatures(
 
         for _, s in _sets(batch.column(0), shingle):
             n = len(s)
-            sid = _set_id(s)
-            d, both = budgets(n, percent)
-            if not both or sid in seen:  # a set with no room for a different partner, or one done already
+            sid = _name(s, renamed, id_bits)
+            if not budgets(n, percent)[1] or sid in seen:  # a set with no room for a different partner, or one done already
                 continue
             seen.add(sid)
-            cell = (s & U64(width - 1)).astype(np.int64)
-            hot = (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-            rare, often = s[~hot], s[hot]
-            made = [(mix(rare[: d + 1]), 0)]
-            if len(rare) <= min(d, both):
-                top = often[: d + both - 2 * len(rare) + 2]
-                made.append((mix(mix(top[:-1]) * U64(3) + top[1:]), 1))
-            for out, is_pair in made:
+            rare = len(classes.split(s)[0])
+            for out, k in combinations(s, classes, percent):
                 if wanted is not None:
                     at = out & U64(len(wanted) * 8 - 1)
                     out = out[(wanted[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1]
                 if len(out):
-                    signs.append(out), sids.append(sid), infos.append(n << 32 | len(rare) << 1 | is_pair)
+                    signs.append(out), sids.append(sid), infos.append(n << 32 | rare << 1 | (k > 0))
                     held += len(out)
             if held > 200_000:
                 yield flush()
@@ -310,41 +332,154 @@ def _across(columns: dict[str, np.ndarray], parities: list[bytes], same: bool, p
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """``_across`` for every (sig, i, j) of rows sorted by them; a group may go over batches."""
-    held: pa.Table | None = None
+    """Pairs of every block."""
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         column = {k: table.column(k).to_numpy() for k in table.column_names if k != "parity"}
         parities = table.column("parity").to_pylist()
-        new = np.ones(len(table), bool)
-        new[1:] = False
-        for k in ("sig", "i", "j"):
-            new[1:] |= column[k][1:] != column[k][:-1]
-        cuts = np.append(np.flatnonzero(new), len(table))
         xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for a, b in _cuts(column):
             part = {k: column[k][a:b].astype(np.int64) for k in ("sid", "n", "rare", "comp", "side")}
-            x, y = _across(part, parities[a:b], bool(column["i"][a] == column["j"][a]), bool(column["pair"][a]), percent)
+            x, y = _across(part, parities[a:b], _within(column, a), bool(column["pair"][a]), percent)
             xs.append(x), ys.append(y)
         x, y = np.concatenate(xs), np.concatenate(ys)
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
+    return _by_block(batches, pairs)
+
+
+def _incidence(part: np.ndarray, rows: int, lo: int, hi: int, row: np.ndarray) -> np.ndarray:
+    out = np.zeros((rows, hi - lo), np.float32)
+    here = (part >= lo) & (part < hi)
+    out[row[here], part[here] - lo] = 1
+    return out
+
+
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, step: int = 1 << 23) -> np.ndarray:
+    """The number of elements that each set of ``left`` shares with each of ``right``."""
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1  # others are in one set only
+    keep = often[number]
+    number, own = (np.cumsum(often) - 1)[number[keep]], own[keep]
+    total, columns = int(often.sum()), max(1, step // max(1, len(sets)))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, total, columns):
+        made = _incidence(number, len(sets), lo, min(lo + columns, total), own)
+        out += made[left] @ made[right].T
+    return out
+
+
+def _link_counts(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(sid, number of rows with other sets that it links with) of every block."""
+
+    def counts(table: pa.Table) -> pa.RecordBatch:
+        column = {k: table.column(k).to_numpy() for k in table.column_names if k != "text"}
+        sets = [s for _, s in _sets(table.column("text").chunk(0), shingle)]
+        sids, sums = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b in _cuts(column):
+            n, copies, sid = (column[k][a:b].astype(np.int64) for k in ("n", "copies", "sid"))
+            same = _within(column, a)
+            sides = (np.arange(b - a),) * 2 if same else [np.flatnonzero(column["side"][a:b] == k) for k in (0, 1)]
+            both = shared_counts(sets[a:b], *sides)
+            # whole numbers below 2**24, which 32-bit floating numbers hold exactly
+            back = np.zeros(len(sides[1]), np.int64)
+            for lo in range(0, len(both), 256):
+                x = sides[0][lo : lo + 256]
+                inner = both[lo : lo + 256].astype(np.int64)
+                linked = 100 * inner >= percent * (n[x][:, None] + n[sides[1]][None, :] - inner)
+                if same:
+                    linked &= x[:, None] != sides[1][None, :]
+                sids.append(sid[x])
+                sums.append(linked @ copies[sides[1]])
+                back += copies[x] @ linked
+            if not same:
+                sids.append(sid[sides[1]])
+                sums.append(back)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sids)), pa.array(np.concatenate(sums))], names=["sid", "links"])
+
+    return _by_block(batches, counts)
+
+
+BLOCK = ("group", "band", "i", "j")
+
+
+def _cuts(column: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """The blocks' ranges of rows."""
+    new = np.zeros(len(column["i"]), bool)
+    new[:1] = True
+    for k in BLOCK:
+        new[1:] |= column[k][1:] != column[k][:-1]
+    cuts = np.append(np.flatnonzero(new), len(new)).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _within(column: dict[str, np.ndarray], at: int) -> bool:
+    """Whether the block is compared with itself."""
+    return bool(column["i"][at] == column["j"][at] and column["band"][at] % 2 == 0)
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], function: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``function`` of whole blocks of rows that are sorted by them; a block may go over batches."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]) if held is not None else table
-        if not len(table):
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held[-1:], batch])
+        key = [table.column(k).to_numpy() for k in BLOCK]
+        last = np.logical_and.reduce([k == k[-1] for k in key])
+        before = len(table) - batch.num_rows  # rows of the batch held last, all of one block
+        if last[0] and (not before or last[:before].all()):
+            held.append(batch)  # the block goes on
             continue
-        key = [table.column(k).to_numpy() for k in ("sig", "i", "j")]
-        last = np.ones(len(table), bool)
-        for k in key:
-            last &= k == k[-1]
-        cut = int(np.flatnonzero(last)[0])
-        held = table.slice(cut).combine_chunks()
-        if cut:
-            yield pairs(table.slice(0, cut))
-    if held is not None and len(held):
-        yield pairs(held)
+        cut = int(np.flatnonzero(~last)[-1]) + 1 - before
+        yield function(pa.Table.from_batches([*held, batch.slice(0, max(cut, 0))]).combine_chunks())
+        held = [batch.slice(max(cut, 0))]
+    if held:
+        yield function(pa.Table.from_batches(held).combine_chunks())
+
+
+def band_of(n: Column, percent: int) -> Column:
+    """Bands of sizes: sets that link are in the same or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+
+
+def spread(rows: DataFrame, key: str, whole: Column, sides: Column, percent: int) -> DataFrame:
+    """A row of ``rows`` for every block that its set takes part in.
+
+    ``whole`` says, as an aggregate of a group of equal ``key``, that the group is one
+    block, ``sides`` into how many shares a band of the group is dealt.  Each share
+    meets itself, the others of its band and those of the neighbouring bands.
+    """
+    banded = rows.withColumn("size", band_of(F.col("n"), percent))
+    shares = banded.groupBy(key, "size").agg(sides.cast("int").alias("sides"))
+    shares = shares.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("size", "sides"))).alias("sides"))
+    shares = rows.groupBy(key).agg(whole.alias("whole")).join(shares, key)
+    alone = F.map_from_arrays(F.array(F.lit(0)), F.array(F.lit(1)))
+    shares = shares.select(key, "whole", F.when(F.col("whole"), alone).otherwise(F.col("sides")).alias("sides"))
+    part = banded.join(shares, key).withColumn("size", F.when(F.col("whole"), 0).otherwise(F.col("size")))
+    count = lambda step: F.coalesce(F.try_element_at("sides", F.col("size") + step), F.lit(0))
+    part = part.withColumn("own", F.pmod(F.xxhash64("sid"), count(0)).cast("int"))
+
+    def meet(step: int, block: Callable[[Column], Column]) -> Column:
+        return F.transform(F.when(count(step) > 0, F.sequence(F.lit(0), count(step) - 1)).otherwise(F.array().cast("array<int>")), block)
+
+    def place(band: Column, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(band.cast("int").alias("band"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    size, own = F.col("size"), F.col("own")
+    blocks = F.concat(
+        meet(0, lambda q: place(size * 2, F.least(own, q), F.greatest(own, q), own > q)),
+        meet(1, lambda q: place(size * 2 + 1, own, q, F.lit(0))),
+        meet(-1, lambda q: place(size * 2 - 1, q, own, F.lit(1))),
+    )
+    made = part.withColumn("block", F.explode(blocks)).withColumnRenamed(key, "group")
+    return made.select("group", "block.band", "block.i", "block.j", "block.side", *[c for c in rows.columns if c != key])
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -382,46 +517,68 @@ def components(edges: DataFrame, labels: DataFrame, scratch: Scratch, name: str)
         target = moved.select(F.col("sid").alias("to"), F.col("next").alias("far"))
         jumped = moved.join(target, moved["next.sid"] == target["to"]).select("sid", "label", F.least("next", "far").alias("next"))
         jumped = scratch.keep(jumped, f"{name}-{step}")
+        scratch.drop(f"{name}-{step - 1}", f"{name}-{step}-near")
         changed = jumped.filter(F.col("next") != F.col("label")).limit(1).count()
         state = jumped.select("sid", F.col("next").alias("label"))
         if not changed:
+            scratch.drop(f"{name}-edges")
             return state
 
 
+def names_of(rows: DataFrame, sets: DataFrame) -> Names:
+    """New ids of sets that share theirs with a different one.
+
+    Of n sets some n**2 / 2**65 do, a few tens at 10**10.
+    """
+    met = rows.join(sets.filter("least <> most").select("sid"), "sid", "left_semi").select("raw", "check", "sid").distinct()
+    found = met.collect()
+    new = signed(mix(np.array([r["sid"] ^ r["check"] for r in found], np.int64).view(U64))).tolist()
+    return {(r["raw"], r["check"]): x for r, x in zip(found, new, strict=True)}
+
+
 def _size_ok(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def jaccard_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, links: bool = False, id_bits: int = 64
 ) -> DataFrame:
-    """A row for each row of ``df``: id_col, __twin (hash of its text), n_shingles, component_id, first.
+    """A row for each row of ``df``: id_col, n_shingles, component_id, first, t1, t2, and n_links if ``links``.
 
-    ``first`` marks the rows of the component's smallest (id, twin).
+    ``first`` marks the rows of the component's smallest key (id, t1, t2); t1 and t2
+    are hashes of the text.  Shorter set ids (``id_bits``) meet more often and change
+    no result.
     """
+    small(percent)  # or an error
     spark = df.sparkSession
     bound_arrow_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    docs = df.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("__doc"),
-        F.hash(text_col).alias("__twin"),
-        F.col(text_col).alias("__text"),
-    )
+    docs = df.select(*[c.alias(k) for k, c in zip(KEY, _key(id_col, text_col), strict=True)], F.col(text_col).alias("text"))
+    key = "nil int, doc long, t1 long, t2 long"
     rows = scratch.keep(
-        docs.mapInArrow(lambda it: _describe(it, shingle), "doc long, twin int, sid long, n long, parity binary"), "rows"
-    )
-    sets = scratch.keep(
-        rows.filter("n > 0")
-        .groupBy("sid")
-        .agg(F.min(F.struct("doc", "twin", "parity")).alias("best"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-        .select("sid", "best.doc", "best.twin", "best.parity", "n", "copies"),
-        "sets",
+        docs.mapInArrow(lambda it: _describe(it, shingle, id_bits), f"{key}, raw long, check long, n long, parity binary"), "rows"
     )
+
+    def grouped(rows: DataFrame, name: str) -> DataFrame:
+        best = F.min(F.struct(*KEY, "parity")).alias("best")
+        made = rows.filter("n > 0").groupBy("sid").agg(
+            best, F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("least"), F.max("check").alias("most")
+        )
+        return scratch.keep(made.select("sid", *[f"best.{k}" for k in KEY], "best.parity", "n", "copies", "least", "most"), name)
+
+    raw, renamed = rows, {}
+    rows = raw.withColumn("sid", F.col("raw"))
+    sets = grouped(rows, "sets")
+    while new := names_of(rows, sets):
+        renamed |= new
+        given = F.broadcast(spark.createDataFrame([(*k, x) for k, x in renamed.items()], "raw long, check long, name long"))
+        rows = raw.join(given, ["raw", "check"], "left").withColumn("sid", F.coalesce("name", "raw")).drop("name")
+        rows = scratch.keep(rows, f"rows-{len(renamed)}")
+        sets = grouped(rows, f"sets-{len(renamed)}")
     elements = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits, width = frequent_cells(docs, shingle, elements)
-    shared = spark.sparkContext.broadcast(bits)
-    index = lambda wanted: docs.select("__text").mapInArrow(
-        lambda it: _signatures(it, shingle, percent, shared.value, width, wanted and wanted.value), "sig long, sid long, info long"
+    shared = spark.sparkContext.broadcast((token_classes(docs, shingle, elements, scratch), renamed))
+    index = lambda wanted: docs.select("text").mapInArrow(
+        lambda it: _signatures(it, shingle, percent, id_bits, *shared.value, wanted and wanted.value), "sig long, sid long, info long"
     )
     lists = scratch.keep(
         index(None).groupBy("sig").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("sig"), "lists"
@@ -437,6 +594,7 @@ def jaccard_components(
     )
     members = scratch.keep(members, "members")
     scratch.drop("lists")
+    wanted.destroy()
     reps = members.groupBy("sig").agg(F.min(F.struct("rare", "sid", "n")).alias("rep"))
     reps = scratch.keep(reps.select("sig", "rep.sid", "rep.n", "rep.rare").toDF("sig", "rep", "rep_n", "rep_rare"), "reps")
 
@@ -447,77 +605,109 @@ def jaccard_components(
         pairs = pairs.select("a", "b", "n_a", "parity_a", "n_b", "parity_b")
         return pairs.mapInArrow(lambda it: _near(it, percent), "a long, b long")
 
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(sid, text) of the wanted sets."""
+        where = scratch.keep(sets.join(wanted, "sid", "left_semi").select("sid", *KEY), f"{name}-where")
+        texts = docs.join(where, KEY).dropDuplicates([*KEY, "sid"]).select("sid", "text")
+        texts = scratch.keep(texts, f"{name}-texts")
+        scratch.drop(f"{name}-where")
+        return texts
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link."""
         pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        where = scratch.keep(sets.join(wanted, "sid", "left_semi").select("sid", "doc", "twin"), f"{name}-where")
-        on = (docs["__doc"] == where["doc"]) & (docs["__twin"] == where["twin"])
-        texts = docs.join(where, on).dropDuplicates(["doc", "twin", "sid"]).select("sid", "__text")
-        texts = scratch.keep(texts, f"{name}-texts")
-        left = texts.toDF("a", "text_a")
-        right = texts.toDF("b", "text_b")
+        texts = texts_of(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), name)
+        left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
         full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         found = full.mapInArrow(lambda it: _verify(it, shingle, percent), "a long, b long")
         found = scratch.keep(found, f"{name}-links")
-        scratch.drop(f"{name}-pairs", f"{name}-where", f"{name}-texts")
+        scratch.drop(f"{name}-pairs", f"{name}-texts")
         return found
 
     unlike = (F.col("rare") + F.col("rep_rare")) * (100 + percent) > (F.col("n") + F.col("rep_n")) * (100 - percent)
     star = members.join(reps, "sig").filter(
         (F.col("sid") != F.col("rep")) & _size_ok(F.col("n"), F.col("rep_n"), percent) & ~(F.col("pair") & unlike)
     ).select(F.least("sid", "rep").alias("a"), F.greatest("sid", "rep").alias("b"))
-    labels = sets.select("sid", F.struct("doc", "twin", "sid").alias("label"))
-    links = verified(near(scratch.keep(star.distinct(), "stars")), "star")
-    stars = scratch.keep(components(links, labels, scratch, "star-parts"), "star-parts")
+    labels = sets.select("sid", F.struct(*KEY, "sid").alias("label"))
+    edges = verified(near(scratch.keep(star.distinct(), "stars")), "star")
+    scratch.drop("reps", "stars")
+    stars = scratch.keep(components(edges, labels, scratch, "star-parts"), "star-parts")
 
     # lists whose members are not all in one component yet
     own = members.join(stars.select("sid", F.col("label.sid").alias("to")), "sid", "left")
     own = scratch.keep(own.select("sig", "sid", "n", "rare", "pair", F.coalesce("to", "sid").alias("comp")), "own")
     scratch.drop("members")
-    open_lists = scratch.keep(
-        own.groupBy("sig")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
-        .filter("lo < hi")
-        .select("sig", F.ceil(F.col("size") / SIDE).cast("int").alias("sides")),
-        "open",
-    )
-    part = own.join(open_lists, "sig").join(sets.select("sid", "parity"), "sid").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("sides")).cast("int"))
-    spread = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select(
-        "sig",
-        F.least("part", "other").alias("i"),
-        F.greatest("part", "other").alias("j"),
-        F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"),
-        *["sid", "n", "rare", "pair", "comp", "parity"],
-    )
-    spread = spread.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    across = spread.mapInArrow(lambda it: _blocks(it, percent), "a long, b long")
-    links = links.unionByName(verified(across, "across"))
-    parts = scratch.keep(components(links, labels, scratch, "parts"), "parts")
+    open_lists = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
+    part = scratch.keep(own.join(open_lists, "sig"), "open")
+    part = spread(part, "sig", F.count(F.lit(1)) <= SIDE, F.ceil(F.count(F.lit(1)) / SIDE), percent)
+    part = in_blocks(part.join(sets.select("sid", "parity"), "sid"))
+    across = part.mapInArrow(lambda it: _blocks(it, percent), "a long, b long")
+    edges = edges.unionByName(verified(across, "across"))
+    parts = scratch.keep(components(edges, labels, scratch, "parts"), "parts")
+    scratch.drop("own", "open")
 
     found = sets.join(parts, "sid", "left").select(
-        "sid", "copies", F.coalesce("label", F.struct("doc", "twin", "sid")).alias("label")
+        "sid", "copies", F.coalesce("label", F.struct(*KEY, "sid")).alias("label")
     )
+    if links:
+        found = found.join(_links(sets, parts, edges, texts_of, scratch, shingle, percent), "sid", "left")
+        found = found.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1).drop("links")
     found = scratch.keep(found, "found")
     # as in exact_dedup, at most a thousand sets have more than a thousandth of the rows
     limit = max(100, -(-rows.count() // 1000))
     hot = F.broadcast(found.filter(F.col("copies") > limit))
+    rows = rows.drop("raw", "check", "parity")
     full, bare = rows.filter("n > 0"), rows.filter("n = 0")
     cold = full.join(hot.select("sid"), "sid", "left_anti")
     both = full.join(hot, "sid").unionByName(cold.join(found, "sid"))
-    both = both.select(
-        "doc", "twin", "n", F.col("label.doc").alias("least"), ((F.col("doc") == F.col("label.doc")) & (F.col("twin") == F.col("label.twin"))).alias("first")
-    ).unionByName(bare.select("doc", "twin", "n", F.col("doc").alias("least"), F.lit(True).alias("first")))
-    real = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return both.select(
-        real("doc").alias(id_col), F.col("twin").alias("__twin"), F.col("n").alias("n_shingles"), real("least").alias("component_id"), "first"
-    )
+    more = ["n_links"] if links else []
+    is_first = (F.col("nil") == F.col("label.nil")) & (F.col("doc") == F.col("label.doc"))
+    is_first &= (F.col("t1") == F.col("label.t1")) & (F.col("t2") == F.col("label.t2"))
+    own_id, least = F.when(F.col("nil") == 0, F.col("doc")), F.when(F.col("label.nil") == 0, F.col("label.doc"))
+    both = both.select(own_id.alias(id_col), F.col("n").alias("n_shingles"), least.alias("component_id"), is_first.alias("first"), "t1", "t2", *more)
+    bare = bare.select(own_id.alias(id_col), F.col("n").alias("n_shingles"), own_id.alias("component_id"), F.lit(True).alias("first"), "t1", "t2", *[F.lit(0).cast("bigint").alias(c) for c in more])
+    return both.unionByName(bare)
+
+
+def _key(id_col: str, text_col: str) -> list[Column]:
+    """nil, doc, t1 and t2: rows that have them in common have the same id, or none, and the same text."""
+    nil, text = F.col(id_col).isNull().cast("int"), F.col(text_col)
+    return [nil, F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def _links(
+    sets: DataFrame, parts: DataFrame, edges: DataFrame, texts_of: Callable[[DataFrame, str], DataFrame], scratch: Scratch, shingle: int, percent: int
+) -> DataFrame:
+    """(sid, links): the number of rows with other sets that a set links with.
+
+    Where every pair of a component has been verified already, its edges are counted;
+    the others are compared in blocks.
+    """
+    known = parts.select("sid", F.col("label.sid").alias("comp")).join(sets.select("sid", "n", "copies"), "sid")
+    known = scratch.keep(known, "linked")
+    both = scratch.keep(edges.select("a", "b").distinct(), "edges")
+    pairs = both.join(known.select(F.col("sid").alias("a"), "comp"), "a").groupBy("comp").agg(F.count(F.lit(1)).alias("pairs"))
+    size = known.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    whole = pairs.join(size, "comp").filter(F.col("pairs") * 2 == F.col("size") * (F.col("size") - 1)).select("comp")
+    whole = scratch.keep(whole, "whole")
+    done = known.join(whole, "comp", "left_semi")
+    ends = both.toDF("sid", "to").unionByName(both.select(F.col("b").alias("sid"), F.col("a").alias("to")))
+    summed = ends.join(done.select(F.col("sid").alias("to"), "copies"), "to").select("sid", F.col("copies").alias("links"))
+    rest = scratch.keep(known.join(whole, "comp", "left_anti"), "rest")
+    texts = texts_of(rest.select("sid"), "rest")
+    amount = [F.count(F.lit(1)) / LINK_SIDE, F.sum("n") / LINK_ELEMENTS]
+    blocks = spread(rest, "comp", F.greatest(*amount) <= 1, F.ceil(F.greatest(*amount)), percent)
+    counted = in_blocks(blocks.join(texts, "sid")).mapInArrow(lambda it: _link_counts(it, shingle, percent), "sid long, links long")
+    return scratch.keep(counted.unionByName(summed).groupBy("sid").agg(F.sum("links").alias("links")), "links")
 
 
 def jaccard_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns: of each component that with the smallest id."""
+    """The rows of ``df`` that stay, with all their columns: of each component that with the smallest id.
+
+    Of rows with the same id and text one stays.
+    """
+    names = fresh(df, *KEY)
     kept = jaccard_components(df, id_col, text_col, shingle, percent).filter("first")
-    kept = kept.select(F.coalesce(id_col, F.lit(LAST)).alias("__k"), F.col("__twin").alias("__t")).distinct()
-    marked = df.withColumns({"__doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)), "__twin": F.hash(text_col)})
-    stay = marked.join(kept, (marked["__doc"] == kept["__k"]) & (marked["__twin"] == kept["__t"]), "left_semi")
-    return stay.dropDuplicates(["__doc", "__twin"]).drop("__doc", "__twin")
+    kept = kept.select(F.col(id_col).isNull().cast("int"), F.coalesce(id_col, F.lit(0)), "t1", "t2").toDF(*names).distinct()
+    marked = df.withColumns(dict(zip(names, _key(id_col, text_col), strict=True)))
+    return marked.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)

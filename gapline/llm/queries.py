@@ -69,8 +69,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id")
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), links=True)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
