@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.store import Scratch
-from gapline.llm.textkernel import Poly, bound_arrow_batches, find_words, pieces
+from gapline.llm.textkernel import WHITESPACE, Hasher, bound_arrow_batches, equal_words, find_words, pieces
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -51,6 +51,8 @@ ENCODED = 2 << 20
 #: bytes without a visible one, which are spelled by the characters from 256 on, in order.
 SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN) if b >= 128}
+#: Code points of the upper-case letters of plain words.
+UPPER = [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]
 #: Marks that may close a plain word.
 MARKS = b".,;:!?"
 
@@ -78,9 +80,11 @@ class Encoder:
     Where the tokenizer drops white space, which no token crosses, the ids of a text
     are those of its blank-separated words in turn.  A plain word, Latin-1 letters
     and at most one closing mark, has the ids of its lower-case letters, then that of
-    the mark, since a token crosses from letters to marks as little.  Distinct words
-    of a piece of text, told apart by 64-bit hashes, are looked up once, and their
-    ids are remembered.  New plain words are encoded many at once; a word's last
+    the mark, since a token crosses from letters to marks as little; whether the
+    given tokenizer is like that, letters' case included, is tried out first, and
+    if not, no word is plain.  Distinct words of a piece of text are looked up
+    once, and their ids are remembered.  Words are told apart by 64-bit hashes and
+    then by their bytes.  New plain words are encoded many at once; a word's last
     token is of a kind of its own, which tells where its ids end.
     """
 
@@ -95,15 +99,21 @@ class Encoder:
         self.closes[[i for w, i in words.items() if w.endswith("</w>")]] = True
         one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         #: Whether white space leaves no trace in the ids; otherwise texts are encoded whole.
-        self.by_word = one(" Ab\n cd. ") == one("Ab") + one("cd.")
-        self.bare = self._bare(vocabulary) if self.by_word else None
-        self.poly = Poly(31)
+        blanks = map(chr, np.flatnonzero(WHITESPACE).tolist())
+        self.by_word = all(one(f"{b}Ab{b}{b}cd.{b}") == one("Ab") + one("cd.") for b in blanks)
+        #: Whether letters have the ids of their lower case; otherwise no word is plain.
+        self.plain = self.by_word and all(
+            one(a) == one(b) for a, b in [*((chr(c), chr(c).lower()) for c in UPPER), ("Ab", "ab"), ("aB", "ab"), ("THE", "the"), ("ÉTÉ", "été")]
+        )
+        self.bare = self._bare(vocabulary) if self.plain else None
+        self.hasher = Hasher(31)
         #: ids of other words and of plain ones
         self.known: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
         marks = self._each([chr(m) for m in MARKS])
         #: Number of a byte among the marks, 0 for others; only marks of one id count.
         self.mark = np.zeros(256, np.int64)
-        self.mark_ids = [END] + [int(np.frombuffer(x, "<u4")[0]) if len(x) == 4 else -1 for x in marks]
+        apart = [one(f"the{chr(m)}") == one("the") + one(chr(m)) for m in MARKS]
+        self.mark_ids = [END] + [int(np.frombuffer(x, "<u4")[0]) if len(x) == 4 and ok else -1 for x, ok in zip(marks, apart, strict=True)]
         for k, m in enumerate(MARKS, 1):
             self.mark[m] = k if self.mark_ids[k] >= 0 else 0
 
@@ -180,13 +190,18 @@ class Encoder:
             np.cumsum(~letter, out=strange[1:])
             mark = np.where(ends - starts > 1, self.mark[data[ends - 1]] if len(ends) else 0, 0)
             stops = ends - (mark > 0)
-            plain = strange[stops] == strange[starts]
+            plain = (strange[stops] == strange[starts]) & self.plain
             mark, stops = np.where(plain, mark, 0), np.where(plain, stops, ends)
             # a plain word by its lower-case letters, any other by all its bytes
-            hashes = self.poly.ranges(lower, starts, stops, self.poly.bytes)
+            hashes = self.hasher.words(lower, starts, stops)
             rest = np.flatnonzero(~plain)
-            hashes[rest] = ~self.poly.ranges(data, starts[rest], stops[rest], self.poly.bytes)
+            hashes[rest] = ~self.hasher.words(data, starts[rest], stops[rest])
             _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            other = index[inverse]
+            same = np.where(plain, equal_words(lower, starts, stops, other), equal_words(data, starts, stops, other)) & (plain == plain[other])
+            lone = np.flatnonzero(~same)  # words that only share a hash go by themselves
+            inverse[lone] = len(index) + np.arange(len(lone))
+            index = np.concatenate([index, lone])
             # other words first, then plain ones
             order = np.argsort(plain[index], kind="stable")
             cut = len(index) - int(plain[index].sum())

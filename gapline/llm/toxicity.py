@@ -24,6 +24,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.store import Scratch
-from gapline.llm.textkernel import Poly, bound_arrow_batches, find_words, pieces, signed
+from gapline.llm.textkernel import FOLD, Hasher, bound_arrow_batches, find_words, pieces, signed
 
 #: Labelled rows to learn from.
 SAMPLE = 12_000
@@ -119,8 +120,14 @@ class Scorer:
         if not hits:
             return 0.0
         counts: Counter = Counter()
+        # both by their beginnings: the furthest end of the phrases begun so far tells whether one holds the match
+        hits.sort(key=itemgetter(0))
+        quiet.sort()
+        reach, k = -1, 0
         for a, b, term, weight in hits:
-            if not any(x <= a and b <= y for x, y in quiet):
+            while k < len(quiet) and quiet[k][0] <= a:
+                reach, k = max(reach, quiet[k][1]), k + 1
+            if b > reach:
                 counts[term, weight] += 1
         total = sum(weight * min(n, REPEATS) for (_, weight), n in counts.items())
         return total / (1 + math.log1p((line.count(" ") - 1) / LENGTH))
@@ -162,17 +169,19 @@ def _words(batches: Iterator[pa.RecordBatch], stems: tuple[str, ...]) -> Iterato
 
 def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the least hash of their word sequences of length ``COPY``."""
-    poly = Poly(41)
+    hasher = Hasher(41)
     for batch in batches:
         least = np.zeros(batch.num_rows, np.uint64)
         for lo, hi, data, bounds in pieces(batch.column(1)):
             starts, ends, first = find_words(data, bounds)
-            words = poly.ranges(data, starts, ends, poly.folded)
+            words = hasher.words(FOLD[data], starts, ends)
+            grams = hasher.grams(words, COPY)
             for k in range(lo, hi):
                 a, b = first[k - lo], first[k - lo + 1]
-                if b > a:
-                    at = np.arange(a, max(a + 1, b - COPY + 1))
-                    least[k] = poly.ranges(words, at, np.minimum(at + COPY, b)).min()
+                if b - a >= COPY:
+                    least[k] = grams[a : b - COPY + 1].min()
+                elif b > a:
+                    least[k] = hasher.ranges(words, np.array([a]), np.array([b]))[0]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(least))], names=["label", "text", "least"])
 
 
