@@ -11,19 +11,28 @@ Of equal texts the row with the most code points stays, then the one with the
 smallest id; a null id comes last, and between repeated rows an arbitrary one
 stays.  A digest that the index held before the batch keeps its earlier row, so
 no row of the batch is kept.  Null text counts as empty; empty texts are equal.
-An empty batch adds nothing.  Only built-in column functions run here.
+An empty batch adds nothing.  Other columns stay, whatever their names.  Only
+built-in column functions run here.
+
+The number of buckets is stored with the index and read when it is opened again;
+another number is refused.  A batch may have a name.  Adding a named batch again,
+after a driver was lost in its first attempt, say, gives the same result and
+appends only what the first attempt did not.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm.store import Scratch
+from gapline.llm.rows import fresh
+from gapline.llm.store import Scratch, read_text, write_text
 
 WHITESPACE = " \t\n\x0b\x0c\r"
+FACTS = "_index.json"
 
 
 def squeeze(text: Column) -> Column:
@@ -38,17 +47,26 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A bucketed digest table at ``location``, reopened if it is there already."""
+    """A bucketed digest table at ``location``, reopened if it is there already.
+
+    ``buckets`` of a new index is the session's number of shuffle partitions unless given.
+    """
 
     def __init__(self, spark: SparkSession, location: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.scratch = Scratch(spark, "digests")
-        self.location = location or self.scratch.path("index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.location = (location or self.scratch.path("index")).rstrip("/")
+        facts = read_text(spark, f"{self.location}/{FACTS}")
+        stored = json.loads(facts)["buckets"] if facts else None
+        if stored and buckets not in (None, stored):
+            raise ValueError(f"the index at {self.location} has {stored} buckets, not {buckets}")
+        self.buckets = stored or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not stored:
+            write_text(spark, f"{self.location}/{FACTS}", json.dumps({"buckets": self.buckets}))
         self.name = f"gapline_digests_{uuid.uuid4().hex[:12]}"
         spark.sql(
             f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, keep_chars BIGINT, "
-            f"keep_row BIGINT, group_size BIGINT, batch STRING) USING parquet "
+            f"group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS "
             f"LOCATION '{self.location}'"
         )
@@ -56,14 +74,26 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def close(self) -> None:
+        """Take the table out of the session's catalogue; the index stays at its location."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def add(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Append the new digests of ``df``; return a row for each of its rows.
 
         Columns: ``id_col``, keep_id, group_size, kept, text_sha256, n_chars.
         ``group_size`` counts the rows of the batch and, for a digest that was
         known, the rows it was first seen with.
         """
-        batch = uuid.uuid4().hex
+        rows, found = self._judge(df, id_col, text_col, batch)
+        return _annotate(rows, found).select(
+            F.col("__id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256", "n_chars"
+        )
+
+    def _judge(self, df: DataFrame, id_col: str, text_col: str, batch: str | None) -> tuple[DataFrame, DataFrame]:
+        """The rows with their digests, and for each digest what stays; both written."""
+        work, again = uuid.uuid4().hex[:12], batch is not None
+        batch = batch if again else work
         text = F.coalesce(F.col(text_col), F.lit(""))
         rows = self.scratch.keep(
             df.select(
@@ -72,7 +102,7 @@ class DigestIndex:
                 text_digest(F.col(text_col)).alias("text_sha256"),
                 F.monotonically_increasing_id().alias("__row"),
             ),
-            f"rows-{batch}",
+            f"rows-{work}",
         )
         # ~x reverses the order of integers without overflow
         order = F.struct(
@@ -80,58 +110,58 @@ class DigestIndex:
         )
         groups = rows.groupBy("text_sha256").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("n"))
         # written, or else Spark would move the anti-join below the aggregation and shuffle every row
-        groups = self.scratch.keep(groups, f"groups-{batch}")
-        known = self.table().select("text_sha256", F.lit(True).alias("old"), "group_size")
+        groups = self.scratch.keep(groups, f"groups-{work}")
+        known = self.table().filter(F.col("batch") != batch) if again else self.table()
         seen = self.scratch.keep(
-            groups.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti").select(
+            groups.join(known.select("text_sha256").hint("merge"), "text_sha256", "left_anti").select(
                 "text_sha256",
                 F.bitwise_not("best.a").alias("keep_id"),
                 F.col("best.n_chars").alias("keep_chars"),
                 F.bitwise_not("best.b").alias("keep_row"),
                 F.col("n").alias("group_size"),
-                F.lit(batch).alias("batch"),
+                "n",
             ),
-            f"new-{batch}",
-        )
-        repeated = groups.join(known.hint("merge"), "text_sha256").select(
-            "text_sha256", (F.col("n") + F.col("group_size")).alias("total")
+            f"new-{work}",
         )
-        sizes = self.scratch.keep(
-            seen.select("text_sha256", F.col("group_size").alias("total")).unionByName(repeated), f"sizes-{batch}"
-        )
-        seen.repartition(self.buckets, "text_sha256").sortWithinPartitions("text_sha256").write.insertInto(self.name)
-        return self._annotate(rows, sizes, batch).select(
-            F.col("__id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256", "n_chars"
-        )
-
-    def _annotate(self, rows: DataFrame, sizes: DataFrame, batch: str) -> DataFrame:
-        """Join each row to its digest.
-
-        A digest with more than a thousandth of the rows is hot.  There are at
-        most a thousand of those, so they are broadcast; the others, none of
-        which can unbalance a task, go through a shuffle join.
-        """
-        limit = max(100, -(-rows.count() // 1000))
-        keep = self.table().select("text_sha256", "keep_id", "keep_row", F.col("batch").alias("of"))
-        size = F.col("total").alias("group_size")
-        found = sizes.join(keep, "text_sha256").select("text_sha256", "keep_id", "keep_row", "of", size)
-        hot = F.broadcast(found.filter(F.col("group_size") > limit))
-        cold = rows.join(hot.select("text_sha256"), "text_sha256", "left_anti")
-        both = rows.join(hot, "text_sha256").unionByName(cold.join(found, "text_sha256"))
-        return both.withColumn("kept", (F.col("of") == batch) & (F.col("__row") == F.col("keep_row")))
+        old = known.select("text_sha256", F.col("keep_id").alias("old_id"), "keep_chars", F.col("group_size").alias("old_size"))
+        repeated = groups.join(old.hint("merge"), "text_sha256").select(
+            "text_sha256", F.col("old_id").alias("keep_id"), "keep_chars", F.lit(None).cast("bigint").alias("keep_row"),
+            (F.col("n") + F.col("old_size")).alias("group_size"), "n",
+        )
+        found = self.scratch.keep(seen.unionByName(repeated), f"found-{work}")
+        new = seen.drop("keep_row", "n")
+        if again:  # what an earlier attempt has appended stays
+            done = self.table().filter(F.col("batch") == batch).select("text_sha256")
+            new = new.join(done.hint("merge"), "text_sha256", "left_anti")
+        new = new.withColumn("batch", F.lit(batch)).select(self.table().columns)
+        new.repartition(self.buckets, "text_sha256").sortWithinPartitions("text_sha256").write.insertInto(self.name)
+        self.scratch.drop(f"groups-{work}", f"new-{work}")
+        return rows, found
+
+
+def _annotate(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Join each row to its digest.
+
+    A digest with more than a thousandth of the rows is hot.  There are at most
+    a thousand of those, so they are broadcast; the others, none of which can
+    unbalance a task, go through a shuffle join.
+    """
+    limit = max(100, -(-rows.count() // 1000))
+    hot = F.broadcast(found.filter(F.col("n") > limit))
+    cold = rows.join(hot.select("text_sha256"), "text_sha256", "left_anti")
+    both = rows.join(hot, "text_sha256").unionByName(cold.join(found, "text_sha256"))
+    return both.withColumn("kept", F.coalesce(F.col("__row") == F.col("keep_row"), F.lit(False)))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns, one for each digest."""
     index = DigestIndex(df.sparkSession)
-    index.add(df, id_col, text_col)
-    keys = ["__digest", "__key", "__chars"]
+    _, found = index._judge(df, id_col, text_col, None)
+    index.close()
+    names = fresh(df, "digest", "key", "chars")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = df.withColumns(
-        {"__digest": text_digest(F.col(text_col)), "__key": F.col(id_col).cast("bigint"), "__chars": F.char_length(text).cast("bigint")}
-    )
-    kept = index.table().select(
-        F.col("text_sha256").alias("__digest"), F.col("keep_id").alias("__k"), F.col("keep_chars").alias("__c")
-    )
-    on = (marked["__digest"] == kept["__digest"]) & marked["__key"].eqNullSafe(kept["__k"]) & (marked["__chars"] == kept["__c"])
-    return marked.join(kept, on, "left_semi").dropDuplicates(keys).drop(*keys)
+    made = (text_digest(F.col(text_col)), F.col(id_col).cast("bigint"), F.char_length(text).cast("bigint"))
+    marked = df.withColumns(dict(zip(names, made, strict=True)))
+    kept = found.select("text_sha256", "keep_id", "keep_chars")
+    on = (marked[names[0]] == kept["text_sha256"]) & marked[names[1]].eqNullSafe(kept["keep_id"]) & (marked[names[2]] == kept["keep_chars"])
+    return marked.join(kept, on, "left_semi").dropDuplicates(names).drop(*names)

@@ -27,6 +27,17 @@ SELECT doc_id,
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
+_BATCHES = r"""
+WITH d AS (
+  SELECT doc_id, doc_id % 2 = 0 AS early, length(coalesce(text, '')) AS n,
+         sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS h
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
+FROM d WINDOW w AS (PARTITION BY h ORDER BY early DESC, n DESC, doc_id)
+QUALIFY NOT early
+"""
+
 OP9 = rf"""
 WITH rules(host, path, verdict) AS (VALUES {_RULES}),
 p AS (
@@ -44,4 +55,4 @@ FROM q LEFT JOIN m USING (page_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6, "op7_exact_dedup": OP7, "op9_url_filter": OP9}
+    return {"op6_warc": OP6, "op7_exact_dedup": OP7, "op9_url_filter": OP9, "exact_dedup_batches": _BATCHES}

@@ -89,7 +89,21 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark)
-    return index.add(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = index.add(table(spark, sf_dir, "documents"))
+    index.close()
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def exact_dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with odd ids against the index of those with even ones, opened anew."""
+    docs = table(spark, sf_dir, "documents")
+    first = exact_dedup.DigestIndex(spark, buckets=8)
+    first.add(docs.filter("doc_id % 2 = 0"), batch="even")
+    first.close()
+    second = exact_dedup.DigestIndex(spark, first.location)
+    found = second.add(docs.filter("doc_id % 2 <> 0"), batch="odd")
+    second.close()
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,5 +135,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_packing,
             op9_url_filter,
             op10_decontaminate,
+            exact_dedup_batches,
         )
     }

@@ -20,6 +20,33 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+def _path(spark: SparkSession, where: str):
+    """(file system, path) of a place that Spark can reach."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def read_text(spark: SparkSession, where: str) -> str | None:
+    """A small file's text, or None if there is no such file."""
+    system, path = _path(spark, where)
+    if not system.exists(path):
+        return None
+    stream = system.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, where: str, text: str) -> None:
+    system, path = _path(spark, where)
+    stream = system.create(path, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 class Scratch:
     """A folder of intermediate Parquet tables.
 
@@ -52,9 +79,8 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        system, target = _path(self.spark, path)
+        system.delete(target, True)
 
     def close(self) -> None:
         try:
