@@ -3,20 +3,27 @@
 Every kind has a pattern whose leftmost non-overlapping matches are proposed,
 and a validator that confirms them; a match that fails is dropped and not
 retried, but for ``iban``.  Base kinds: ``email``, ``ip`` (parts at most 255), ``card`` (13 to 19
-digits passing Luhn) and ``phone`` (9 to 15 digits).  ``iban`` is added by the
-method: 15 to 34 letters and digits that pass mod-97.  Its pattern proposes a
-whole run of words of capitals and digits; an account number is looked for from
-each of its words, up to the end of any other.  A span's score starts at
-its kind's prior and rises when a word that goes with the kind stands within
-``CONTEXT`` code points before it.
+digits passing Luhn) and ``phone`` (9 to 15 digits).  The method adds ``iban`` (15
+to 34 letters and digits that pass mod-97), ``ipv6`` (eight groups, or fewer about
+one ``::``), ``key`` (access key identifiers of a known form) and ``secret`` (a value
+of at least 16 characters, letters and digits both, given to a password, token or
+the like).  The pattern of ``iban`` proposes a whole run of words of capitals and
+digits; an account number is looked for from each of its words, up to the end of
+any other.  A span's score starts at its kind's prior and rises when a word that
+goes with the kind stands within ``CONTEXT`` code points before it, and behind the
+match before.
 
 Offsets count code points, ends are exclusive.  ``split`` and
 ``regexp_extract_all`` with one pattern see the same matches, so the lengths of
-the pieces between matches and of the matches give every offset in one fold.
-The patterns are written for Java's engine: possessive groups iterate instead of
-recursing, and a look-behind stops a long run of characters from being tried
-again at each of its positions.  Null text counts as empty and has no spans.
-Only built-in column functions run here.
+the pieces between matches and of the matches give every offset in one fold.  The
+fold works in blocks of ``BLOCK`` matches, since an array that grows by one at a
+time is copied each time: a text of n matches costs n times the block's size, plus
+the square of n by it.  The patterns are written for Java's engine: possessive
+groups iterate instead of recursing, and a look-behind stops a long run of
+characters from being tried again at each of its positions.  Null text counts as
+empty and has no spans.  Repeated rows have equal spans.  Other columns stay, but
+for those named ``pii_<kind>``, which are replaced.  Only built-in column functions
+run here.
 """
 
 from __future__ import annotations
@@ -34,6 +41,9 @@ KINDS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None, 0.7, "card|karte|carte|tarjeta|visa|credit|pay"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|call|mobil|fax"),
     "iban": (r"(?:\G|(?<![A-Z0-9]))[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])++", None, 0.8, "iban|bank|konto|account|compte|cuenta"),
+    "ipv6": (r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}+:(?:[0-9A-Fa-f]{0,4}+:){1,7}+[0-9A-Fa-f]{0,4}+(?![0-9A-Za-z:])", ":", 0.6, "ip|addr|host|server|login"),
+    "key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", "IA", 0.8, "key|aws|access|secret"),
+    "secret": (r"(?i)(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{16,}+", None, 0.7, "user|login|account|config"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: Lengths of account numbers by country; others are accepted too, these go first.
@@ -44,6 +54,8 @@ IBAN_LENGTHS = (
 )
 #: Code points before a span in which context words count, and what they add.
 CONTEXT, BONUS = 40, 0.2
+#: Matches that are folded at a time.
+BLOCK = 256
 
 
 def _digits(value: Column) -> Column:
@@ -82,6 +94,15 @@ def _valid(kind: str, value: Column) -> Column:
         return F.forall(parts, lambda p: F.char_length(F.regexp_replace(p, "^0+", "")) <= 3) & F.forall(
             parts, lambda p: F.coalesce(F.right(p, F.lit(9)).try_cast("int"), F.lit(999)) <= 255
         )
+    if kind == "ipv6":
+        short, groups = F.contains(value, F.lit("::")), F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+        clean = ~F.contains(value, F.lit(":::")) & ~F.substr(value, F.instr(value, "::") + 2).contains("::") & ~value.rlike("^:[^:]|[^:]:$")
+        return clean & F.when(short, groups.between(1, 7)).otherwise(groups == 8)
+    if kind == "key":
+        return F.lit(True)
+    if kind == "secret":
+        given = F.regexp_extract(value, r"[A-Za-z0-9+/_-]+$", 0)
+        return given.rlike("[0-9]") & given.rlike("[A-Za-z]")
     n = F.char_length(_digits(value))
     if kind == "card":
         return F.when(n.between(13, 19), _luhn(value)).otherwise(F.lit(False))
@@ -106,33 +127,55 @@ def _account(rest: Column) -> Column:
     return F.left(rest, F.coalesce(F.array_max(usual), F.array_max(ends), F.lit(0)))
 
 
-FOUND = "array<struct<start:int,value:string>>"
+def _scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """The arrays of type ``kind`` that ``step`` makes of a state and each item in turn, end to end.
+
+    ``step`` gives the next state too.  Items are taken in blocks, see above.
+    """
+    empty = F.array().cast(kind)
+
+    def inner(s: Column, x: Column) -> Column:
+        state, out = step(s["state"], x)
+        return F.struct(state.alias("state"), F.concat(s["out"], out).alias("out"))
+
+    def outer(s: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(s["state"].alias("state"), empty.alias("out")), inner)
+        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+    def whole(items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+        first = F.struct(start.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.when(F.size(items) > 0, F.flatten(F.aggregate(blocks, first, outer, lambda s: s["out"]))).otherwise(empty)
+
+    return _let(items, whole)
+
 
+FOUND = "array<struct<start:int,value:string,before:string>>"
+#: Characters of an account number with a blank between any two, and one behind.
+REACH = 68
 
-def _accounts(value: Column, begin: Column) -> Column:
+
+def _accounts(value: Column, begin: Column, before: Column) -> Column:
     """The account numbers within a match, none over another."""
 
     def hits(words: Column) -> Column:
         def hit(word: Column, i: Column) -> Column:
-            rest = F.left(F.array_join(F.slice(words, i + 1, 34), " "), F.lit(68))  # 34 characters with blanks between, and one behind
+            rest = F.left(F.array_join(F.transform(F.slice(words, i + 1, 34), lambda w: F.left(w, F.lit(REACH))), " "), F.lit(REACH))
             found = F.when(word.rlike("^[A-Z]{2}[0-9]{2}"), _let(rest, _account)).otherwise("")
-            return F.struct(word.alias("word"), found.alias("hit"))
+            return F.struct(F.char_length(word).alias("size"), found.alias("hit"))
 
         return F.transform(words, hit)
 
-    start = F.struct(begin.alias("at"), begin.alias("free"), F.array().cast(FOUND).alias("found"))
-
-    def step(state: Column, x: Column) -> Column:
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
         size = F.char_length(x["hit"])
         good = (size > 0) & (state["at"] >= state["free"])
-        one = F.array(F.struct(state["at"].alias("start"), x["hit"].alias("value")))
-        return F.struct(
-            (state["at"] + F.char_length(x["word"]) + 1).alias("at"),
-            F.when(good, state["at"] + size).otherwise(state["free"]).alias("free"),
-            F.when(good, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"),
-        )
+        one = F.array(F.struct(state["at"].alias("start"), x["hit"].alias("value"), before.alias("before")))
+        after = F.struct((state["at"] + x["size"] + 1).alias("at"), F.when(good, state["at"] + size).otherwise(state["free"]).alias("free"))
+        return after, F.when(good, one).otherwise(F.array().cast(FOUND))
 
-    return F.when(F.char_length(value) >= 15, F.aggregate(_let(F.split(value, " "), hits), start, step, lambda state: state["found"])).otherwise(F.array().cast(FOUND))
+    first = F.struct(begin.alias("at"), begin.alias("free"))
+    found = _scan(_let(F.split(value, " "), hits), first, step, FOUND)
+    return F.when(F.char_length(value) >= 15, found).otherwise(F.array().cast(FOUND))
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
@@ -144,25 +187,18 @@ def kind_spans(text: Column, kind: str) -> Column:
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     paired = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("found"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.char_length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin, before = at + F.char_length(x["gap"]), F.right(x["gap"], F.lit(CONTEXT))
         if kind == "iban":
-            found = F.concat(state["found"], _accounts(x["hit"], begin))
+            found = _accounts(x["hit"], begin, before)
         else:
-            one = F.array(F.struct(begin.alias("start"), x["hit"].alias("value")))
-            found = F.when(_valid(kind, x["hit"]), F.concat(state["found"], one)).otherwise(state["found"])
-        return F.struct(
-            (begin + F.char_length(x["hit"])).alias("at"),
-            found.alias("found"),
-        )
-
-    found = F.aggregate(paired, start, step, lambda state: state["found"])
+            one = F.array(F.struct(begin.alias("start"), x["hit"].alias("value"), before.alias("before")))
+            found = F.when(_valid(kind, x["hit"]), one).otherwise(F.array().cast(FOUND))
+        return begin + F.char_length(x["hit"]), found
 
     def scored(x: Column) -> Column:
-        before = F.substr(text, F.greatest(F.lit(1), x["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), x["start"]))
-        near = F.lower(before).rlike(rf"(?:{words})")
+        near = F.lower(x["before"]).rlike(rf"(?:{words})")
         return F.struct(
             F.lit(kind).alias("kind"),
             x["start"].alias("start"),
@@ -170,8 +206,8 @@ def kind_spans(text: Column, kind: str) -> Column:
             (F.lit(prior) + F.when(near, BONUS).otherwise(0.0)).alias("score"),
         )
 
-    spans = F.transform(found, scored)
-    present = F.contains(text, F.lit(needed)) if needed else text.rlike("[0-9]")
+    spans = F.transform(_scan(paired, F.lit(0), step, FOUND), scored)
+    present = F.contains(text, F.lit(needed)) if needed else text.rlike("(?i)password|passwd|secret|token|api[_-]?key" if kind == "secret" else "[0-9]")
     return F.when(present, spans).otherwise(F.array().cast(SPANS))
 
 
