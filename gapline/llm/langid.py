@@ -11,6 +11,9 @@ ties by name.  The score is 1 less the cost as a share of the largest possible.
 Profiles are learned from at most ``PER_LANGUAGE`` texts of each language, chosen
 by a hash of their ids.  Every text is scored whole.  A null text or one without
 letters is ``und`` with score 0, and so is any text when nothing was learned.
+N-grams are counted in blocks of ``BLOCK`` code points, so memory follows the
+distinct n-grams of a long text.  Repeated rows get equal results.  Other columns
+stay, but for lang_pred and lang_score, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapline.llm.rows import schema_of, without
 from gapline.llm.textkernel import bound_arrow_batches
 
 #: Training texts of a language: at most so many of each of SALTS shares.
@@ -31,6 +35,8 @@ TOP = 400
 #: Sampled ids that may be broadcast.
 FEW = 200_000
 EDGE = 32
+#: Code points of a text worked on at once.
+BLOCK = 1 << 16
 _letters: np.ndarray | None = None
 
 
@@ -42,32 +48,54 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Codes of all n-grams: 21 bits for each code point."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "ignore"), np.uint32)
-    letter = letters()[points]
-    if not letter.any():
-        return np.empty(0, np.int64)
-    points = np.concatenate([[EDGE], np.where(letter, points, EDGE), [EDGE]]).astype(np.int64)
+def _block(points: np.ndarray, more: int) -> np.ndarray:
+    """Codes of the n-grams that begin in all but the last ``more`` of the points."""
     letter = points != EDGE
+    points = points.astype(np.int64)
+    n = len(points) - more
     pairs = (points[:-1] << 21) | points[1:]
     triples = (pairs[:-1] << 21) | points[2:]
-    return np.concatenate([points[letter], pairs[letter[:-1] | letter[1:]], triples[letter[1:-1]]])
+    singles, twos, threes = points[:n], pairs[:n], triples[:n]
+    around = letter[:-1] | letter[1:]
+    return np.concatenate([singles[letter[:n]], twos[around[: len(twos)]], threes[letter[1:-1][: len(threes)]]])
 
 
-def ranked(codes: np.ndarray, top: int) -> np.ndarray:
+def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of the n-grams, 21 bits for each code point; their counts), ascending by code."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "ignore"), np.uint32)
+    parts = []
+    for lo in range(0, len(points), BLOCK):
+        # with the point before and two behind, or the text's edges
+        part = points[max(0, lo - 1) : lo + BLOCK + 1]
+        part = np.where(letters()[part], part, EDGE)
+        ends = lo + BLOCK + 1 > len(points) or lo + BLOCK == len(points)
+        part = np.concatenate([part if lo else np.append(EDGE, part), [EDGE] * ends])
+        parts.append(np.unique(_block(part, 0 if ends else 2), return_counts=True))
+    return merged(parts)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of counts."""
+    if len(parts) < 2:
+        return parts[0] if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+    codes, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(codes), np.int64)
+    np.add.at(counts, back, np.concatenate([n for _, n in parts]))
+    return codes, counts
+
+
+def ranked(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     """The most frequent codes, by falling count, then by code."""
-    codes, counts = np.unique(codes, return_counts=True)
     return codes[np.argsort(-counts, kind="stable")[:top]]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, []).append(ngrams(text or ""))
+        by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            by.setdefault(lang, []).append(ngrams(text.as_py() or ""))
         for lang, parts in by.items():
-            codes, counts = np.unique(np.concatenate(parts), return_counts=True)
+            codes, counts = merged(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts.astype(np.int64))],
                 names=["lang", "code", "n"],
@@ -116,7 +144,7 @@ class Profiles:
             self.tables.append((codes[order], order))
 
     def judge(self, text: str | None) -> tuple[str, float]:
-        own = ranked(ngrams(text or ""), self.top)
+        own = ranked(*ngrams(text or ""), self.top)
         if not len(own) or not self.names:
             return "und", 0.0
         ranks, best = np.arange(len(own)), ("und", None)
@@ -139,8 +167,7 @@ def _judge(batches: Iterator[pa.RecordBatch], profiles: dict[str, list[int]], to
 def predict_language(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", top: int = TOP) -> DataFrame:
     """``df`` with lang_pred and lang_score."""
     bound_arrow_batches(df.sparkSession)
-    df = df.drop("lang_pred", "lang_score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    df = without(df, "lang_pred", "lang_score")
     at = df.columns.index(text_col)
     sent = df.sparkSession.sparkContext.broadcast(profiles)
-    return df.mapInArrow(lambda it: _judge(it, sent.value, top, at), f"{schema}, lang_pred string, lang_score double")
+    return df.mapInArrow(lambda it: _judge(it, sent.value, top, at), schema_of(df, "lang_pred string", "lang_score double"))

@@ -2,14 +2,16 @@
 
 Texts are folded first: compatibility forms and accents are undone, letters of
 other scripts that look like Latin ones and digits or signs that stand for
-letters become those letters, and everything else but letters separates words.
+letters become those letters, but for numbers of their own, and everything else
+but letters separates words.
 The lexicon holds whole words and word beginnings with weights (log ratios of
 document frequencies).  An exception phrase cancels the matches inside it.
 
 A text's evidence is the sum over its terms of weight times occurrences (at most
 ``REPEATS`` of a term), divided by ``1 + ln(1 + words / LENGTH)``; the score is
 ``1 - exp(-rate * evidence)``.  A text without matches, an empty and a null text
-score 0.
+score 0.  Repeated rows score alike.  Other columns stay, but for toxicity, which
+is replaced.
 
 The lexicon and the rate are learned from at most ``SAMPLE`` labelled rows, chosen
 by a hash of their ids.  Copies would make the words of one text look typical, so
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapline.llm.rows import schema_of, without
 from gapline.llm.store import Scratch
 from gapline.llm.textkernel import FOLD, Hasher, bound_arrow_batches, find_words, pieces, signed
 
@@ -60,6 +63,8 @@ STAND_INS = str.maketrans("013457@$", "oieastas")
 OTHER = re.compile("[\u0370-\u052f]")
 MARKS = re.compile("[\u0300-\u036f\u200b-\u200f\u2060\ufeff\u00ad]+")
 SPLIT = re.compile(r"[\W_]+")
+#: Numbers of their own, which stand for no letters.
+NUMBER = re.compile(r"(?<![^\W_])(?<![@$])[0-9]+(?![^\W_])(?![@$])")
 #: Harmless phrases with words that are insults elsewhere.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "idiot proof", "pond scum")
 
@@ -71,7 +76,7 @@ def fold(text: str | None) -> str:
         text = MARKS.sub("", unicodedata.normalize("NFKD", text)).lower().replace("ß", "ss").replace("ı", "i")
         if OTHER.search(text):
             text = text.translate(LOOKALIKES)
-    return f" {SPLIT.sub(' ', text.lower().translate(STAND_INS)).strip()} "
+    return f" {SPLIT.sub(' ', NUMBER.sub('9', text.lower()).translate(STAND_INS)).strip()} "
 
 
 def terms_of(words: Iterable[str]) -> set[str]:
@@ -308,8 +313,7 @@ def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, at: int) -> Iter
 def score_toxicity(df: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """``df`` with a column ``toxicity`` from 0 to 1."""
     bound_arrow_batches(df.sparkSession)
-    df = df.drop("toxicity")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    df = without(df, "toxicity")
     at = df.columns.index(text_col)
     sent = df.sparkSession.sparkContext.broadcast(lexicon)
-    return df.mapInArrow(lambda it: _score(it, sent.value, at), f"{schema}, toxicity double")
+    return df.mapInArrow(lambda it: _score(it, sent.value, at), schema_of(df, "toxicity double"))
