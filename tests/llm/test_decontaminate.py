@@ -38,9 +38,10 @@ def test_against_brute_force(spark, share):
     words = ["a", "b", "é", "Zz", "7", "x1"]
     text = lambda n: rng.choice([" ", "-", "\n", "..."]).join(rng.choice(words) for _ in range(n))
     items = [(k, text(rng.choice([0, 1, 2, 9, 10, 11, 14]))) for k in range(8)] + [(20, None), (21, "")]
-    items += [(22, items[5][1])]
+    items += [(22, items[5][1]), (22, items[5][1]), (23, items[6][1])]
     docs = [(k, text(rng.randint(0, 60))) for k in range(60)] + [(90, None), (91, "")]
     docs += [(100 + k, f"Intro, {t} end {t}") for k, t in items if t]
+    docs += [(300, f"{'filler word ' * 60_000}{items[4][1]}"), docs[3], docs[-1]]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = mark_contaminated(d, b, share=share).collect()
@@ -58,6 +59,18 @@ def test_offsets_lead_back_to_the_text(spark):
     assert row.n_hit == 10
 
 
+@pytest.mark.parametrize("share", [1 << 20, 50])
+def test_items_named_by_words_and_clashing_columns(spark, share):
+    items = [("q-b", "one two three four five six seven eight nine ten"), ("q-a", "two three four five six seven eight nine ten end"), ("q", "else")]
+    docs = [(1, f"so {items[0][1]} end", 1, 2, "x"), (2, "nothing", 3, 4, "y")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, __t1 int, N_HIT int, items string")
+    found = mark_contaminated(d, spark.createDataFrame(items, "item_id string, text string"), share=share)
+    assert found.columns[:4] == ["doc_id", "text", "__t1", "items"] and "N_HIT" not in found.columns
+    rows = {r.doc_id: (r["__t1"], r["items"], r.n_hit, r.n_items, r.items_sha256) for r in found.collect()}
+    assert rows[1] == (1, "x", 11, 2, hashlib.sha256(b"q-a,q-b").hexdigest())
+    assert rows[2] == (3, "y", 0, 0, hashlib.sha256(b"").hexdigest())
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
