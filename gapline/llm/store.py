@@ -47,6 +47,16 @@ def write_text(spark: SparkSession, where: str, text: str) -> None:
         stream.close()
 
 
+def rename_parts(spark: SparkSession, where: str, kind: str) -> None:
+    """Name the files that Spark wrote to a folder by their partitions alone."""
+    system, path = _path(spark, where)
+    for status in system.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            number = int(name.split("-")[1])
+            system.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(path, f"part-{number:06d}.{kind}"))
+
+
 class Scratch:
     """A folder of intermediate Parquet tables.
 

@@ -12,21 +12,23 @@ The converter makes for each record an equivalent WARC record: an identifier
 that is a name-based UUID of the archive, the offset and the header line (the
 same in each run), the date as ISO 8601, the type (the version block becomes
 ``warcinfo``, HTTP responses ``response``, others ``resource``) and SHA-1 digests
-of block and payload.  Of records with equal payloads of at least ``REVISIT``
+of block and payload.  The archive is known by the name in its version block.  Of records with equal payloads of at least ``REVISIT``
 bytes that with the largest key stays a response; the others become ``revisit``
 records, which keep the HTTP header and refer to it.
 
-Archives are written by Spark's text writer, gzipped, one file for a partition;
-a WARC record ends in two line ends, which are the writer's line separator, and
-an ARC record in one.  They are read as binary files, so any store that Spark
-reads will do.  A damaged record (a header that does not parse, a length beyond
-the file) ends its file's records: what stands before it is kept, and a row of
-type ``damaged`` with the offset follows.
+Archives are written by Spark's text writer, one file for a partition.  Every
+record is a gzip member of its own, so readers can start at any; the writer's line
+separator is an empty member.  They are read as binary files, so any store that
+Spark reads will do; a file is one row, of 2 GB at most, and is unpacked as it is
+read.  A damaged record (a header that does not parse, a length beyond the file)
+ends its file's records: what stands before it is kept, and a row of type
+``damaged`` with the offset follows.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm.store import Scratch
+from gapline.llm.store import Scratch, rename_parts
 from gapline.llm.textkernel import bound_arrow_batches
 
 REVISIT = 1000
@@ -52,6 +54,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: names that are URLs
 KEY_HEADER = "X-Archive-Key"
 END = b"\r\n"
+#: Unpacks to nothing.
+EMPTY = gzip.compress(b"", 1, mtime=0)
 
 
 def plain_url(url: str | None) -> str:
@@ -79,38 +83,45 @@ def http_response(payload: bytes, key: str) -> bytes:
     return head.encode() + payload
 
 
+def member(record: bytes) -> bytes:
+    return gzip.compress(record, 1, mtime=0)
+
+
 def _write_arc(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     version, name = 1 + part % 2, f"part-{part:06d}.arc"
-    line = version_block(name, version, date)[:-1]  # the writer adds the last line end
-    offset = len(line) + 1
-    yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], names=["line"])
+    line = version_block(name, version, date)
+    offset = len(line)
+    yield pa.RecordBatch.from_arrays([pa.array([member(line)], pa.binary())], names=["line"])
     for batch in batches:
         lines = []
         for key, url, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             body = http_response((payload or "").encode(), "" if key is None else str(key))
-            lines.append(arc_record(plain_url(url), version, date, body, offset, name))
-            offset += len(lines[-1]) + 1
+            record = arc_record(plain_url(url), version, date, body, offset, name) + b"\n"
+            lines.append(member(record))
+            offset += len(record)
         yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
 
 
 def write_arc(df: DataFrame, path: str, key_col: str, url_col: str, payload_col: str, date: str = "20240101000000") -> None:
     """Write rows as ARC archives, odd partitions in version 2 and even ones in version 1."""
     lines = df.select(key_col, url_col, payload_col).mapInArrow(lambda it: _write_arc(it, date), "line binary")
-    _write_text(lines, path, "\n")
+    _write_members(lines, path, "arc.gz")
 
 
-def _write_text(lines: DataFrame, path: str, separator: str) -> None:
-    writer = lines.select(F.col("line").cast("string")).write.mode("overwrite").option("compression", "gzip")
-    writer.option("zlib.compress.level", "BEST_SPEED").option("lineSep", separator).text(path)
+def _write_members(lines: DataFrame, path: str, kind: str) -> None:
+    """Files ``part-<number>.<kind>`` of gzip members."""
+    writer = lines.select(F.col("line").cast("string")).write.mode("overwrite")
+    writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
+    rename_parts(lines.sparkSession, path, kind)
 
 
 class Stream:
     """Bytes of a gzipped or plain archive, unpacked as they are read."""
 
-    def __init__(self, content: bytes, step: int = 1 << 20):
-        self.content, self.step, self.at = memoryview(content), step, 0
-        self.gzip = content[:2] == b"\x1f\x8b"
+    def __init__(self, content: bytes | pa.Buffer, step: int = 1 << 20):
+        self.content, self.step, self.at = memoryview(content).cast("B"), step, 0
+        self.gzip = self.content[:2] == b"\x1f\x8b"
         self.unpack = zlib.decompressobj(31)
         self.held, self.place = bytearray(), 0  # what is unpacked and not yet read; offset of its start
 
@@ -169,8 +180,8 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def read_arc(content: bytes, name: str) -> Iterator[dict]:
-    """The records of an ARC archive, the version block first."""
+def read_arc(content: bytes | pa.Buffer, name: str) -> Iterator[dict]:
+    """The records of an ARC archive, the version block first; the archive's name stands in it."""
     stream, fields = Stream(content), None
     while True:
         offset = stream.place
@@ -198,6 +209,7 @@ def read_arc(content: bytes, name: str) -> Iterator[dict]:
             fields = definition[1].decode().split(" ")
             kind, date = "warcinfo", next((p for p in parts[1:] if len(p) == 14 and p.isdigit()), "")
             url = parts[0]
+            name = url.removeprefix("filedesc://")
         else:
             extra = len(parts) - len(fields)
             if extra < 0:
@@ -220,7 +232,7 @@ def warc_record(kind: str, headers: dict[str, str | None], block: bytes) -> byte
     return b"WARC/1.1" + END + END.join(x.encode() for x in lines) + END + END + block
 
 
-def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def read_warc(content: bytes | pa.Buffer) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of the records; names of headers are lower case."""
     stream = Stream(content)
     while (line := stream.line()) is not None:
@@ -259,7 +271,7 @@ def _arc_rows(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             name, rows, held = path.rsplit("/", 1)[-1], [], 0
-            for r in read_arc(content.as_buffer().to_pybytes(), name):
+            for r in read_arc(content.as_buffer(), name):
                 head, body = split_http(r["block"])
                 rows.append(
                     (r["id"], name, r["offset"], r["kind"], r["url"], r["date"], header_value(head, KEY_HEADER), len(body), hashlib.sha1(body).hexdigest())
@@ -307,6 +319,7 @@ def _write_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         f"WARC-Refers-To-{KEY_HEADER}": r["target_key"],
                     }
                 lines.append(warc_record(kind, headers | {"WARC-Block-Digest": digest(block)}, block))
+            lines[-1] = member(lines[-1] + END + END)
             held += len(lines[-1])
             if held > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
@@ -319,19 +332,22 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Write the records of the ARC archives under ``arc_path`` as WARC archives.
 
     Equal payloads are found from digests alone; the decisions, a row for each
-    record that becomes a revisit, then meet the records by their identifiers,
+    record that becomes a revisit, then meet the records by identifier and file,
     which are unique, so no group of equal payloads lands in one task.
     """
     scratch = Scratch(spark, "archives")
     rows = scratch.keep(arc_records(spark, arc_path).filter(f"kind = 'response' and size >= {REVISIT}"), "digests")
     key = F.coalesce(F.expr("try_cast(key as bigint)"), F.lit(-(1 << 63)))
-    best = F.max(F.struct(key.alias("k"), "id", "url", "date", "key"))
+    best = F.max(F.struct(key.alias("k"), "id", "archive", "url", "date", "key"))
     first = rows.groupBy("sha1", "size").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = scratch.keep(first.select("sha1", "size", "best"), "first")
-    revisits = rows.join(first, ["sha1", "size"]).filter(F.col("id") != F.col("best.id"))
+    revisits = rows.join(first, ["sha1", "size"]).filter(
+        (F.col("id") != F.col("best.id")) | (F.col("archive") != F.col("best.archive"))
+    )
     revisits = scratch.keep(
         revisits.select(
             "id",
+            "archive",
             F.col("best.id").alias("target"),
             F.col("best.url").alias("target_url"),
             F.col("best.date").alias("target_date"),
@@ -340,8 +356,8 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
         "revisits",
     )
     records = arc_records(spark, arc_path, payloads=True).filter("kind <> 'damaged'")
-    lines = records.join(revisits, "id", "left").mapInArrow(_write_warc, "line binary")
-    _write_text(lines, warc_path, "\r\n\r\n")
+    lines = records.join(revisits, ["id", "archive"], "left").mapInArrow(_write_warc, "line binary")
+    _write_members(lines, warc_path, "warc.gz")
     scratch.drop("digests", "first", "revisits")
 
 
@@ -354,7 +370,7 @@ def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(1):
             rows = []
-            for h, block in read_warc(content.as_buffer().to_pybytes()):
+            for h, block in read_warc(content.as_buffer()):
                 head, body = split_http(block)
                 given = h.get("warc-payload-digest", "")
                 if h["warc-type"] == "revisit":

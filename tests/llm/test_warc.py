@@ -3,6 +3,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -74,3 +75,25 @@ def test_warc_fields():
     record = warc.warc_record("response", {"WARC-Record-ID": "<urn:uuid:1>", "X": None}, block) + b"\r\n\r\n"
     ((headers, got),) = warc.read_warc(record)
     assert headers["warc-type"] == "response" and headers["content-length"] == str(len(block)) and got == block
+
+
+def test_records_are_gzip_members_and_ids_the_same_in_each_run(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", f"body {k} " * 50) for k in range(60)] + [(100, "http://long", "long " * 600_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    ids = []
+    for run in ("a", "b"):
+        warc.write_arc(df, f"file://{tmp_path}/{run}-arc", "page_id", "url", "html")
+        warc.convert_arc(spark, f"file://{tmp_path}/{run}-arc", f"file://{tmp_path}/{run}-warc")
+        ids.append(sorted(r.id for r in warc.warc_records(spark, f"file://{tmp_path}/{run}-warc").collect()))
+    assert ids[0] == ids[1] and len(set(ids[0])) == 62
+    (path,) = (tmp_path / "a-arc").glob("part-000000.arc.gz")
+    assert path.read_bytes().startswith(b"\x1f\x8b")
+    for path in (tmp_path / "a-warc").glob("part-*.warc.gz"):
+        data, records = path.read_bytes(), 0
+        while data:
+            unpack = zlib.decompressobj(31)
+            record = unpack.decompress(data)
+            data = unpack.unused_data
+            assert record == b"" or record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+            records += record != b""
+        assert records
