@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import zlib
 
@@ -7,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from gapline.llm import packing
 from gapline.llm.packing import Encoder, best_fit, pack_documents
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -42,6 +44,77 @@ def test_a_tokenizer_that_keeps_blanks_sees_whole_texts():
     assert [x.tolist() for x in got] == [[*right.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+def variants():
+    """The bundled tokenizers, and word tokenizers that tell upper from lower case or keep accents apart."""
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        yield open(public_tokenizers.path(name), encoding="utf-8").read()
+    parts = json.loads(Tokenizer.from_file(PATH).to_str())
+    steps = parts["normalizer"]["normalizers"] if parts["normalizer"]["type"] == "Sequence" else [parts["normalizer"]]
+    for k, step in enumerate(steps):
+        yield json.dumps(parts | {"normalizer": {"type": "Sequence", "normalizers": [s for j, s in enumerate(steps) if j != k]}}), step["type"]
+
+
+@pytest.mark.parametrize("vocabulary", [v if isinstance(v, str) else v[0] for v in variants()], ids=lambda v: str(len(v)))
+def test_encoder_tries_the_tokenizer_out(vocabulary):
+    from tokenizers import Tokenizer
+
+    right = Tokenizer.from_str(vocabulary)
+    right.encode_special_tokens = True
+    texts = ["HELLO World again", "Hello, WORLD. world", " a  b\tC\nÉté ÉTÉ été", "THE the The. tHe!", "x\x0by\x0cz\r\n", ""]
+    got = Encoder(vocabulary).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [[*right.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_words_with_equal_hashes_keep_their_own_ids(monkeypatch):
+    """Words in the order of Thue and Morse, and a hash that tells no words apart."""
+    order = [bin(k).count("1") % 2 for k in range(2048)]
+    texts = ["".join("ab"[x] for x in order), "".join("ba"[x] for x in order), "Aa bb. 12 bb aA 21 é"]
+    right = reference()
+    assert [x.tolist() for x in Encoder(open(PATH, encoding="utf-8").read()).encode(pa.array(texts))] == [right(t) for t in texts]
+    monkeypatch.setattr(packing.Hasher, "words", lambda self, data, starts, ends: np.zeros(len(starts), np.uint64))
+    assert [x.tolist() for x in Encoder(open(PATH, encoding="utf-8").read()).encode(pa.array(texts))] == [right(t) for t in texts]
+
+
+def plain_best_fit(lengths, limits, rule):
+    """The rule by loops over lists."""
+    bins, out = [], [None] * len(lengths)
+    for at in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        need = (float(lengths[at]), 1.0, float(lengths[at]) ** 2)
+        best = None
+        for k, left in enumerate(bins):
+            if all(r >= n for r, n in zip(left, need, strict=True)):
+                if rule == "norm":
+                    score = sum(w * ((r - n) / c) ** 2 for w, r, n, c in zip(packing.WEIGHTS, left, need, limits, strict=True))
+                else:
+                    score = -sum(w * n / c**2 * r for w, r, n, c in zip(packing.WEIGHTS, left, need, limits, strict=True))
+                best = min(best or (round(score, 9), k), (round(score, 9), k))
+        k = best[1] if best else len(bins)
+        if not best:
+            bins.append([float(c) for c in limits])
+        out[at] = (k, int(limits[0] - bins[k][0]))
+        bins[k] = [r - n for r, n in zip(bins[k], need, strict=True)]
+    return len(bins), out
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [(100, 100, 10_000), (100, 3, 10_000), (100, 100, 3_000), (100, 4, 4_500)])
+def test_limits_that_bind_against_brute_force(rule, limits):
+    rng = np.random.default_rng(5)
+    for _ in range(15):
+        lengths = rng.integers(1, 55, int(rng.integers(1, 90)))
+        bins, offsets = best_fit(lengths, limits, rule)
+        count, plain = plain_best_fit(lengths.tolist(), limits, rule)
+        assert len(set(bins.tolist())) == count
+        for b in set(bins.tolist()):
+            own = lengths[bins == b]
+            assert own.sum() <= limits[0] and len(own) <= limits[1] and (own**2).sum() <= limits[2]
+        # ties may fall on other sequences, so sizes are compared and not their numbers
+        fill = lambda found: sorted(sum(int(lengths[i]) for i, k in enumerate(found) if k == b) for b in set(found))
+        assert fill(bins.tolist()) == fill([k for k, _ in plain])
+
+
 def placed(rows, capacity):
     bins = {}
     for r in rows:
