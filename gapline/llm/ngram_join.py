@@ -75,6 +75,8 @@ SEGMENT = 1 << 14
 SIDE = 1024
 #: Sets and elements of a block in the count of links.
 LINK_SIDE, LINK_ELEMENTS = 4096, 1 << 21
+#: Partners that one copy of a text is compared with.
+VERIFY = 256
 #: Most bits of a set's parity.
 PARITY = 4096
 #: Bits of the filter of signatures that sets share: 16 for each, within limits.
@@ -139,22 +141,31 @@ def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def _describe(batches: Iterator[pa.RecordBatch], shingle: int, id_bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [(*_set_id(s, id_bits), len(s), _parity(s)) for _, s in _sets(batch.column(4), shingle)]
-        made = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], names=[*KEY, "raw", "check", "n", "parity"])
+DESCRIBED = "nil int, doc long, t1 long, t2 long, raw long, check long, n long, parity binary, segment long, cells binary"
+
+
+def _describe(batches: Iterator[pa.RecordBatch], shingle: int, id_bits: int, width: int) -> Iterator[pa.RecordBatch]:
+    """A row for each text, and then this partition's sketch of the elements; copies that meet here count once."""
+    names = [x.split()[0] for x in DESCRIBED.split(", ")]
+    counts, seen = sketch.Partial(1, width), set()
 
+    def segments(found: tuple[np.ndarray, list[bytes]]) -> pa.RecordBatch:
+        size = len(found[1])
+        none = [pa.nulls(size, pa.int32()), *[pa.nulls(size, pa.int64())] * 6, pa.nulls(size, pa.binary())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(found[0]), pa.array(found[1], pa.binary())], names=names)
 
-def _elements(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[np.ndarray]:
-    """The elements of this partition's sets; copies that meet here count once."""
-    seen = set()
     for batch in batches:
-        for _, s in _sets(batch.column(0), shingle):
-            sid = _set_id(s)
+        out = []
+        for _, s in _sets(batch.column(4), shingle):
+            sid = _set_id(s, id_bits)
+            out.append((*sid, len(s), _parity(s)))
             if len(s) and sid not in seen:
                 seen.add(sid)
-                yield s
+                yield from map(segments, counts.add(s))
+        made = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+        none = [pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made, *none], names=names)
+    yield from map(segments, counts.rest())
 
 
 class Classes:
@@ -170,12 +181,9 @@ class Classes:
         return s[~often], s[often & ~hot], s[hot]
 
 
-def token_classes(docs: DataFrame, shingle: int, elements: int, scratch: Scratch) -> Classes:
-    """The classes of ``elements`` elements; their bits take at most ``2 * sketch.WIDE / 8`` bytes."""
-    width = sketch.width_for(elements, LOAD)
-    texts = docs.select("text")
-    parts = texts.mapInArrow(lambda it: sketch.partial(_elements(it, shingle), 1, width), sketch.SCHEMA)
-    counts = scratch.keep(sketch.merged(parts, texts.rdd.getNumPartitions()), "counts")
+def token_classes(segments: DataFrame, count: int, width: int, elements: int, scratch: Scratch) -> Classes:
+    """The classes by ``count`` partial sketches of ``elements`` elements; their bits take at most ``2 * sketch.WIDE / 8`` bytes."""
+    counts = scratch.keep(sketch.merged(segments, count), "counts")
     limit = max(FREQUENT, TIMES * elements // width)
     bits = tuple(sketch.reached(counts, k, 1, width) for k in (limit, limit * MORE))
     scratch.drop("counts")
@@ -233,8 +241,8 @@ def small(percent: int) -> int:
     return found
 
 
-def combinations(s: np.ndarray, classes: Classes, percent: int) -> list[tuple[np.ndarray, int]]:
-    """(signatures, k - 1) of a set, and the number of its rare elements last."""
+def combinations(s: np.ndarray, classes: Classes, percent: int) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """((signatures, k - 1) of a set, the number of its rare elements)."""
     n = len(s)
     d, both = budgets(n, percent)
     rare, often, hot = classes.split(s)
@@ -247,41 +255,54 @@ def combinations(s: np.ndarray, classes: Classes, percent: int) -> list[tuple[np
         if len(often) < room:
             top = hot[: room + both - u + 1]
             out.append((mix(mix(mix(top[:-2]) * U64(3) + top[1:-1]) * U64(5) + top[2:]), 2))
-    return [x for x in out if len(x[0])]
+    return [x for x in out if len(x[0])], u
 
 
 def _signatures(
     batches: Iterator[pa.RecordBatch], shingle: int, percent: int, id_bits: int, classes: Classes, renamed: Names, wanted: np.ndarray | None
 ) -> Iterator[pa.RecordBatch]:
-    """(sig, sid, info) of the sets; ``info`` packs size, number of rare elements and whether sig is a combination."""
+    """(sig, sid, info) of the sets; ``info`` packs size, number of rare elements and whether sig is a combination.
+
+    With ``wanted``, the bits of signatures that sets share, others are left out, and a
+    row (null, sid, null, text) goes before those of a set.
+    """
     seen: set[int] = set()
-    for batch in batches:
-        signs, sids, infos, held = [], [], [], 0
+    names = ["sig", "sid", "info"] + ["text"] * (wanted is not None)
 
-        def flush():
-            counts = [len(x) for x in signs]
-            columns = [np.concatenate(signs).view(np.int64), np.repeat(np.array(sids, np.int64), counts), np.repeat(np.array(infos, np.int64), counts)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "sid", "info"])
+    def rows(signs: list[np.ndarray], sids: list[int], infos: list[int]) -> pa.RecordBatch:
+        counts = [len(x) for x in signs]
+        columns = [np.concatenate(signs).view(np.int64), np.repeat(np.array(sids, np.int64), counts), np.repeat(np.array(infos, np.int64), counts)]
+        made = [pa.array(c) for c in columns] + [pa.nulls(sum(counts), pa.string())] * (wanted is not None)
+        return pa.RecordBatch.from_arrays(made, names=names)
 
-        for _, s in _sets(batch.column(0), shingle):
+    for batch in batches:
+        signs, sids, infos, held, texts, owners = [], [], [], 0, [], []
+        for i, s in _sets(batch.column(0), shingle):
             n = len(s)
             sid = _name(s, renamed, id_bits)
             if not budgets(n, percent)[1] or sid in seen:  # a set with no room for a different partner, or one done already
                 continue
             seen.add(sid)
-            rare = len(classes.split(s)[0])
-            for out, k in combinations(s, classes, percent):
+            made, rare = combinations(s, classes, percent)
+            before = len(signs)
+            for out, k in made:
                 if wanted is not None:
                     at = out & U64(len(wanted) * 8 - 1)
                     out = out[(wanted[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1]
                 if len(out):
                     signs.append(out), sids.append(sid), infos.append(n << 32 | rare << 1 | (k > 0))
                     held += len(out)
+            if wanted is not None and len(signs) > before:
+                texts.append(i), owners.append(sid)
             if held > 200_000:
-                yield flush()
+                yield rows(signs, sids, infos)
                 signs, sids, infos, held = [], [], [], 0
+        if texts:
+            none = pa.nulls(len(texts), pa.int64())
+            own = batch.column(0).take(pa.array(texts, pa.int64()))
+            yield pa.RecordBatch.from_arrays([none, pa.array(owners, pa.int64()), none, own], names=names)
         if signs:
-            yield flush()
+            yield rows(signs, sids, infos)
 
 
 class _Parities:
@@ -483,18 +504,21 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that link.  Columns: a, share, b, text; sorted, with the text of a before those of its partners, b null."""
+    own = np.empty(0, np.uint64)
     for batch in batches:
-        last, sets = None, None
-        a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+        first = b.is_null().to_numpy(zero_copy_only=False)
         keep = []
-        for i, y in _sets(batch.column(3), shingle):
-            if a[i] != last:
-                last = a[i]
-                sets = next(_sets(batch.column(2).slice(i, 1), shingle))[1]
-            shared = len(np.intersect1d(sets, y, assume_unique=True))
-            if 100 * shared >= percent * (len(sets) + len(y) - shared):
+        for i, s in _sets(batch.column(3), shingle):
+            if first[i]:
+                own = s
+                continue
+            shared = len(np.intersect1d(own, s, assume_unique=True))
+            if 100 * shared >= percent * (len(own) + len(s) - shared):
                 keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a).take(at), b.take(at)], names=["a", "b"])
 
 
 def components(edges: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -554,10 +578,11 @@ def jaccard_components(
     bound_arrow_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = df.select(*[c.alias(k) for k, c in zip(KEY, _key(id_col, text_col), strict=True)], F.col(text_col).alias("text"))
-    key = "nil int, doc long, t1 long, t2 long"
-    rows = scratch.keep(
-        docs.mapInArrow(lambda it: _describe(it, shingle, id_bits), f"{key}, raw long, check long, n long, parity binary"), "rows"
-    )
+    # a word takes some six bytes; the width may be off by any factor
+    width = sketch.width_for((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6, LOAD)
+    described = scratch.keep(docs.mapInArrow(lambda it: _describe(it, shingle, id_bits, width), DESCRIBED), "rows")
+    rows = described.filter("segment is null").drop("segment", "cells")
+    segments = described.filter("segment is not null").select("segment", "cells")
 
     def grouped(rows: DataFrame, name: str) -> DataFrame:
         best = F.min(F.struct(*KEY, "parity")).alias("best")
@@ -576,16 +601,20 @@ def jaccard_components(
         rows = scratch.keep(rows, f"rows-{len(renamed)}")
         sets = grouped(rows, f"sets-{len(renamed)}")
     elements = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = spark.sparkContext.broadcast((token_classes(docs, shingle, elements, scratch), renamed))
-    index = lambda wanted: docs.select("text").mapInArrow(
-        lambda it: _signatures(it, shingle, percent, id_bits, *shared.value, wanted and wanted.value), "sig long, sid long, info long"
+    classes = token_classes(segments, described.rdd.getNumPartitions(), width, elements, scratch)
+    shared = spark.sparkContext.broadcast((classes, renamed))
+    index = lambda wanted, more="": docs.select("text").mapInArrow(
+        lambda it: _signatures(it, shingle, percent, id_bits, *shared.value, wanted and wanted.value), f"sig long, sid long, info long{more}"
     )
     lists = scratch.keep(
         index(None).groupBy("sig").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("sig"), "lists"
     )
     wanted = spark.sparkContext.broadcast(shared_filter(lists, lists.count()))
     scratch.free()
-    members = index(wanted).join(lists, "sig", "left_semi").select(
+    found = scratch.keep(index(wanted, ", text string"), "index")
+    texts = found.filter("text is not null").select("sid", "text").dropDuplicates(["sid"])
+    texts = scratch.keep(texts, "texts")
+    members = found.filter("text is null").join(lists, "sig", "left_semi").select(
         "sig",
         "sid",
         F.shiftright("info", 32).cast("int").alias("n"),
@@ -593,7 +622,7 @@ def jaccard_components(
         (F.col("info") % 2 == 1).alias("pair"),
     )
     members = scratch.keep(members, "members")
-    scratch.drop("lists")
+    scratch.drop("lists", "index")
     wanted.destroy()
     reps = members.groupBy("sig").agg(F.min(F.struct("rare", "sid", "n")).alias("rep"))
     reps = scratch.keep(reps.select("sig", "rep.sid", "rep.n", "rep.rare").toDF("sig", "rep", "rep_n", "rep_rare"), "reps")
@@ -605,23 +634,22 @@ def jaccard_components(
         pairs = pairs.select("a", "b", "n_a", "parity_a", "n_b", "parity_b")
         return pairs.mapInArrow(lambda it: _near(it, percent), "a long, b long")
 
-    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
-        """(sid, text) of the wanted sets."""
-        where = scratch.keep(sets.join(wanted, "sid", "left_semi").select("sid", *KEY), f"{name}-where")
-        texts = docs.join(where, KEY).dropDuplicates([*KEY, "sid"]).select("sid", "text")
-        texts = scratch.keep(texts, f"{name}-texts")
-        scratch.drop(f"{name}-where")
-        return texts
-
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that link."""
+        """The pairs (a, b) that link.
+
+        The text of a meets those of its partners once for each ``VERIFY`` of them.
+        """
         pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
-        texts = texts_of(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), name)
-        left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-        full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+        shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY).cast("int").alias("shares"))
+        shares = scratch.keep(shares, f"{name}-shares")
+        dealt = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"), "b")
+        whole = shares.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("a", "share", F.lit(None).cast("bigint").alias("b"))
+        whole = whole.join(texts.withColumnRenamed("sid", "a"), "a").select("a", "share", "b", "text")
+        dealt = dealt.join(texts.withColumnRenamed("sid", "b"), "b").select("a", "share", "b", "text")
+        full = dealt.unionByName(whole).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
         found = full.mapInArrow(lambda it: _verify(it, shingle, percent), "a long, b long")
         found = scratch.keep(found, f"{name}-links")
-        scratch.drop(f"{name}-pairs", f"{name}-texts")
+        scratch.drop(f"{name}-pairs", f"{name}-shares")
         return found
 
     unlike = (F.col("rare") + F.col("rep_rare")) * (100 + percent) > (F.col("n") + F.col("rep_n")) * (100 - percent)
@@ -650,7 +678,7 @@ def jaccard_components(
         "sid", "copies", F.coalesce("label", F.struct(*KEY, "sid")).alias("label")
     )
     if links:
-        found = found.join(_links(sets, parts, edges, texts_of, scratch, shingle, percent), "sid", "left")
+        found = found.join(_links(sets, parts, edges, texts, scratch, shingle, percent), "sid", "left")
         found = found.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1).drop("links")
     found = scratch.keep(found, "found")
     # as in exact_dedup, at most a thousand sets have more than a thousandth of the rows
@@ -676,7 +704,7 @@ def _key(id_col: str, text_col: str) -> list[Column]:
 
 
 def _links(
-    sets: DataFrame, parts: DataFrame, edges: DataFrame, texts_of: Callable[[DataFrame, str], DataFrame], scratch: Scratch, shingle: int, percent: int
+    sets: DataFrame, parts: DataFrame, edges: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int
 ) -> DataFrame:
     """(sid, links): the number of rows with other sets that a set links with.
 
@@ -694,7 +722,6 @@ def _links(
     ends = both.toDF("sid", "to").unionByName(both.select(F.col("b").alias("sid"), F.col("a").alias("to")))
     summed = ends.join(done.select(F.col("sid").alias("to"), "copies"), "to").select("sid", F.col("copies").alias("links"))
     rest = scratch.keep(known.join(whole, "comp", "left_anti"), "rest")
-    texts = texts_of(rest.select("sid"), "rest")
     amount = [F.count(F.lit(1)) / LINK_SIDE, F.sum("n") / LINK_ELEMENTS]
     blocks = spread(rest, "comp", F.greatest(*amount) <= 1, F.ceil(F.greatest(*amount)), percent)
     counted = in_blocks(blocks.join(texts, "sid")).mapInArrow(lambda it: _link_counts(it, shingle, percent), "sid long, links long")

@@ -12,6 +12,7 @@ reached a limit: ``depth * width / 8`` bytes, at most ``depth * WIDE / 8``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,23 @@ NARROW, WIDE = 1 << 16, 1 << 28
 STEP, HELD = 1 << 18, 1 << 22
 FAN = 64
 SCHEMA = "segment long, cells binary"
-ENTRY = np.dtype([("at", "<u2"), ("n", "<u4")])
 MOST = (1 << 32) - 1
 
 
+def pack(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending places in a segment and their counts, byte by byte of the steps and counts, which compress well."""
+    steps = np.diff(at, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2)
+    counts = np.minimum(n, MOST).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return steps.T.tobytes() + counts.T.tobytes()
+
+
+def unpack(data: pa.BinaryScalar | bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts)"""
+    planes = np.frombuffer(data if isinstance(data, bytes) else data.as_buffer(), np.uint8).reshape(6, -1)
+    steps = np.ascontiguousarray(planes[:2].T).view("<u2")[:, 0]
+    return np.cumsum(steps, dtype=np.int64), np.ascontiguousarray(planes[2:].T).view("<u4")[:, 0]
+
+
 def width_for(keys: int, load: float) -> int:
     """Counters of a row for so many keys at ``load`` of them to a counter, a power of two."""
     return int(min(max(NARROW, 1 << (max(1, int(keys / load)) - 1).bit_length()), WIDE))
@@ -41,52 +55,63 @@ def cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
     return (mix(keys + U64(0x9E3779B97F4A7C15 * (row + 1) % (1 << 64))) & U64(width - 1)).astype(np.int64) + row * width
 
 
-def partial(keys: Iterable[np.ndarray], depth: int, width: int) -> Iterator[pa.RecordBatch]:
-    """This partition's sketch, as segments."""
-    places, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    waiting: list[np.ndarray] = []
-    size = 0
+class Partial:
+    """A partition's sketch while it is made."""
 
-    def add() -> tuple[np.ndarray, np.ndarray]:
-        new = np.concatenate([cells(k, row, width) for k in waiting for row in range(depth)])
+    def __init__(self, depth: int, width: int):
+        self.depth, self.width = depth, width
+        self.places, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def _sum(self) -> None:
+        new = np.concatenate([cells(k, row, self.width) for k in self.waiting for row in range(self.depth)])
         at, n = np.unique(new, return_counts=True)
-        every, back = np.unique(np.concatenate([places, at]), return_inverse=True)
+        every, back = np.unique(np.concatenate([self.places, at]), return_inverse=True)
         total = np.zeros(len(every), np.int64)
-        np.add.at(total, back, np.concatenate([counts, n]))
-        return every, total
-
-    for k in keys:
-        waiting.append(k)
-        size += len(k)
-        if size >= STEP:
-            places, counts = add()
-            waiting, size = [], 0
-            if len(places) >= HELD:
-                yield _segments(places, counts)
-                places, counts = places[:0], counts[:0]
-    if size:
-        places, counts = add()
-    if len(places):
-        yield _segments(places, counts)
-
-
-def _segments(places: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        total[back[: len(self.places)]] = self.counts
+        total[back[len(self.places) :]] += n
+        self.places, self.counts, self.waiting, self.size = every, total, [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """Count the keys; yields (segments, their counters) when many are held."""
+        self.waiting.append(keys)
+        self.size += len(keys)
+        if self.size >= STEP:
+            self._sum()
+            if len(self.places) >= HELD:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """What is held still."""
+        if self.size:
+            self._sum()
+        if len(self.places):
+            yield _segments(self.places, self.counts)
+            self.places, self.counts = self.places[:0], self.counts[:0]
+
+
+def _segments(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     segment = places // SEGMENT
     cuts = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(places))
-    entries = np.empty(len(places), ENTRY)
-    entries["at"], entries["n"] = places % SEGMENT, np.minimum(counts, MOST)
-    data = [entries[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(segment[cuts[:-1]]), pa.array(data, pa.binary())], names=["segment", "cells"])
+    at = places % SEGMENT
+    return segment[cuts[:-1]], [pack(at[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def partial(keys: Iterable[np.ndarray], depth: int, width: int) -> Iterator[pa.RecordBatch]:
+    """This partition's sketch, as segments."""
+    made = Partial(depth, width)
+    for found in chain(chain.from_iterable(map(made.add, keys)), made.rest()):
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1], pa.binary())], names=["segment", "cells"])
 
 
 def _sum(table: pa.Table) -> pa.Table:
     total = np.zeros(SEGMENT, np.uint64)
     for x in table.column("cells"):
-        part = np.frombuffer(x.as_buffer(), ENTRY)
-        total[part["at"]] += part["n"]  # an entry names a counter once
+        at, n = unpack(x)
+        total[at] += n  # a place is named once
     at = np.flatnonzero(total)
-    made = _segments(at, total[at].astype(np.int64)).column(1)
-    return pa.table({"segment": table.column("segment")[:1], "cells": made})
+    return pa.table({"segment": table.column("segment")[:1], "cells": pa.array([pack(at, total[at])], pa.binary())})
 
 
 def merged(parts: DataFrame, count: int) -> DataFrame:
@@ -106,9 +131,9 @@ def reached(sketch: DataFrame, limit: int, depth: int, width: int) -> np.ndarray
         for batch in batches:
             out = []
             for x in batch.column(1):
-                part = np.frombuffer(x.as_buffer(), ENTRY)
+                at, n = unpack(x)
                 bits = np.zeros(SEGMENT, bool)
-                bits[part["at"][part["n"] >= limit]] = True
+                bits[at[n >= limit]] = True
                 out.append(np.packbits(bits, bitorder="little").tobytes() if bits.any() else None)
             found = pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["segment", "cells"])
             yield found.filter(found.column(1).is_valid())
