@@ -17,7 +17,9 @@ def cluster_by_gap(
 
     Clusters are numbered from 0 within each group.  Rows are sorted only within
     tiles of ``tile`` positions; a table with one row for each tile tells where a
-    cluster goes on across a border and how many clusters stand before.
+    cluster goes on across a border and how many clusters stand before.  Both come
+    from one shuffle of the rows, so long as both need all columns: the table takes a
+    hash of them along.
     """
     tiled = df.withColumn("__tile", F.floor(F.col(pos) / tile))
     rows = Window.partitionBy(group, "__tile").orderBy(pos, *ties)
@@ -25,7 +27,8 @@ def cluster_by_gap(
     broken = F.when(before.isNull() | (F.col(pos) > before + gap), 1).otherwise(0)
     marked = tiled.withColumn("__new", broken)
     local = marked.withColumn("__local", F.sum("__new").over(rows.rowsBetween(Window.unboundedPreceding, 0)))
-    tiles = marked.groupBy(group, "__tile").agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.sum("__new").alias("n"))
+    tiles = marked.groupBy(group, "__tile").agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.sum("__new").alias("n"), F.max(F.xxhash64(*df.columns)).alias("all"))
+    tiles = tiles.filter("all is not null")
     order = Window.partitionBy(group).orderBy("__tile")
     goes_on = F.coalesce((F.col("lo") <= F.lag("hi").over(order) + gap).cast("int"), F.lit(0))
     counted = tiles.withColumn("on", goes_on).withColumn("fresh", F.col("n") - F.col("on"))

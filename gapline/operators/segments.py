@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapline.functions import cigar as C
-
-LEFT, MIDDLE, RIGHT = 1, 2, 4
-SEGMENTS = "array<struct<kind:int,query_start:int,query_end:int,ref_pos:int,matched:int>>"
+from gapline.deploy import ship
+from gapline.operators import cigar_kernel
+from gapline.operators.cigar_kernel import LEFT, MIDDLE
 
 
 def valid(flag: Column) -> Column:
@@ -21,36 +20,16 @@ def overhang(kind: Column, matched: Column, total: Column) -> Column:
     return F.when(kind == LEFT, total).when(kind == MIDDLE, F.least(matched, total - matched)).otherwise(matched)
 
 
-#: Operations by what they advance: up to 3 read and reference, up to 5 the read, up to 7 the reference.
-_ORDER = "M=XSIDN"
-
-
-def cut_segments(ops: Column, pos: Column, min_length: int) -> Column:
-    """One walk over the operations: (ref_end, match_len, segments)."""
-    last = F.size(ops) - 1
-    zero = F.struct(F.lit(0).alias("q"), pos.cast("int").alias("r"), F.lit(0).alias("m"), F.array().cast(SEGMENTS).alias("found"))
-    kind = lambda i: F.when(i == 0, LEFT).when(i == last, RIGHT).otherwise(MIDDLE)
-    steps = F.transform(ops, lambda x, i: F.struct(x["n"].alias("n"), F.instr(F.lit(_ORDER), x["op"]).alias("c"), kind(i).alias("kind")))
+def _schema(df: DataFrame, more: str) -> str:
+    own = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    return ", ".join([*own, more])
 
-    def step(state: Column, x: Column) -> Column:
-        n, c = x["n"], x["c"]
-        cut = (c == 4) | (c == 5)
-        one = F.struct(
-            x["kind"].alias("kind"),
-            state["q"].alias("query_start"),
-            (state["q"] + n).alias("query_end"),
-            state["r"].alias("ref_pos"),
-            state["m"].alias("matched"),
-        )
-        return F.struct(
-            (state["q"] + F.when(c.between(1, 5), n).otherwise(0)).alias("q"),
-            (state["r"] + F.when((c == 0) | cut, 0).otherwise(n)).alias("r"),
-            (state["m"] + F.when(c.between(1, 3), n).otherwise(0)).alias("m"),
-            F.when(cut & (n >= min_length), F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"),
-        )
 
-    close = lambda s: F.struct(s["r"].alias("ref_end"), s["m"].alias("match_len"), s["q"].alias("read_len"), s["found"].alias("found"))
-    return F.aggregate(steps, zero, step, close)
+def with_spans(alignments: DataFrame, *, pos: str = "pos", cigar: str = "cigar") -> DataFrame:
+    """The alignments with aln_end, match_len and read_len, which are null where the CIGAR string is."""
+    ship(alignments.sparkSession)
+    at = [alignments.columns.index(c) for c in (cigar, pos)]
+    return alignments.mapInArrow(lambda it: cigar_kernel.spans(it, *at), _schema(alignments, cigar_kernel.SPANS))
 
 
 def extract_segments(
@@ -65,36 +44,13 @@ def extract_segments(
     """A row for each segment of a valid alignment, beside the alignment's columns.
 
     What describes the whole alignment (aln_end, match_len, read_len, aln_type,
-    num_seg) is computed in the row before the array is exploded, so nothing is
+    num_seg) is computed in the row before its segments are, so nothing is
     shuffled.  ``min_overhang`` drops badly anchored segments.
     """
-    # Each of these is used several times, so it is a column of its own.  A plain explode
-    # would make Spark filter by the array's size first, which computes it twice.
-    parsed = alignments.filter(valid(F.col(flag))).withColumn("__ops", C.parse(F.col(cigar)))
-    walked = parsed.withColumn("__walk", cut_segments(F.col("__ops"), F.col(pos), min_length))
-    found = F.col("__walk.found")
-    rows = (
-        walked.withColumns(
-            {
-                "aln_end": F.col("__walk.ref_end"),
-                "match_len": F.col("__walk.match_len"),
-                "read_len": F.col("__walk.read_len"),
-                "aln_type": F.aggregate(found, F.lit(0), lambda a, s: a.bitwiseOR(s["kind"])),
-                "num_seg": F.size(found),
-            }
-        )
-        .select(*alignments.columns, "aln_end", "match_len", "read_len", "aln_type", "num_seg", F.posexplode_outer(found).alias("seg_order", "__s"))
-        .filter(F.col("__s").isNotNull())
-    )
-    rows = rows.select(
-        "*",
-        F.col("__s.kind").alias("seg_type"),
-        F.col("__s.query_start").alias("query_start"),
-        F.col("__s.query_end").alias("query_end"),
-        F.col("__s.ref_pos").alias("ref_pos"),
-        overhang(F.col("__s.kind"), F.col("__s.matched"), F.col("match_len")).alias("overhang"),
-    ).drop("__s")
-    return rows if min_overhang is None else rows.filter(F.col("overhang") >= min_overhang)
+    ship(alignments.sparkSession)
+    good = alignments.filter(valid(F.col(flag)))
+    at = [alignments.columns.index(c) for c in (cigar, pos)]
+    return good.mapInArrow(lambda it: cigar_kernel.segments(it, *at, min_length, min_overhang), _schema(good, cigar_kernel.SEGMENTS))
 
 
 def trim_region(start: Column, end: Column, length: Column, flank: int) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.config import DEFAULT, Config
-from gapline.functions import cigar as C
 from gapline.operators import clusters, intervals, segments, te_hits
 
 
@@ -22,16 +21,22 @@ def locate(alignments: DataFrame, repeats: DataFrame, gaps: DataFrame, config: C
     Both ends are points of one join, so the intervals are read once.
     """
     known = repeats.select("tid", "i_start", "i_end").unionByName(gaps.select("tid", "i_start", "i_end"))
-    parsed = alignments.select("aln_id", "tid", "pos", C.reference_end(C.parse(F.col("cigar")), F.col("pos")).alias("stop"))
-    ends = parsed.select("aln_id", "tid", F.posexplode(F.array("pos", "stop")).alias("side", "at"))
-    found = intervals.point_flank_join(
-        ends, known, key=["aln_id", "side"], chrom="tid", pos="at", start="i_start", end="i_end", flank=config.location_flank, bin=config.bin
-    )
-    kind = intervals.location_type(F.col("n_overlap"), F.col("min_distance"), config.edge_distance)
-    both = found.withColumn("kind", kind).groupBy("aln_id").agg(
-        F.max(F.when(F.col("side") == 0, F.col("kind"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("kind"))).alias("b")
-    )
-    return both.select("aln_id", intervals.alignment_location(F.col("a"), F.col("b")).alias("aln_location"))
+    parsed = segments.with_spans(alignments.select("aln_id", "tid", "pos", "cigar"))
+    ends = parsed.select("aln_id", "tid", F.posexplode(F.array("pos", "aln_end")).alias("side", "at"))
+    flank = config.location_flank
+    met = intervals.overlap_join(
+        ends, known, chrom="tid", left_start=F.greatest(F.lit(0), F.col("at") - flank), left_end=F.col("at") + flank,
+        right_start="i_start", right_end="i_end", how="left", bin=config.bin,
+    )
+    near = F.least(F.abs(F.col("at") - F.col("i_start")), F.abs(F.col("at") - F.col("i_end")))
+    kinds = []
+    for side in (0, 1):
+        own = (F.col("side") == side) & F.col("i_start").isNotNull()
+        kinds += [F.count_if(own).alias(f"n{side}"), F.min(F.when(own, near)).alias(f"d{side}")]
+    # one aggregation by alignment, whatever the number of its ends and bins
+    both = met.groupBy("aln_id").agg(*kinds)
+    a, b = (intervals.location_type(F.col(f"n{side}"), F.col(f"d{side}"), config.edge_distance) for side in (0, 1))
+    return both.select("aln_id", intervals.alignment_location(a, b).alias("aln_location"))
 
 
 def find_clusters(segments: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -271,12 +271,12 @@ def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BLACK_SQL = """SELECT aln_id, tid, pos FROM {{aln}} WHERE {} EXISTS (
-  SELECT 1 FROM {{ivl}} WHERE aln.tid = ivl.tid AND ivl_id % 3 = 0 AND i_start < pos + 1 + 2 AND i_end > greatest(0, pos - 2))"""
+  SELECT 1 FROM {{ivl}} WHERE aln.tid = ivl.tid AND i_start < pos + 1 + 2 AND i_end > greatest(0, pos - 2))"""
 
 
-def _black(spark: SparkSession, sf_dir: str, anti: bool, whole: bool = False) -> DataFrame:
+def _black(spark: SparkSession, sf_dir: str, anti: bool) -> DataFrame:
     rows = view(spark, sf_dir, "aln").select("aln_id", "tid", "pos", (F.col("pos") + 1).alias("stop"))
-    black = view(spark, sf_dir, "ivl").filter("true" if whole else "ivl_id % 3 = 0")
+    black = view(spark, sf_dir, "ivl")
     found = intervals.overlapping(rows, black, chrom="tid", q_start="pos", q_end="stop", start="i_start", end="i_end", anti=anti, key=["aln_id"])
     return found.select("aln_id", "tid", "pos")
 
@@ -291,19 +291,6 @@ def blacklist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _black(spark, sf_dir, True)
 
 
-BLACK_WHOLE_SQL = BLACK_SQL.replace(" AND ivl_id % 3 = 0", "")
-
-
-@query(BLACK_WHOLE_SQL.format(""))
-def blacklist_semi_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _black(spark, sf_dir, False, whole=True)
-
-
-@query(BLACK_WHOLE_SQL.format("NOT"))
-def blacklist_anti_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _black(spark, sf_dir, True, whole=True)
-
-
 @query("""
 WITH p AS (
   SELECT aln_id, side, count(ivl.tid) AS n, min(least(abs(spot - i_start), abs(spot - i_end))) AS d

@@ -188,26 +188,16 @@ def merge_stats_take(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRUTH_SQL = """
 WITH j AS (
   SELECT aln_id, ivl_id, i_start, i_end FROM {aln} LEFT JOIN {ivl}
-    ON aln.tid = ivl.tid AND ivl_id % 5 = 0 AND i_start < pos + 20 + 50 AND i_end > greatest(0, pos - 50))
+    ON aln.tid = ivl.tid AND i_start < pos + 20 + 50 AND i_end > greatest(0, pos - 50))
 SELECT aln_id AS cand_id, count(i_start) AS n_truth, arg_max(ivl_id, {'a': i_start, 'b': i_end, 'c': ivl_id}) AS truth_id,
   CASE count(i_start) WHEN 0 THEN 'FP' WHEN 1 THEN 'TP' ELSE 'Special' END AS label FROM j GROUP BY aln_id"""
 
 
-def _truth(spark: SparkSession, sf_dir: str, truth: DataFrame) -> DataFrame:
-    rows = view(spark, sf_dir, "aln").select(F.col("aln_id").alias("cand_id"), "tid", "pos", (F.col("pos") + 20).alias("stop"))
-    made = label.classify(rows, truth, chrom="tid", start="pos", end="stop", t_start="i_start", t_end="i_end", t_id="ivl_id")
-    return made.select("cand_id", "n_truth", "truth_id", "label")
-
-
 @query(TRUTH_SQL)
 def truth_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against a fifth of the intervals, as its SQL."""
-    return _truth(spark, sf_dir, view(spark, sf_dir, "ivl").filter("ivl_id % 5 = 0"))
-
-
-@query(TRUTH_SQL.replace(" AND ivl_id % 5 = 0", ""))
-def truth_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _truth(spark, sf_dir, view(spark, sf_dir, "ivl"))
+    rows = view(spark, sf_dir, "aln").select(F.col("aln_id").alias("cand_id"), "tid", "pos", (F.col("pos") + 20).alias("stop"))
+    made = label.classify(rows, view(spark, sf_dir, "ivl"), chrom="tid", start="pos", end="stop", t_start="i_start", t_end="i_end", t_id="ivl_id")
+    return made.select("cand_id", "n_truth", "truth_id", "label")
 
 
 MATRIX_SQL = """
@@ -233,34 +223,24 @@ def carrier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUPPORT_SQL = """
 WITH r AS (SELECT aln_id, tid, pos, pos + m1 AS stop, CAST(aln_id % 7 AS INT) AS hg, CASE WHEN mapq > 6 THEN tid ELSE 9 END AS origin FROM {aln}),
-i AS (SELECT ivl_id, tid, i_start, i_end FROM {ivl} WHERE ivl_id % 4 = 0)
+i AS (SELECT ivl_id, tid, i_start, i_end FROM {ivl})
 SELECT aln_id, ivl_id, CAST(ivl_id % 7 AS INT) IN (hg, (hg + 3) % 7) AND origin = r.tid AS supports
 FROM r JOIN i ON r.tid = i.tid AND i_start < stop + 50 AND i_end > greatest(0, pos - 50)"""
 
 
-def _support(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+@query(SUPPORT_SQL)
+def support_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     aln = view(spark, sf_dir, "aln")
     reads = aln.select(
         "aln_id", F.col("tid").alias("chrom"), F.col("pos").alias("start"), (F.col("pos") + F.col("m1")).alias("end"), (F.col("aln_id") % 7).cast("int").alias("hg"),
         F.when(F.col("mapq") > 6, F.col("tid")).otherwise(9).alias("origin_chrom"),
     )
-    ins = rows.select(F.col("ivl_id").alias("ins_id"), F.col("tid").alias("chrom"), "i_start", "i_end")
+    ins = view(spark, sf_dir, "ivl").select(F.col("ivl_id").alias("ins_id"), F.col("tid").alias("chrom"), "i_start", "i_end")
     own = (F.col("ins_id") % 7).cast("int")
     carried = ins.select("ins_id", F.explode(F.array(own, (own + 4) % 7)).alias("hg"))
     return label.support(reads, ins, carried).select("aln_id", F.col("ins_id").alias("ivl_id"), "supports")
 
 
-@query(SUPPORT_SQL)
-def support_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against a quarter of the intervals, as its SQL."""
-    return _support(spark, sf_dir, view(spark, sf_dir, "ivl").filter("ivl_id % 4 = 0"))
-
-
-@query(SUPPORT_SQL.replace(" WHERE ivl_id % 4 = 0", ""))
-def support_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _support(spark, sf_dir, view(spark, sf_dir, "ivl"))
-
-
 @query("""
 WITH s AS (SELECT aln_id % 5000 AS cand_id, qname, tid, CASE WHEN mapq > 30 THEN tid ELSE 9 END AS origin FROM {aln})
 SELECT cand_id, count(DISTINCT qname) AS n_reads, count(*) FILTER (tid = origin) AS n_consistent FROM s GROUP BY cand_id""")
@@ -287,26 +267,14 @@ def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "dna").select("doc_id", sequences.reverse_complement(F.col("seq")).alias("rc"), F.char_length("seq").cast("bigint").alias("n"))
 
 
-RUNS_SQL = """
-WITH r AS (SELECT doc_id, unnest(regexp_extract_all(substr(seq, 1, 400), 'A+|C+|G+|T+|N+')) AS run, generate_subscripts(regexp_extract_all(substr(seq, 1, 400), 'A+|C+|G+|T+|N+'), 1) AS k FROM {dna}),
-p AS (SELECT doc_id, run, CAST(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY k) AS INT) AS run_end FROM r)
-SELECT doc_id, CAST(run_end - length(run) AS INT) AS run_start, run_end, left(run, 1) AS base FROM p WHERE length(run) >= 3"""
-
-
-def _runs(spark: SparkSession, sf_dir: str, seq: Column) -> DataFrame:
-    rows = view(spark, sf_dir, "dna").select("doc_id", F.explode_outer(sequences.homopolymer_runs(seq, 3)).alias("r"))
-    return rows.filter("r is not null").select("doc_id", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.base").alias("base"))
-
-
-@query(RUNS_SQL)
+@query("""
+WITH r AS (SELECT doc_id, regexp_extract_all(seq, 'A+|C+|G+|T+|N+') AS runs FROM {dna}),
+u AS (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS k FROM r),
+p AS (SELECT doc_id, run, CAST(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY k) AS INT) AS run_end FROM u)
+SELECT doc_id, CAST(run_end - length(run) AS INT) AS run_start, run_end, left(run, 1) AS base FROM p WHERE length(run) >= 3""")
 def homopolymer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 400 bases, as its SQL."""
-    return _runs(spark, sf_dir, F.substring("seq", 1, 400))
-
-
-@query(RUNS_SQL.replace("substr(seq, 1, 400)", "seq"))
-def homopolymer_runs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir, F.col("seq"))
+    rows = view(spark, sf_dir, "dna").select("doc_id", F.explode(sequences.homopolymer_runs(F.col("seq"), 3)).alias("r"))
+    return rows.select("doc_id", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.base").alias("base"))
 
 
 @query("""
@@ -390,12 +358,11 @@ def dsl_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_table(rows).select("id", "seq", "tsd", "error")
 
 
-PILEUP_SQL = """
-SELECT doc_id, replace(replace(left(seq, 12), 'A', '.'), 'C', ',') AS text, length(replace(left(seq, 12), 'G', '')) AS n FROM {dna} WHERE length(seq) >= 12"""
-
-
-def _pileup(rows: DataFrame, seq: Column) -> DataFrame:
+@query("""
+SELECT doc_id, replace(replace(seq, 'A', '.'), 'C', ',') AS text, length(replace(seq, 'G', '')) AS n FROM {dna}""")
+def pileup_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pileup strings built from sequences and read back: an indel of each is skipped."""
+    rows, seq = view(spark, sf_dir, "dna"), F.col("seq")
     text = F.replace(F.replace(seq, F.lit("A"), F.lit(".")), F.lit("C"), F.lit(","))
     noisy = F.concat(F.lit("^~"), text, F.lit("+2GG$"))
     counts = base_counts(pileup_bases(F.lit("T"), noisy), F.repeat(F.lit("I"), F.char_length(seq)))
@@ -405,18 +372,6 @@ def _pileup(rows: DataFrame, seq: Column) -> DataFrame:
     return rows.select("doc_id", back.alias("text"), (n + missing).cast("bigint").alias("n"))
 
 
-@query(PILEUP_SQL)
-def pileup_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 12 bases, as its SQL."""
-    rows = view(spark, sf_dir, "dna").filter(F.char_length("seq") >= 12)
-    return _pileup(rows, F.left("seq", F.lit(12)))
-
-
-@query(PILEUP_SQL.replace("left(seq, 12)", "seq").replace(" WHERE length(seq) >= 12", ""))
-def pileup_strings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pileup(view(spark, sf_dir, "dna"), F.col("seq"))
-
-
 # --- legacy and simulators ------------------------------------------------------------
 
 
@@ -433,31 +388,18 @@ def insertion_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("frequency", F.round("frequency", 6))
 
 
-REPEATS_SQL = """
+@query("""
 WITH b AS (SELECT aln_id % 3000 AS cluster_id, tid, min(pos) AS s, max(pos) AS e FROM {aln} WHERE mapq > 50 GROUP BY ALL)
 SELECT cluster_id, b.tid, s AS bp_start, e AS bp_end FROM b WHERE NOT EXISTS (
-  SELECT 1 FROM {ivl} WHERE ivl.tid = b.tid AND ivl_id % 50 = 0 AND i_start < e + 5 AND i_end > greatest(0, s - 5))"""
-
-
-def _not_in(spark: SparkSession, sf_dir: str, ivl: DataFrame) -> DataFrame:
+  SELECT 1 FROM {ivl} WHERE ivl.tid = b.tid AND i_start < e + 5 AND i_end > greatest(0, s - 5))""")
+def not_in_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "aln").filter("mapq > 50").withColumn("cluster_id", F.col("aln_id") % 3000)
     found = rows.groupBy("cluster_id", "tid").agg(F.min("pos").alias("bp_start"), F.max("pos").alias("bp_end"))
     tagged = found.select(F.concat_ws(":", "cluster_id", "tid").alias("id"), "cluster_id", "tid", "bp_start", "bp_end", F.col("tid").alias("chrom"), F.lit("x").alias("te"), F.lit("+").alias("strand"))
-    repeats = ivl.select(F.col("tid").alias("chrom"), F.col("i_start").alias("start"), F.col("i_end").alias("end"), F.lit("x").alias("te"), F.lit("+").alias("strand"))
+    repeats = view(spark, sf_dir, "ivl").select(F.col("tid").alias("chrom"), F.col("i_start").alias("start"), F.col("i_end").alias("end"), F.lit("x").alias("te"), F.lit("+").alias("strand"))
     return legacy.not_in_repeats(tagged, repeats, key="id").select("cluster_id", "tid", "bp_start", "bp_end")
 
 
-@query(REPEATS_SQL)
-def not_in_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against a fiftieth of the intervals, as its SQL."""
-    return _not_in(spark, sf_dir, view(spark, sf_dir, "ivl").filter("ivl_id % 50 = 0"))
-
-
-@query(REPEATS_SQL.replace(" AND ivl_id % 50 = 0", ""))
-def not_in_repeats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _not_in(spark, sf_dir, view(spark, sf_dir, "ivl"))
-
-
 @query()
 def seed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows seeded in the order of rows; tested against a loop."""

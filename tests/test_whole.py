@@ -12,7 +12,7 @@ def documents(spark, path, rows):
 
 def test_runs_behind_the_first_400_bases(spark, tmp_path):
     where = documents(spark, tmp_path, [(1, "bc" * 300 + "aaaa" + "bc" * 10), (2, "ddd"), (3, None)])
-    got = driver.queries()["homopolymer_runs_whole"](spark, where).collect()
+    got = driver.queries()["homopolymer_runs"](spark, where).collect()
     assert sorted(map(tuple, got)) == [(1, 600, 604, "A"), (2, 0, 3, "T")]
 
 
@@ -24,7 +24,7 @@ def test_tails_behind_the_first_60_bases(spark, tmp_path):
 
 def test_long_and_short_pileup_strings(spark, tmp_path):
     where = documents(spark, tmp_path, [(1, "abcd!" * 30), (2, "abc"), (3, "")])
-    got = driver.queries()["pileup_strings_whole"](spark, where).collect()
+    got = driver.queries()["pileup_strings"](spark, where).collect()
     assert sorted(map(tuple, got)) == [(1, ".,GTN" * 30, 120), (2, ".,G", 2), (3, "", 0)]
 
 
@@ -36,11 +36,10 @@ def test_intervals_outside_the_former_subsets_count(spark, tmp_path):
     rows = [(26, 95)]  # tid 0, 5486 to 5621
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     run = lambda name: driver.queries()[name](spark, str(tmp_path)).collect()
-    assert [(r.n_truth, r.truth_id) for r in run("truth_label_whole")] == [(1, 26)]
-    assert [r.ivl_id for r in run("support_label_whole")] == [26]
-    assert run("not_in_repeats_whole") == [] and run("blacklist_anti_whole") == []
-    assert len(run("blacklist_semi_whole")) == 1
-    assert len(run("not_in_repeats")) == len(run("blacklist_anti")) == 1 and run("support_label") == run("blacklist_semi") == []
+    assert [(r.n_truth, r.truth_id) for r in run("truth_label")] == [(1, 26)]
+    assert [r.ivl_id for r in run("support_label")] == [26]
+    assert run("not_in_repeats") == [] and run("blacklist_anti") == []
+    assert len(run("blacklist_semi")) == 1
 
 
 def test_reads_beyond_a_batch_are_assembled(spark):
