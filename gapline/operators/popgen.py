@@ -356,3 +356,18 @@ def merge_statistics(left: DataFrame, right: DataFrame, *, key: Sequence[str] =
     chosen = {"take1": a, "take2": b, "small": F.least(a, b), "large": F.greatest(a, b)}[take]
     joined = left.select(*key, F.col(value).alias("__a")).join(right.select(*key, F.col(value).alias("__b")), list(key))
     return joined.select(*key, chosen.alias(value))
+
+
+def of_chromosomes(rows: DataFrame, names: Sequence[object], *, chrom: str = "chrom") -> DataFrame:
+    """The rows of the listed chromosomes; all of them for an empty list."""
+    return rows.filter(F.col(chrom).isin(*names)) if names else rows
+
+
+def spaced_sites(sites: DataFrame, *, step: int = 100) -> DataFrame:
+    """Coverage, forward share and reference share of the first sample at every ``step``-th position from the first."""
+    first = F.element_at("samples", 1)
+    rows = sites.filter(F.col("pos") % step == 1).withColumn("__s", first)
+    s = F.col("__s")
+    cov = coverage(s).cast("double")
+    own = F.coalesce(*[F.when(F.upper("ref") == b, allele(s, b)) for b in BASES])
+    return rows.select("chrom", "pos", "ref", cov.cast("bigint").alias("cov"), F.try_divide(forward(s), cov).alias("fwd_frac"), F.try_divide(own, cov).alias("ref_frac"))

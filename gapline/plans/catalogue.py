@@ -423,4 +423,4 @@ def final_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.final_table(rest, strings).select("id", "start", "end", "n_support", "flag")
 
 
-from gapline.plans import population  # noqa: E402, F401  registers its queries
+from gapline.plans import formats, population, stages  # noqa: E402, F401  register their queries

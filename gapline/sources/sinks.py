@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapline.functions.flags import ASSEMBLED, MAPPED, has_any
+from gapline.functions.names import cluster_key
+from gapline.operators.legacy import origin_label
 from gapline.operators.popgen import BASES, FIELDS, allele
 
 
@@ -75,3 +78,65 @@ def write_pgd(chassis: DataFrame, definitions: DataFrame, matrix: DataFrame, pat
 def write_labelled(rows: DataFrame, path: str) -> None:
     """A folder of BED lines for each label."""
     write_table(rows, path, missing="*", by=["label"])
+
+
+#: The columns of the cluster rows that annotated clusters are written with, in order.
+CLUSTER_ROW = ("id", "chrom", "ref_start", "ref_end", "prob", "num_seg", "num_left", "num_middle", "num_right", "assembled", "tsd", "ins", "left", "right", "flag")
+
+
+def cluster_rows(clusters: DataFrame) -> DataFrame:
+    """Clusters whose insertion an element maps to, with the columns of ``CLUSTER_ROW``.
+
+    ``clusters`` has tid and cluster_idx, and all columns but id and assembled.
+    """
+    rows = clusters.filter(has_any(F.col("flag"), MAPPED))
+    made = {"id": cluster_key(F.col("tid"), F.col("cluster_idx")), "assembled": has_any(F.col("flag"), ASSEMBLED).cast("int")}
+    return rows.withColumns(made).select(*CLUSTER_ROW)
+
+
+def write_clusters(clusters: DataFrame, path: str) -> None:
+    write_table(cluster_rows(clusters), path)
+
+
+def write_annotations(strings: DataFrame, path: str) -> None:
+    """id, strand, class, regions and sources of each cluster."""
+    write_table(strings.select("id", "strand", "class", "regions", "sources"), path)
+
+
+def write_raw(df: DataFrame, path: str) -> None:
+    """All columns with their types, as Parquet."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def development_rows(clusters: DataFrame, segments: DataFrame, *, min_overhang: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(clusters, anchored segments) of the development version, a line each.
+
+    Clusters: chromosome, the given columns of ``clusters`` behind tid and cluster_idx,
+    with id, number of segments and direction (1 is ``+``, 2 is ``-``, else ``*``) put
+    in before the third.  Segments: chromosome, cluster id, position, read.
+    """
+    key = cluster_key(F.col("tid"), F.col("cluster_idx"))
+    rest = [c for c in clusters.columns if c not in ("chrom", "tid", "cluster_idx")]
+    sign = F.when(F.col("direction") == 1, "+").when(F.col("direction") == 2, "-").otherwise("*")
+    parts = ["chrom", *rest[:2], key, "num_seg", sign, *rest[2:]]
+    rows = clusters.select("tid", "cluster_idx", F.concat_ws("\t", *parts).alias("line"))
+    good = segments.filter(F.col("overhang") >= min_overhang)
+    return rows, good.select("tid", "cluster_idx", F.concat_ws("\t", "chrom", key, "ref_pos", "qname").alias("line"))
+
+
+#: The columns of the first generation's result, in order.
+LEGACY_ROW = (
+    "chrom", "start", "end", "te", "frequency", "orient", "supporting", "divergence", "method", "origin", "tsd", "inserted", "consensus", "kinds", "te_size", "state",
+)
+
+
+def legacy_bed(clusters: DataFrame) -> DataFrame:
+    """The first generation's rows: breakpoints counted from 1, and whether an insertion is somatic and nested."""
+    one = clusters.withColumns(
+        {
+            "start": F.col("bp_start") + 1,
+            "end": F.col("bp_end") + 1,
+            "origin": origin_label(F.col("n_segments"), F.col("frequency"), F.col("n_unsupp"), F.split_part("kinds", F.lit("_"), F.lit(1)).cast("int"), F.col("n_te")),
+        }
+    )
+    return one.select(*LEGACY_ROW)

@@ -219,3 +219,8 @@ def read_truth(spark: SparkSession, path: str, min_frequency: float = 0.0) -> Da
     }
     rows = _lines(spark, path).select(*[_field(parts, k, t).alias(c) for k, (c, t) in enumerate(kinds.items(), 1)])
     return rows.filter(F.col("freq") > min_frequency)
+
+
+def fetch(rows: DataFrame, chrom: str, start: int, end: int, *, chrom_col: str = "chrom", start_col: str = "start", end_col: str = "end") -> DataFrame:
+    """The intervals of a chromosome that meet [start, end); none for one that is not there."""
+    return rows.filter((F.col(chrom_col) == chrom) & (F.col(start_col) < end) & (F.col(end_col) > start))
