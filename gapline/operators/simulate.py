@@ -83,10 +83,10 @@ def landscape(
 
 def assign_genomes(insertions: DataFrame, genomes: int, *, seed: int, sub: int | None = None) -> DataFrame:
     """(ins_id, hg, sub_population, column): germline insertions by frequency, a somatic one in one genome."""
-    rows = insertions.select("ins_id", "kind", "freq", F.explode(F.sequence(F.lit(0), F.lit(genomes - 1))).alias("hg"))
-    draw = uniform(seed, F.col("ins_id"), F.col("hg"))
-    one = between(0, genomes - 1, uniform(seed + 1, F.col("ins_id")))
-    carried = F.when(F.col("kind") == "germline", draw < F.col("freq")).otherwise(F.col("hg") == one)
+    one = between(0, genomes - 1, uniform(seed + 1, F.col("ins_id"))).cast("int")
+    asked = F.when(F.col("kind") == "germline", F.sequence(F.lit(0), F.lit(genomes - 1))).otherwise(F.array(one))
+    rows = insertions.select("ins_id", "kind", "freq", F.explode(asked).alias("hg"))
+    carried = (F.col("kind") != "germline") | (uniform(seed, F.col("ins_id"), F.col("hg")) < F.col("freq"))
     size = sub or genomes
     return rows.filter(carried).select("ins_id", "hg", F.floor(F.col("hg") / size).cast("int").alias("sub_population"), (F.col("hg") % size).alias("column"))
 

@@ -165,7 +165,7 @@ def background_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _background(spark, sf_dir).select(six(F.col("bg_div"), "bg_div"), six(F.col("bg_depth"), "bg_depth"), six(F.col("bg_read_len"), "bg_read_len"), "num_chrom")
 
 
-FEATURES = ("aligned_frac", "low_mapq_frac", "dual_clip_frac", "mean_mapq", "mean_score", "mean_query_frac", "mean_divergence", "entropy", "balance_ratio", "num_seg_norm")
+FEATURES = ("aligned_frac", "low_mapq_frac", "dual_clip_frac", "mean_mapq", "mean_score", "mean_query_frac", "mean_divergence", "entropy", "balance_ratio", "num_seg_norm", *(f"aln_frac_{k}" for k in clusters.LOCATIONS))
 
 
 @query(f"""
@@ -184,6 +184,7 @@ f AS (
   SELECT tid, cluster_idx, bg_div, bg_depth, count(*) AS n, avg(CASE WHEN n_hits > 0 THEN 1.0 ELSE 0.0 END) AS aligned_frac,
     count(*) FILTER (seg_type = 1) AS l, count(*) FILTER (seg_type = 2) AS m, count(*) FILTER (seg_type = 4) AS r, bit_or(seg_type) AS types,
     avg(CASE WHEN mapq < 5 THEN 1.0 ELSE 0.0 END) AS low, avg(CASE WHEN aln_type = 5 THEN 1.0 ELSE 0.0 END) AS dual, avg(mapq) AS mq,
+    {", ".join(f"avg(CASE WHEN aln_id % 6 = {k} THEN 1.0 ELSE 0.0 END) AS at{1 << k}" for k in range(5))},
     avg(CASE WHEN n_hits > 0 THEN sum_score / n_hits ELSE 0 END) AS sc,
     avg(CASE WHEN n_hits > 0 THEN CAST(sum_map AS DOUBLE) / (query_end - query_start) ELSE 0 END) AS qf,
     avg(CASE WHEN n_hits > 0 THEN sum_div / n_hits ELSE bg_div END) AS dv
@@ -196,12 +197,13 @@ SELECT tid, cluster_idx, n AS num_seg_raw, CAST(bit_count(types) AS INT) AS num_
   round(CASE WHEN ok THEN mq ELSE 0 END, 6) AS mean_mapq, round(CASE WHEN ok THEN sc ELSE 0 END, 6) AS mean_score,
   round(CASE WHEN ok THEN qf ELSE 0 END, 6) AS mean_query_frac, round(CASE WHEN ok THEN dv / bg_div ELSE 0 END, 6) AS mean_divergence,
   round(CASE WHEN ok THEN abs(ent) ELSE 0 END, 6) AS entropy, round(CASE WHEN ok THEN (least(l, r) + 0.01)::DOUBLE / (greatest(l, r) + 0.01)::DOUBLE ELSE 0 END, 6) AS balance_ratio,
+  {", ".join(f"round(CASE WHEN ok THEN at{1 << k} ELSE 0 END::DOUBLE, 6) AS aln_frac_{1 << k}" for k in range(5))},
   round(CASE WHEN ok THEN n / bg_depth ELSE 0 END, 6) AS num_seg_norm
 FROM e""")
 def cluster_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = te_hits.merge_hits(view(spark, sf_dir, "hit"), ties=("hit_id",))
     rows = _clustered(spark, sf_dir).withColumns(
-        {"seg_id": F.col("aln_id") % 20000, "query_len": F.col("query_end") - F.col("query_start"), "aln_location": F.lit(1)}
+        {"seg_id": F.col("aln_id") % 20000, "query_len": F.col("query_end") - F.col("query_start"), "aln_location": F.pow(F.lit(2), F.col("aln_id") % 6).cast("int")}
     )
     rows = te_hits.attach_hits(rows, merged)
     made = clusters.cluster_features(rows, _background(spark, sf_dir))

@@ -57,3 +57,37 @@ def test_command_line(spark, tmp_path):
     sam = put(tmp_path / "a.sam", "@SQ\tSN:c1\tLN:9000\n" + "".join(f"r{k}\t0\tc1\t{100 + k}\t60\t300M200I300M\t*\t0\t0\t*\t*\n" for k in range(3)))
     main(["clusters", sam, f"file://{tmp_path}/out"])
     assert [r[0] for r in spark.read.text(f"file://{tmp_path}/out").collect()] == ["c1\t398\t401\t3"]
+
+
+def folder(spark, path):
+    return sorted(r.value for r in spark.read.option("recursiveFileLookup", True).text(path).collect())
+
+
+def test_call_from_alignments_and_hits(spark, tmp_path):
+    sam, bed, hits = (tmp_path / n for n in ("a.sam", "none.bed", "hits.tsv"))
+    row = "{}\t0\tchr1\t{}\t60\t500M200I400M\t*\t0\t0\t{}\t*\tNM:i:210\tnn:i:10\n"
+    sam.write_text("@SQ\tSN:chr1\tLN:100000\n" + "".join(row.format(f"r{k}", 1001 + k, "ACGT" * 275) for k in range(4)) + row.format("far", 50_001, "ACGT" * 275))
+    bed.write_text("chr9\t1\t2\n")
+    main(["segments", str(sam), f"file://{tmp_path}/segments"])
+    names = [x[1:] for x in folder(spark, f"file://{tmp_path}/segments") if x.startswith(">")]
+    assert len(names) == 5
+    head = "seg_id\thit_id\tquery_start\tquery_end\tmap_len\tscore\tdivergence\n"
+    hits.write_text(head + "".join(f"{n}\t{k}\t0\t190\t190\t180\t0.01\n" for k, n in enumerate(names)))
+    main(["call", str(sam), str(hits), str(bed), str(bed), str(bed), f"file://{tmp_path}/called"])
+    got = [x.split("\t") for x in folder(spark, f"file://{tmp_path}/called")]
+    assert sorted((x[0], int(x[1]), int(x[3]), x[-1]) for x in got) == [("chr1", 1499, 4, "true"), ("chr1", 50499, 1, "true")]
+
+
+def test_label_and_simulate(spark, tmp_path):
+    (tmp_path / "c.bed").write_text("chr1\t100\t120\ta\nchr1\t5000\t5010\tb\nchr2\t100\t120\tc\n")
+    (tmp_path / "t.bed").write_text("chr1\t110\t111\tx\nchr2\t90\t95\ty\nchr2\t140\t150\tz\n")
+    main(["label", f"{tmp_path}/c.bed", f"{tmp_path}/t.bed", f"file://{tmp_path}/labels"])
+    found = spark.read.text(f"file://{tmp_path}/labels").collect()
+    assert sorted((r.label, r.value.split("\t")[1]) for r in found) == [("FP", "5000"), ("Special", "100"), ("TP", "100")]
+    (tmp_path / "g.fa").write_text(">chr1 x\n" + "ACGT" * 500 + "\n>chr2\n" + "GGCC" * 250 + "\n")
+    arguments = ["simulate", f"{tmp_path}/g.fa", "--germline", "6", "--somatic", "2", "--genomes", "10", "--sub-population", "5"]
+    for run in ("a", "b"):
+        main([*arguments[:2], f"file://{tmp_path}/{run}", *arguments[2:]])
+    assert folder(spark, f"file://{tmp_path}/a") == folder(spark, f"file://{tmp_path}/b")
+    assert len(folder(spark, f"file://{tmp_path}/a/insertions")) == 26
+    assert {r.sub_population for r in spark.read.text(f"file://{tmp_path}/a/carriers").collect()} <= {0, 1}
