@@ -16,9 +16,8 @@ match before.
 Offsets count code points, ends are exclusive.  ``split`` and
 ``regexp_extract_all`` with one pattern see the same matches, so the lengths of
 the pieces between matches and of the matches give every offset in one fold.  The
-fold works in blocks of ``BLOCK`` matches, since an array that grows by one at a
-time is copied each time: a text of n matches costs n times the block's size, plus
-the square of n by it.  The patterns are written for Java's engine: possessive
+fold works in blocks of matches, since an array that grows by one at a time is
+copied each time.  The patterns are written for Java's engine: possessive
 groups iterate instead of recursing, and a look-behind stops a long run of
 characters from being tried again at each of its positions.  Null text counts as
 empty and has no spans.  Repeated rows have equal spans.  Other columns stay, but
@@ -28,11 +27,11 @@ run here.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapline.functions.arrays import let, matches, scan
+
 LOCAL = "[A-Za-z0-9._%+-]"
 #: kind -> (pattern, character without which there is no match, prior score, context words)
 KINDS = {
@@ -54,8 +53,6 @@ IBAN_LENGTHS = (
 )
 #: Code points before a span in which context words count, and what they add.
 CONTEXT, BONUS = 40, 0.2
-#: Matches that are folded at a time.
-BLOCK = 256
 
 
 def _digits(value: Column) -> Column:
@@ -109,11 +106,6 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(9, 15)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _account(rest: Column) -> Column:
     """The account number that begins ``rest``, or an empty string.
 
@@ -127,29 +119,6 @@ def _account(rest: Column) -> Column:
     return F.left(rest, F.coalesce(F.array_max(usual), F.array_max(ends), F.lit(0)))
 
 
-def _scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
-    """The arrays of type ``kind`` that ``step`` makes of a state and each item in turn, end to end.
-
-    ``step`` gives the next state too.  Items are taken in blocks, see above.
-    """
-    empty = F.array().cast(kind)
-
-    def inner(s: Column, x: Column) -> Column:
-        state, out = step(s["state"], x)
-        return F.struct(state.alias("state"), F.concat(s["out"], out).alias("out"))
-
-    def outer(s: Column, block: Column) -> Column:
-        done = F.aggregate(block, F.struct(s["state"].alias("state"), empty.alias("out")), inner)
-        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(s["out"], F.array(d["out"])).alias("out")))
-
-    def whole(items: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
-        first = F.struct(start.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
-        return F.when(F.size(items) > 0, F.flatten(F.aggregate(blocks, first, outer, lambda s: s["out"]))).otherwise(empty)
-
-    return _let(items, whole)
-
-
 FOUND = "array<struct<start:int,value:string,before:string>>"
 #: Characters of an account number with a blank between any two, and one behind.
 REACH = 68
@@ -161,7 +130,7 @@ def _accounts(value: Column, begin: Column, before: Column) -> Column:
     def hits(words: Column) -> Column:
         def hit(word: Column, i: Column) -> Column:
             rest = F.left(F.array_join(F.transform(F.slice(words, i + 1, 34), lambda w: F.left(w, F.lit(REACH))), " "), F.lit(REACH))
-            found = F.when(word.rlike("^[A-Z]{2}[0-9]{2}"), _let(rest, _account)).otherwise("")
+            found = F.when(word.rlike("^[A-Z]{2}[0-9]{2}"), let(rest, _account)).otherwise("")
             return F.struct(F.char_length(word).alias("size"), found.alias("hit"))
 
         return F.transform(words, hit)
@@ -174,7 +143,7 @@ def _accounts(value: Column, begin: Column, before: Column) -> Column:
         return after, F.when(good, one).otherwise(F.array().cast(FOUND))
 
     first = F.struct(begin.alias("at"), begin.alias("free"))
-    found = _scan(_let(F.split(value, " "), hits), first, step, FOUND)
+    found = scan(let(F.split(value, " "), hits), first, step, FOUND)
     return F.when(F.char_length(value) >= 15, found).otherwise(F.array().cast(FOUND))
 
 
@@ -184,9 +153,6 @@ SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 def kind_spans(text: Column, kind: str) -> Column:
     """The confirmed spans of one kind, in order."""
     pattern, needed, prior, words = KINDS[kind]
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    paired = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("hit"))
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         begin, before = at + F.char_length(x["gap"]), F.right(x["gap"], F.lit(CONTEXT))
@@ -206,7 +172,7 @@ def kind_spans(text: Column, kind: str) -> Column:
             (F.lit(prior) + F.when(near, BONUS).otherwise(0.0)).alias("score"),
         )
 
-    spans = F.transform(_scan(paired, F.lit(0), step, FOUND), scored)
+    spans = F.transform(scan(matches(text, pattern), F.lit(0), step, FOUND), scored)
     present = F.contains(text, F.lit(needed)) if needed else text.rlike("(?i)password|passwd|secret|token|api[_-]?key" if kind == "secret" else "[0-9]")
     return F.when(present, spans).otherwise(F.array().cast(SPANS))
 
