@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from gapline.llm.rows import fresh, schema_of, without
 from gapline.llm.store import Scratch
-from gapline.llm.textkernel import bound_arrow_batches
+from gapline.llm.textkernel import bound_arrow_batches, tidy
 
 #: Bytes of benchmark text in one automaton.  So few hold fewer distinct words than there are symbols.
 SHARE = 4 << 20
@@ -171,6 +171,7 @@ def _words(text: pa.Scalar) -> list[bytes]:
     return words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch], share: _Sent, text_at: int) -> Iterator[pa.RecordBatch]:
     """The only scan of a benchmark of one share."""
     finder = share.matcher()
@@ -183,6 +184,7 @@ def _scan(batches: Iterator[pa.RecordBatch], share: _Sent, text_at: int) -> Iter
         yield _added(batch, out, batch.num_columns)
 
 
+@tidy
 def _hits(batches: Iterator[pa.RecordBatch], share: _Sent) -> Iterator[pa.RecordBatch]:
     """The texts with hits.  Columns: t1, t2, text; out: t1, t2, merged ranges, numbers of items."""
     finder = share.matcher()
@@ -199,6 +201,7 @@ def _hits(batches: Iterator[pa.RecordBatch], share: _Sent) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(made, names=["t1", "t2", "ranges", "items"])
 
 
+@tidy
 def _finish(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
     """The result's columns from the hits of all scans, which the last two columns hold."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapline.llm.rows import schema_of, without
-from gapline.llm.textkernel import bound_arrow_batches
+from gapline.llm.textkernel import bound_arrow_batches, tidy
 
 #: Training texts of a language: at most so many of each of SALTS shares.
 SALTS, PER_SALT = 64, 16
@@ -89,6 +89,7 @@ def ranked(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:top]]
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -156,6 +157,7 @@ class Profiles:
         return best[0], 1.0 - float(best[1]) / (self.top * len(own))
 
 
+@tidy
 def _judge(batches: Iterator[pa.RecordBatch], profiles: dict[str, list[int]], top: int, at: int) -> Iterator[pa.RecordBatch]:
     judge = Profiles(profiles, top)
     for batch in batches:

@@ -63,7 +63,7 @@ from pyspark.sql import functions as F
 from gapline.llm import sketch
 from gapline.llm.rows import fresh
 from gapline.llm.store import Scratch
-from gapline.llm.textkernel import FOLD, U64, Hasher, bound_arrow_batches, find_words, mix, pieces, signed
+from gapline.llm.textkernel import FOLD, U64, Hasher, bound_arrow_batches, find_words, mix, pieces, signed, tidy
 
 #: Mean number of elements in a counter of the sketch.
 LOAD = 64
@@ -131,6 +131,7 @@ def _parity(elements: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+@tidy
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose parities do not rule a link out.  Columns: a, b, n and parity of either."""
     for batch in batches:
@@ -144,6 +145,7 @@ def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
 DESCRIBED = "nil int, doc long, t1 long, t2 long, raw long, check long, n long, parity binary, segment long, cells binary"
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch], shingle: int, id_bits: int, width: int) -> Iterator[pa.RecordBatch]:
     """A row for each text, and then this partition's sketch of the elements; copies that meet here count once."""
     names = [x.split()[0] for x in DESCRIBED.split(", ")]
@@ -190,6 +192,7 @@ def token_classes(segments: DataFrame, count: int, width: int, elements: int, sc
     return Classes(bits, width)
 
 
+@tidy
 def _mark(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """This partition's signatures as bits, in segments."""
     bits = np.zeros(width, bool)
@@ -258,6 +261,7 @@ def combinations(s: np.ndarray, classes: Classes, percent: int) -> tuple[list[tu
     return [x for x in out if len(x[0])], u
 
 
+@tidy
 def _signatures(
     batches: Iterator[pa.RecordBatch], shingle: int, percent: int, id_bits: int, classes: Classes, renamed: Names, wanted: np.ndarray | None
 ) -> Iterator[pa.RecordBatch]:
@@ -352,6 +356,7 @@ def _across(columns: dict[str, np.ndarray], parities: list[bytes], same: bool, p
     return sid[x], sid[y]
 
 
+@tidy
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of every block."""
 
@@ -392,6 +397,7 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, s
     return out
 
 
+@tidy
 def _link_counts(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(sid, number of rows with other sets that it links with) of every block."""
 
@@ -503,6 +509,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs that link.  Columns: a, share, b, text; sorted, with the text of a before those of its partners, b null."""
     own = np.empty(0, np.uint64)

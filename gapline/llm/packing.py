@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.store import Scratch
-from gapline.llm.textkernel import WHITESPACE, Hasher, bound_arrow_batches, equal_words, find_words, pieces
+from gapline.llm.textkernel import WHITESPACE, Hasher, bound_arrow_batches, equal_words, find_words, pieces, tidy
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -233,6 +233,7 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
+@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterator[pa.RecordBatch]:
     coder = encoder(vocabulary)
     try:

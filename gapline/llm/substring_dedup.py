@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from gapline.llm import sketch
 from gapline.llm.rows import KEY, fresh, row_key, schema_of, without
 from gapline.llm.store import Scratch
-from gapline.llm.textkernel import Hasher, bound_arrow_batches, find_words, pieces, signed
+from gapline.llm.textkernel import Hasher, bound_arrow_batches, find_words, pieces, signed, tidy
 
 GRAM = 10
 #: Rows of the sketch, and documents' keys to a counter.
@@ -61,6 +61,7 @@ def _keys(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
 
 
+@tidy
 def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     one, two = Hasher(11), Hasher(12)
     gram = min(GRAM, window)
@@ -118,6 +119,7 @@ def document_sketch(runs: DataFrame, width: int) -> DataFrame:
     return sketch.merged(parts, keys.rdd.getNumPartitions())
 
 
+@tidy
 def _repeated(batches: Iterator[pa.RecordBatch], bits: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     """The runs whose estimate is above one."""
     for batch in batches:
@@ -125,6 +127,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], bits: np.ndarray, width: int) -
         yield batch.filter(pa.array(sketch.all_set(low, bits, DEPTH, width)))
 
 
+@tidy
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The single windows of the listed runs.  Columns: key, text, runs of (at, n)."""
     one, two = Hasher(11), Hasher(12)
@@ -159,6 +162,7 @@ def _fields(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(len(column)), sizes), *(flat.field(k).to_numpy(zero_copy_only=False) for k in names)
 
 
+@tidy
 def _remove(batches: Iterator[pa.RecordBatch], text_at: int, window: int) -> Iterator[pa.RecordBatch]:
     """Cut the covered words out; the last two columns have covered ranges, and bits of covered windows."""
     shifts = np.arange(64, dtype=np.uint64)

@@ -9,8 +9,11 @@ pieces, so memory follows the piece, or the longest text if that is longer.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +151,25 @@ def find_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+def tidy(function: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """The generator, with the memory that its task has freed given back to the system at its end.
+
+    Spark keeps a worker for later tasks and later stages, beside others and the JVM.
+    """
+
+    @wraps(function)
+    def inner(*args, **kwargs):
+        try:
+            yield from function(*args, **kwargs)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+                trim(0)
+
+    return inner
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

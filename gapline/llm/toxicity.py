@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gapline.llm.rows import schema_of, without
 from gapline.llm.store import Scratch
-from gapline.llm.textkernel import FOLD, Hasher, bound_arrow_batches, find_words, pieces, signed
+from gapline.llm.textkernel import FOLD, Hasher, bound_arrow_batches, find_words, pieces, signed, tidy
 
 #: Labelled rows to learn from.
 SAMPLE = 12_000
@@ -148,6 +148,7 @@ def _flush(counts: dict, names: list[str]) -> pa.RecordBatch:
     )
 
 
+@tidy
 def _terms(batches: Iterator[pa.RecordBatch], wanted: set[str] | None) -> Iterator[pa.RecordBatch]:
     """(term, label, number of texts), added up for a part of the partition."""
     counts: Counter = Counter()
@@ -162,6 +163,7 @@ def _terms(batches: Iterator[pa.RecordBatch], wanted: set[str] | None) -> Iterat
         yield _flush(counts, ["term", "label", "n"])
 
 
+@tidy
 def _words(batches: Iterator[pa.RecordBatch], stems: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Whole words that begin with a stem."""
     counts: Counter = Counter()
@@ -172,6 +174,7 @@ def _words(batches: Iterator[pa.RecordBatch], stems: tuple[str, ...]) -> Iterato
         yield _flush(counts, ["term", "label", "n"])
 
 
+@tidy
 def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the least hash of their word sequences of length ``COPY``."""
     hasher = Hasher(41)
@@ -303,6 +306,7 @@ def _threshold(points: list[tuple[float, int]], n_toxic: int, n_clean: int) -> f
     return at
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, at: int) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(lexicon)
     for batch in batches:

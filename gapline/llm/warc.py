@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapline.llm.store import Scratch, rename_parts
-from gapline.llm.textkernel import bound_arrow_batches
+from gapline.llm.textkernel import bound_arrow_batches, tidy
 
 REVISIT = 1000
 #: The header fields of the two versions, and WARC's profile of equal payloads.
@@ -87,6 +87,7 @@ def member(record: bytes) -> bytes:
     return gzip.compress(record, 1, mtime=0)
 
 
+@tidy
 def _write_arc(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     version, name = 1 + part % 2, f"part-{part:06d}.arc"
@@ -260,6 +261,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 ARC_ROWS = "id string, archive string, offset long, kind string, url string, date string, key string, size long, sha1 string"
 
 
+@tidy
 def _arc_rows(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in ARC_ROWS.split(", ")] + (["packed"] if payloads else [])
     types = [pa.int64() if x.endswith("long") else pa.string() for x in ARC_ROWS.split(", ")] + [pa.binary()] * payloads
@@ -293,6 +295,7 @@ def arc_records(spark: SparkSession, path: str, payloads: bool = False) -> DataF
     return _files(spark, path).mapInArrow(lambda it: _arc_rows(it, payloads), schema)
 
 
+@tidy
 def _write_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -364,6 +367,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
 WARC_ROWS = "kind string, id string, url string, key string, size long, sha1 string, refers_to string, refers_key string, date string"
 
 
+@tidy
 def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in WARC_ROWS.split(", ")]
     types = [pa.int64() if x.endswith("long") else pa.string() for x in WARC_ROWS.split(", ")]
