@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import weakref
 import zipfile
@@ -21,7 +23,9 @@ def ship(spark: SparkSession) -> None:
     here = Path(__file__).resolve().parent
     if here.suffix == ".zip" or not here.is_dir():  # it runs from an archive already
         return
-    archive = os.path.join(tempfile.mkdtemp(), f"{here.name}.zip")
+    folder = tempfile.mkdtemp()  # of the driver alone; Spark sends the archive to the workers
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, f"{here.name}.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as file:
         for path in sorted(here.rglob("*.py")):
             file.write(path, path.relative_to(here.parent))

@@ -17,6 +17,8 @@ from pyspark.sql.types import DoubleType
 
 BASES = "ATCG"
 FIELDS = tuple(f"{b}{s}" for b in BASES for s in "fr")
+#: Keys that may be broadcast.
+BROADCAST_ROWS = 10_000
 SAMPLE = "struct<" + ",".join(f"{k}:bigint" for k in FIELDS) + ">"
 
 
@@ -318,9 +320,10 @@ def ranked(df: DataFrame, *, order: Sequence[Column], name: str = "rank", groups
 
 
 def top_outliers(df: DataFrame, n: int, *, order: Sequence[Column], key: Sequence[str], flag: str = "is_outlier") -> DataFrame:
-    """``flag`` marks the first ``n`` rows in ``order`` (total); ``n`` keys are broadcast."""
+    """``flag`` marks the first ``n`` rows in ``order`` (total); few keys are broadcast, more go through a shuffle join."""
     top = df.orderBy(*order).limit(n).select(*key, F.lit(True).alias("__top"))
-    return df.drop(flag).join(F.broadcast(top), list(key), "left").withColumn(flag, F.coalesce("__top", F.lit(False))).drop("__top")
+    top = F.broadcast(top) if n <= BROADCAST_ROWS else top
+    return df.drop(flag).join(top, list(key), "left").withColumn(flag, F.coalesce("__top", F.lit(False))).drop("__top")
 
 
 def pick_ranks(df: DataFrame, ranks: Sequence[int] = (), fractions: Sequence[float] = (), *, value: str, order: Sequence[Column], truth: str | None = None) -> DataFrame:
