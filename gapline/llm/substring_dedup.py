@@ -12,8 +12,9 @@ judged on the input.
 2. Only runs whose estimate is above one go on.  Equal runs (128-bit hashes of
    all their words) are grouped exactly first: each occurrence but that of the
    smallest id is covered as a whole.
-3. The runs' first occurrences are opened into single windows, again grouped
-   exactly by 128-bit hashes.  A window that is in an earlier document too is
+3. The runs' first occurrences are opened into single windows, which a sketch of
+   their own prefilters in the same way before they too are grouped exactly by
+   128-bit hashes.  A window that is in an earlier document too is
    covered; covered windows travel as bits, 64 to a row.
 
 The sketch's width follows the number of runs up to ``widest`` counters a row;
@@ -207,11 +208,17 @@ def substring_dedup(
     runs = scratch.keep(
         docs.mapInArrow(lambda it: _runs(it, window), f"low long, r1 long, r2 long, {key}, at int, n int"), "runs"
     )
-    width = min(sketch.width_for(runs.count(), LOAD), widest)
-    sent = spark.sparkContext.broadcast(sketch.reached(document_sketch(runs, width), 2, DEPTH, width))
-    again = scratch.keep(runs.mapInArrow(lambda it: _repeated(it, sent.value, width), runs.schema).drop("low"), "again")
+    def repeated(rows: DataFrame, name: str) -> DataFrame:
+        """The rows whose first column, their key, is estimated to stand in two documents."""
+        width = min(sketch.width_for(rows.count(), LOAD), widest)
+        counts = document_sketch(rows.withColumnRenamed(rows.columns[0], "low"), width)
+        sent = spark.sparkContext.broadcast(sketch.reached(counts, 2, DEPTH, width))
+        made = scratch.keep(rows.mapInArrow(lambda it: _repeated(it, sent.value, width), rows.schema), name)
+        sent.destroy()
+        return made
+
+    again = repeated(runs, "again").drop("low")
     scratch.drop("runs")
-    sent.destroy()
 
     earliest = scratch.keep(again.groupBy("r1", "r2").agg(F.min("doc").alias("first")), "earliest")
     judged = scratch.keep(
@@ -228,6 +235,8 @@ def substring_dedup(
         "windows",
     )
     scratch.drop("opened")
+    windows = repeated(windows, "likely")
+    scratch.drop("windows")
     shared = scratch.keep(
         windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last"),
         "shared",
@@ -242,7 +251,7 @@ def substring_dedup(
     marks = single.unionByName(ranges).groupBy(*KEY).agg(F.collect_list("range").alias(found), F.collect_list("single").alias(bits))
     names = fresh(df, *KEY)
     marks = scratch.keep(marks.toDF(*names, found, bits), "marks")
-    scratch.drop("windows", "shared", "judged")
+    scratch.drop("likely", "shared", "judged")
 
     marked = df.withColumns(dict(zip(names, row_key(df, id_col, text_col).values(), strict=True)))
     marked = marked.join(marks, names, "left").select(*df.columns, found, bits)
