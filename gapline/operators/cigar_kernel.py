@@ -1,8 +1,7 @@
 """CIGAR strings of whole Arrow batches, walked with arrays.
 
 Every operation of a batch is one element: its length, its row, and the sums of
-the lengths before it in the row on read, reference and matched bases.  Interpreted
-folds over arrays of operations, row by row, take about ten times as long.
+the lengths before it in the row on read, reference and matched bases.
 """
 
 from __future__ import annotations
