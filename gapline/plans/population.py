@@ -99,9 +99,26 @@ def strand_sync_to_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("site_id", sync_line(F.col("samples")).alias("line"))
 
 
-@query()
+def _fisher_sql(name: str, a: str, b: str, c: str, d: str) -> str:
+    """-log10 of Fisher's two-sided probability: the tables with these margins that are at most as likely, summed."""
+    row, col, n = f"({a} + {b})", f"({a} + {c})", f"({a} + {b} + {c} + {d})"
+    cells = lambda x: f"lgamma({x} + 1) + lgamma({row} - {x} + 1) + lgamma({col} - {x} + 1) + lgamma({n} - {row} - {col} + {x} + 1)"
+    const = f"lgamma({row} + 1) + lgamma({n} - {row} + 1) + lgamma({col} + 1) + lgamma({n} - {col} + 1) - lgamma({n} + 1)"
+    tables = f"list_transform(range(greatest(0, {row} + {col} - {n}), least({row}, {col}) + 1), lambda x: {const} - ({cells('x')}))"
+    chance = f"list_sum(list_transform(list_filter({tables}, lambda p: p <= {const} - ({cells(a)}) + 1e-7), lambda p: exp(p)))"
+    return f"round(CASE WHEN {chance} <= 0 THEN 100.0 ELSE greatest(0.0, -log10(least(1.0, {chance}))) END, 6) AS {name}"
+
+
+_FORWARD = "(CASE al[{0}].b WHEN 'A' THEN paf WHEN 'T' THEN ptf WHEN 'C' THEN pcf ELSE pgf END)"
+
+
+@query(f"""
+WITH {SITE_SQL},
+t AS (SELECT chrom, pos, al[1].x AS a, al[2].x AS b, al[1].y AS c, al[2].y AS d, {_FORWARD.format(1)} AS f1, {_FORWARD.format(2)} AS f2, -al[1].k AS n1, -al[2].k AS n2
+  FROM r WHERE xcov >= 1 AND ycov >= 1),
+u AS (SELECT *, n1 - f1 AS r1, n2 - f2 AS r2 FROM t)
+SELECT chrom, pos, pos % 100 = 1 AND pos > 1 AS is_snp, false AS is_outlier, {_fisher_sql("strand_bias", "f1", "r1", "f2", "r2")}, {_fisher_sql("measure", "a", "b", "c", "d")} FROM u""")
 def multimeasure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fisher and chi-square scores, which SQL has no function for; tested against exact sums."""
     rows = popgen.multimeasure(_sites(spark, sf_dir), bias="alleleimbalance", measure="fet", least=1)
     return rows.select("chrom", "pos", "is_snp", "is_outlier", six(F.col("strand_bias"), "strand_bias"), six(F.col("measure"), "measure"))
 
@@ -291,9 +308,33 @@ def sequence_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _tail_sql(text: str, keep: bool) -> str:
+    """The fold of an A tail's scan over a text; with ``keep`` a reset leaves the best stretch and no stretches are listed."""
+    total = "(a.total + CASE x.b WHEN 'A' THEN 1 WHEN 'T' THEN -1 ELSE -3 END)"
+    misses = "(a.misses + CASE x.b WHEN 'A' THEN 0 ELSE 1 END)"
+    up, stop = f"{total} > a.top", f"({total} < 0 OR {misses} > 10)"
+    best, top, at = (f"CASE WHEN {up} THEN {new} ELSE a.{old} END" for new, old in (("a.size + 1", "best"), (total, "top"), ("a.i", "at")))
+    fresh = lambda c: f"CASE WHEN {stop} THEN 0 ELSE {c} END"
+    held = (lambda c: c) if keep else fresh
+    good = f"({best}) >= 5 AND (n - ({best}) + 1) * pow(0.25, {best}) <= 0.01"
+    found = "a.found" if keep else f"CASE WHEN {stop} AND {good} THEN list_append(a.found, {{'at': {at}, 'size': {best}}}) ELSE a.found END"
+    none = "CAST([] AS STRUCT(\"at\" INT, size INT)[])"
+    zero = lambda c: f"{{'b': {c}, 'i': 0, 'size': 0, 'total': 0, 'misses': 0, 'best': 0, 'top': 0, 'at': 0, 'found': {none}}}"
+    step = f"""{{'b': x.b, 'i': a.i + 1, 'size': {fresh("a.size + 1")}, 'total': {fresh(total)}, 'misses': {fresh(misses)},
+      'best': {held(best)}, 'top': {held(top)}, 'at': {at}, 'found': {found}}}"""
+    letters = f"list_transform(string_split({text}, ''), lambda c: {zero('c')})"
+    return f"list_reduce({letters}, lambda a, x: {step}, {zero(chr(39) * 2)})"
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, concat(seq, repeat('A', CAST(doc_id % 25 AS INT)), 'CGT') AS s FROM {{dna}}),
+l AS (SELECT doc_id, s, length(s) AS n FROM s),
+w AS (SELECT doc_id, n, {_tail_sql("s", False)} AS t, {_tail_sql("right(s, 20)", True)} AS f FROM l),
+c AS (SELECT doc_id, CASE WHEN t.best >= 5 AND (n - t.best + 1) * pow(0.25, t.best) <= 0.01 THEN list_append(t.found, {{'at': t.at, 'size': t.best}}) ELSE t.found END AS found,
+  n >= 20 AND f.at <= 5 AND f.best >= 5 AND (20 - f.best + 1) * pow(0.25, f.best) <= 0.01 AS flank FROM w),
+u AS (SELECT doc_id, flank, unnest(found) AS x FROM c)
+SELECT doc_id, CAST(x.at + 1 - x.size AS INT) AS tail_start, CAST(x.at + 1 AS INT) AS tail_end, flank FROM u""")
 def poly_tail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequential scan, which plain SQL has no form for; tested against a loop."""
     rows = view(spark, sf_dir, "dna").select("doc_id", F.concat("seq", F.repeat(F.lit("A"), (F.col("doc_id") % 25).cast("int")), F.lit("CGT")).alias("s"))
     tails = rows.select("doc_id", F.explode(sequences.poly_tails(F.col("s"), True)).alias("t"), sequences.flank_has_tail(F.right("s", F.lit(20)), True).alias("flank"))
     return tails.select("doc_id", F.col("t.start").alias("tail_start"), F.col("t.end").alias("tail_end"), "flank")
@@ -400,11 +441,23 @@ def not_in_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.not_in_repeats(tagged, repeats, key="id").select("cluster_id", "tid", "bp_start", "bp_end")
 
 
-@query()
+def _seed_sql() -> str:
+    """Seeds are found by doubled steps, 2^14 of which pass every chromosome."""
+    parts = ["a AS (SELECT aln_id, tid, pos FROM {aln} WHERE mapq > 0)"]
+    parts.append(
+        "j0 AS (SELECT tid, pos, min(pos) OVER (PARTITION BY tid ORDER BY pos RANGE BETWEEN 202 FOLLOWING AND UNBOUNDED FOLLOWING) AS follow FROM (SELECT DISTINCT tid, pos FROM a))"
+    )
+    parts.append("r0 AS (SELECT tid, min(pos) AS pos FROM a GROUP BY tid)")
+    for k in range(14):
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT * FROM r{k} UNION SELECT tid, follow FROM r{k} JOIN j{k} USING (tid, pos) WHERE follow IS NOT NULL)")
+        parts.append(f"j{k + 1} AS MATERIALIZED (SELECT x.tid, x.pos, y.follow FROM j{k} x JOIN j{k} y ON y.tid = x.tid AND y.pos = x.follow)")
+    return f"WITH {', '.join(parts)} SELECT aln_id, 1 AS n_windows, CAST(r14.pos AS BIGINT) AS first_window FROM a ASOF JOIN r14 ON a.tid = r14.tid AND a.pos >= r14.pos"
+
+
+@query(_seed_sql())
 def seed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows seeded in the order of rows; tested against a loop."""
-    rows = view(spark, sf_dir, "aln").filter("mapq > 0").select("aln_id", "tid", "pos")
-    made = legacy.seed_windows(rows, ties=("aln_id",))
+    """Windows seeded in the order of rows."""
+    made = legacy.seed_windows(view(spark, sf_dir, "aln").filter("mapq > 0").select("aln_id", "tid", "pos"), tile=1 << 17)
     return made.select("aln_id", F.size("windows").alias("n_windows"), F.array_min("windows").alias("first_window"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapline.functions.arrays import let
 from gapline.operators.popgen import FIELDS, SAMPLE
 
 
@@ -95,10 +96,14 @@ def pileup_bases(ref: Column, text: Column) -> Column:
 
 def base_counts(bases: Column, quals: Column, min_quality: int = 0) -> Column:
     """Strand-specific counts of the bases whose quality is high enough."""
-    pairs = F.zip_with(F.split(bases, ""), F.split(quals, ""), lambda b, q: F.struct(b.alias("b"), q.alias("q")))
-    good = F.filter(pairs, lambda x: F.ascii(x["q"]) - 33 >= min_quality)
-    count = lambda c: F.size(F.filter(good, lambda x: x["b"] == c)).cast("bigint")
-    return F.struct(*[count(k[0] if k[1] == "f" else k[0].lower()).alias(k) for k in FIELDS])
+    taken = lambda b, q: F.when(F.ascii(q) - 33 >= min_quality, b).otherwise("")
+    good = F.array_join(F.zip_with(F.split(bases, ""), F.split(quals, ""), taken), "")
+
+    def counts(found: Column) -> Column:
+        count = lambda c: F.char_length(found) - F.char_length(F.replace(found, F.lit(c), F.lit("")))
+        return F.struct(*[count(k[0] if k[1] == "f" else k[0].lower()).cast("bigint").alias(k) for k in FIELDS])
+
+    return let(good, counts)
 
 
 def read_mpileup(spark: SparkSession, path: str, min_quality: int = 0) -> DataFrame:

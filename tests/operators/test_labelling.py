@@ -47,7 +47,8 @@ def test_seed_windows_equal_a_loop(spark):
     rng = random.Random(1)
     rows = sorted({(rng.randint(0, 1), rng.randint(0, 3000)) for _ in range(150)})
     df = spark.createDataFrame(rows, "tid int, pos int")
-    got = {(r.tid, r.pos): list(r.windows) for r in legacy.seed_windows(df).collect()}
+    got, tiled = ({(r.tid, r.pos): list(r.windows) for r in legacy.seed_windows(df, tile=n).collect()} for n in (1 << 20, 402))
+    assert got == tiled
     for t in (0, 1):
         seeds = []
         for _, p in [r for r in rows if r[0] == t]:
@@ -58,6 +59,14 @@ def test_seed_windows_equal_a_loop(spark):
             assert got[t, p] == own
 
 
+def test_seed_windows_of_ties_gaps_and_nulls(spark):
+    rows = [(1, 5), (1, 5), (1, 206), (1, 207), (1, 90_000), (1, -3), (None, 5), (1, None)]
+    made = legacy.seed_windows(spark.createDataFrame(rows, "tid int, pos int"), tile=402)
+    got = sorted((r.tid or 0, -9 if r.pos is None else r.pos, r.windows) for r in made.collect())
+    assert got == [(0, 5, [5]), (1, -9, None), (1, -3, [-3]), (1, 5, [-3]), (1, 5, [-3]), (1, 206, [206]), (1, 207, [206]), (1, 90_000, [90_000])]
+    assert legacy.seed_windows(spark.createDataFrame([], "tid int, pos int")).collect() == []
+
+
 def test_sessions_in_batch_and_stream(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:20:00"), (1, "2024-01-01 02:00:00"), (2, "2024-01-01 00:00:00")]
     df = spark.createDataFrame(rows, "user_id int, ts string").withColumn("ts", F.to_timestamp("ts"))
