@@ -387,9 +387,12 @@ def dsl_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.char_length("s") >= 4).select("id", splice_column(F.col("s"), inserts).alias("spliced"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey AS id, CAST(p_size AS INT) AS n, CAST(p_partkey % (p_size + 1) AS INT) AS k FROM part)
+SELECT id, CASE WHEN k >= 3 THEN concat(repeat('A', k), 'GT', 'TT', 'ACGTAC', repeat('A', 3), repeat('A', n - k)) END AS seq, CASE WHEN k >= 3 THEN 0 END AS tsd,
+  CASE WHEN k < 3 THEN concat('position ', k, ' does not fit a duplication of 3 in ', n, ' bases') END AS error FROM p""")
 def dsl_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested definitions, resolved by recursion; tested case by case."""
+    """Nested definitions, resolved by recursion; the twin spells out what they come to."""
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         F.col("p_partkey").alias("id"),
         F.array(F.repeat(F.lit("A"), F.col("p_size")), F.lit("ACGTACGTAC")).alias("base_seqs"),
