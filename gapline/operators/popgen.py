@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from gapline.sources import scratch
+
 BASES = "ATCG"
 FIELDS = tuple(f"{b}{s}" for b in BASES for s in "fr")
 #: Keys that may be broadcast.
@@ -304,19 +306,26 @@ def genome_stats(genomes: DataFrame, *, seq: str = "seq", read_length: int = 100
 # --- ranks --------------------------------------------------------------------------
 
 
-def ranked(df: DataFrame, *, order: Sequence[Column], name: str = "rank", groups: int = 256) -> DataFrame:
-    """A global 1-based rank without sorting in one task.
+def ranked(df: DataFrame, *, order: Sequence[Column], name: str = "rank", groups: int = 256, columns: Sequence[str] | None = None) -> DataFrame:
+    """``columns`` (default all) and a global 1-based rank, without sorting in one task.
 
-    Rows are range-partitioned by the order and ranked within partitions; partition
-    sizes, one row for each, give the offsets.  ``order`` must be total.
+    Rows are range-partitioned by the order, sorted and numbered within partitions, and
+    written; partition sizes, one row for each, give the offsets.  Written, since Spark
+    draws the bounds of ranges from a sample, so two plans over the same rows may not
+    share them.  ``order`` must be total.
     """
-    parted = df.repartitionByRange(groups, *order).withColumn("__part", F.spark_partition_id())
-    local = parted.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    spark, kept = df.sparkSession, list(df.columns if columns is None else columns)
+    path = scratch.folder(spark, "ranks")
+    # the number of the partition, then that of the row in it, in the low 33 bits
+    numbered = df.repartitionByRange(groups, *order).sortWithinPartitions(*order).select(*kept, F.monotonically_increasing_id().alias("__id"))
+    numbered.write.parquet(path)
+    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    local = spark.read.schema(numbered.schema).parquet(path).withColumns({"__part": part, "__rank": row + 1})
     sizes = local.groupBy("__part").agg(F.max("__rank").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select(F.col("__part").alias("__p"), before.alias("__before")))
     joined = local.join(offsets, F.col("__part") == F.col("__p"))
-    return joined.select(*df.columns, (F.col("__before") + F.col("__rank")).alias(name))
+    return joined.select(*kept, (F.col("__before") + F.col("__rank")).alias(name))
 
 
 def top_outliers(df: DataFrame, n: int, *, order: Sequence[Column], key: Sequence[str], flag: str = "is_outlier") -> DataFrame:
@@ -327,17 +336,18 @@ def top_outliers(df: DataFrame, n: int, *, order: Sequence[Column], key: Sequenc
 
 
 def pick_ranks(df: DataFrame, ranks: Sequence[int] = (), fractions: Sequence[float] = (), *, value: str, order: Sequence[Column], truth: str | None = None) -> DataFrame:
-    """(truth, rank, value) at given ranks and at floor(n * fraction), by falling value, for each truth class."""
-    classes = [True, False] if truth else [None]
-    out = None
-    for k in classes:
-        part = df if k is None else df.filter(F.col(truth) == k)
-        n = part.count()
-        wanted = sorted({r for r in (*ranks, *(int(n * f) for f in fractions)) if 1 <= r <= n})
-        rows = ranked(part.select(F.lit(k).cast("boolean").alias("truth"), F.col(value).alias("value"), *df.columns), order=order).filter(F.col("rank").isin(wanted))
-        rows = rows.select("truth", "rank", "value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(truth, rank, value) at given ranks and at floor(n * fraction), by falling value, for each truth class, null included."""
+    kind = F.col(truth) if truth else F.lit(None)
+    rows = df.select(kind.cast("boolean").alias("__truth"), F.col(value).alias("__value"), *df.columns)
+    classes = [F.col("__truth").desc()] if truth else []
+    placed = ranked(rows, order=[*classes, *order], columns=["__truth", "__value"])
+    sizes = placed.groupBy("__truth").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    wanted = []
+    for _, first, n in sizes:
+        wanted += [(first, r) for r in sorted({*ranks, *(int(n * f) for f in fractions)}) if 1 <= r <= n]
+    own = F.create_map(*[F.lit(x) for first, r in wanted for x in (first + r - 1, r)]) if wanted else F.lit(None).cast("map<bigint,int>")
+    found = placed.filter(F.col("rank").isin([first + r - 1 for first, r in wanted]))
+    return found.select(F.col("__truth").alias("truth"), F.try_element_at(own, F.col("rank")).alias("rank"), F.col("__value").alias("value"))
 
 
 def roc_points(df: DataFrame, points: int, *, order: Sequence[Column], positive: str = "is_outlier") -> DataFrame:
@@ -345,7 +355,7 @@ def roc_points(df: DataFrame, points: int, *, order: Sequence[Column], positive:
     sizes = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(positive)).alias("p")).first()
     n, p = sizes["n"], sizes["p"]
     step = max(1, n // points)
-    rows = ranked(df, order=order).select("rank", F.col(positive).cast("int").alias("hit"))
+    rows = ranked(df, order=order, columns=[positive]).select("rank", F.col(positive).cast("int").alias("hit"))
     blocks = rows.groupBy(F.floor((F.col("rank") - 1) / step).alias("block")).agg(F.max("rank").alias("rank"), F.sum("hit").alias("hit"), F.count(F.lit(1)).alias("size"))
     up = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     hits = F.sum("hit").over(up)

@@ -75,3 +75,23 @@ def test_global_rank(spark):
     got = {r.k: r["rank"] for r in popgen.ranked(df, order=[F.col("v").desc(), F.col("k")], groups=7).collect()}
     want = {k: n for n, (k, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
     assert got == want
+
+
+def test_global_rank_of_more_rows_than_spark_samples(spark):
+    """The bounds of ranges come from a sample here; every rank appears once all the same."""
+    n = 300_000
+    df = spark.range(0, n, 1, 8).select("id", (F.xxhash64("id") / 7).alias("v"), (F.col("id") % 3).alias("w"))
+    made = popgen.ranked(df, order=[F.col("v").desc(), F.col("id").asc()])
+    sums = made.agg(F.count(F.lit(1)), F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()
+    assert tuple(sums) == (n, n, 1, n)
+
+
+def test_picked_ranks_are_those_of_a_sort(spark):
+    n = 200_000
+    df = spark.range(0, n, 1, 8).select("id", (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 8).alias("v"), F.when(F.col("id") % 5 > 0, F.col("id") % 5 == 1).alias("t"))
+    got = popgen.pick_ranks(df, (1, 100), (0.05, 0.5), value="v", order=[F.col("v").desc(), F.col("id").asc()], truth="t").collect()
+    want = set()
+    for kind in (True, False, None):
+        rows = sorted((r.v for r in df.filter(F.col("t").eqNullSafe(F.lit(kind).cast("boolean"))).collect()), reverse=True)
+        want |= {(kind, r, rows[r - 1]) for r in (1, 100, int(len(rows) * 0.05), int(len(rows) * 0.5))}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
