@@ -32,7 +32,7 @@ def between(low: Column | int, high: Column | int, draw: Column) -> Column:
 def allocate(contigs: DataFrame, total: int, *, order: str = "tid", length: str = "length") -> DataFrame:
     """``n`` of ``total`` for each contig in proportion to its length; the last gets the remainder."""
     everything = Window.partitionBy()
-    share = F.floor(F.lit(total) * F.col(length) / F.sum(length).over(everything))
+    share = F.floor(F.lit(total).cast("bigint") * F.col(length) / F.sum(length).over(everything))
     made = contigs.withColumn("n", share.cast("bigint"))
     rest = F.lit(total) - F.sum("n").over(everything)
     last = F.col(order) == F.max(order).over(everything)

@@ -92,6 +92,13 @@ def test_simulators_are_seeded_and_in_bounds(spark):
     assert simulate.target_reads("pc", 2.0, genome=1000, read_length=100, pairs=True, inner=50) == 8
 
 
+def test_allocation_of_long_contigs(spark):
+    """The product of total and length is beyond 32 bits; the lengths are not."""
+    contigs = spark.createDataFrame([(0, "a", 2_000_000), (1, "b", 2_000_000)], "tid int, chrom string, length int")
+    assert [r.n for r in simulate.allocate(contigs, 1500).orderBy("tid").collect()] == [750, 750]
+    assert simulate.landscape(contigs, 5, seed=7, germline=500, somatic_per_genome=20, genomes=50).count() == 1500
+
+
 def test_closed_loop_finds_every_insertion(spark):
     """Simulate, place reads at their true places, call and label: all insertions are found."""
     rng = random.Random(9)
