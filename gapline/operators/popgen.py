@@ -314,13 +314,11 @@ def ranked(df: DataFrame, *, order: Sequence[Column], name: str = "rank", groups
     draws the bounds of ranges from a sample, so two plans over the same rows may not
     share them.  ``order`` must be total.
     """
-    spark, kept = df.sparkSession, list(df.columns if columns is None else columns)
-    path = scratch.folder(spark, "ranks")
+    kept = list(df.columns if columns is None else columns)
     # the number of the partition, then that of the row in it, in the low 33 bits
     numbered = df.repartitionByRange(groups, *order).sortWithinPartitions(*order).select(*kept, F.monotonically_increasing_id().alias("__id"))
-    numbered.write.parquet(path)
     part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    local = spark.read.schema(numbered.schema).parquet(path).withColumns({"__part": part, "__rank": row + 1})
+    local = scratch.keep(numbered, "ranks").withColumns({"__part": part, "__rank": row + 1})
     sizes = local.groupBy("__part").agg(F.max("__rank").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select(F.col("__part").alias("__p"), before.alias("__before")))

@@ -60,3 +60,11 @@ def test_bam_files_of_one_chromosome_and_long_records(spark, tmp_path):
     for file in tmp_path.glob("out/tid=0/part-*"):
         found = list(bam.decode_records(file.read_bytes()))
         assert [r[4] for r in found] == sorted(r[4] for r in found) and {r[1] for r in found} == {"a"}
+
+
+def test_the_plan_does_not_repeat_its_steps(spark):
+    """Each reader of a step would bring all the steps behind it along."""
+    from gapline.plans.stages import annotated_insertions
+
+    made = annotated_insertions(spark, "/root/testdata/sf0.001")
+    assert made._jdf.queryExecution().analyzed().toString().count("Join ") < 10
