@@ -146,3 +146,23 @@ def test_left_join_keeps_rows_without_partner(spark):
     a = spark.createDataFrame([(1, "c", 5, 9)], "k int, chrom string, s int, e int")
     b = spark.createDataFrame([("c", 90, 99)], "chrom string, bs int, be int")
     assert overlap_join(a, b, chrom="chrom", left_start=F.col("s"), left_end=F.col("e"), right_start="bs", right_end="be", how="left").count() == 1
+
+
+def test_labels_equal_all_pairs_without_making_them(spark):
+    """Windows and truths over several tiles, equal starts, nested truths, rows without a place."""
+    import random
+
+    rng = random.Random(5)
+    size = lambda: rng.choice([0, 1, 40, 300, 20_000])
+    cands = [(k, rng.choice("ab"), at := rng.randint(0, 40_000), at + size()) for k in range(400)] + [(900, None, 5, 9), (901, "a", None, None)]
+    truth = [(k, rng.choice("ab"), at := rng.randint(0, 400) * 100, at + size()) for k in range(300)]
+    a = spark.createDataFrame(cands, "cand_id int, chrom string, start int, end int")
+    b = spark.createDataFrame(truth, "t_id int, chrom string, t_start int, t_end int")
+    made = label.classify(a, b)
+    got = {r.cand_id: (r.n_truth, r.truth_id) for r in made.collect()}
+    want = {}
+    for k, c, s, e in cands:
+        met = [(x, y, t) for t, d, x, y in truth if c == d and s is not None and x < e + 50 and y > max(0, s - 50)]
+        want[k] = (len(met), max(met)[2] if met else None)
+    assert got == want
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
