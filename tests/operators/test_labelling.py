@@ -166,3 +166,13 @@ def test_labels_equal_all_pairs_without_making_them(spark):
         want[k] = (len(met), max(met)[2] if met else None)
     assert got == want
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_reads_and_insertions_are_not_joined_again(spark):
+    reads = spark.createDataFrame([("c", 100, 200, "r", "c", 3), ("c", 100, 200, "q", "c", 4)], "chrom string, start int, end int, qname string, origin_chrom string, hg int")
+    insertions = spark.createDataFrame([("c", 150, 151, 1), ("c", 160, 161, 2)], "chrom string, i_start int, i_end int, ins_id int")
+    carriers = spark.createDataFrame([(1, 3), (1, 3), (1, 5)], "ins_id int, hg int")
+    made = label.support(reads, insertions, carriers)
+    assert sorted((r.qname, r.ins_id, r.supports) for r in made.collect()) == [("q", 1, False), ("q", 2, False), ("r", 1, True), ("r", 2, False)]
+    top = made._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1]
+    assert "__bin" in top
