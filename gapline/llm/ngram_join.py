@@ -89,39 +89,57 @@ def _hasher() -> Hasher:
     return Hasher(21)
 
 
-def _sets(batch_text: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, ascending distinct element hashes) of each text."""
+def _piece_sets(batch_text: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ascending distinct element hashes of each text, end to end, their bounds) of every piece."""
     hasher = _hasher()
-    for lo, hi, data, bounds in pieces(batch_text):
+    for lo, _, data, bounds in pieces(batch_text):
         starts, ends, first = find_words(data, bounds)
         words = hasher.words(FOLD[data], starts, ends)
         grams = hasher.grams(words, shingle)
         size = np.diff(first)
         short = np.flatnonzero((size > 0) & (size < shingle))
-        alone = dict(zip(short.tolist(), hasher.ranges(words, first[short], first[short + 1])[:, None], strict=True))
-        for k in range(hi - lo):
-            if size[k] >= shingle:
-                yield lo + k, np.unique(grams[first[k] : first[k + 1] - shingle + 1])
-            else:
-                yield lo + k, alone.get(k, words[:0])
+        count = np.where(size >= shingle, size - shingle + 1, size > 0)
+        at = np.append(0, np.cumsum(count))
+        found = np.empty(at[-1], U64)
+        found[at[short]] = hasher.ranges(words, first[short], first[short + 1])
+        for k in np.flatnonzero(size >= shingle):
+            part = found[at[k] : at[k + 1]]
+            part[:] = grams[first[k] : first[k] + count[k]]
+            part.sort()
+        new = np.ones(len(found), bool)
+        new[1:] = found[1:] != found[:-1]
+        new[at[:-1][count > 0]] = True
+        yield lo, found[new], np.append(0, np.cumsum(new))[at]
+
+
+def _sets(batch_text: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, ascending distinct element hashes) of each text."""
+    for lo, elements, bounds in _piece_sets(batch_text, shingle):
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), lo):
+            yield k, elements[a:b]
 
 
-def _set_id(elements: np.ndarray, bits: int = 64) -> tuple[int, int]:
-    """Two numbers, the same for equal sets, the first of ``bits`` bits."""
-    if not len(elements):
-        return 0, 0
-    sums = np.array([mix(elements ^ U64(0x9E3779B97F4A7C15)).sum(dtype=U64), mix(elements + U64(0x2545F4914F6CDD1D)).sum(dtype=U64)], U64)
-    sums = mix(sums + U64(len(elements)) * U64(0x9FB21C651E98DF25))
-    return int(signed(sums[:1] >> U64(64 - bits))[0]), int(signed(sums)[1])
+def _set_ids(elements: np.ndarray, bounds: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Two numbers for each set, the same for equal sets, the first of ``bits`` bits."""
+    n = np.diff(bounds)
+    some = np.flatnonzero(n)
+    sums = np.zeros((2, len(n)), U64)
+    if len(some):
+        for row, salted in enumerate((elements ^ U64(0x9E3779B97F4A7C15), elements + U64(0x2545F4914F6CDD1D))):
+            sums[row, some] = np.add.reduceat(mix(salted), bounds[some])
+        sums[:, some] = mix(sums[:, some] + n[some].astype(U64) * U64(0x9FB21C651E98DF25))
+    return list(zip(signed(sums[0] >> U64(64 - bits)).tolist(), signed(sums[1]).tolist(), strict=True))
 
 
 Names = dict[tuple[int, int], int]
 
 
-def _name(elements: np.ndarray, renamed: Names, bits: int) -> int:
-    """The set's id: its first number, or another one if a different set has that too."""
-    ids = _set_id(elements, bits)
-    return renamed.get(ids, ids[0])
+def _named_sets(batch_text: pa.Array, shingle: int, bits: int) -> Iterator[tuple[int, tuple[int, int], np.ndarray]]:
+    """(row, the set's two numbers, ascending distinct element hashes) of each text."""
+    for lo, elements, bounds in _piece_sets(batch_text, shingle):
+        ids = _set_ids(elements, bounds, bits)
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            yield lo + k, ids[k], elements[a:b]
 
 
 def _parity(elements: np.ndarray) -> bytes:
@@ -158,12 +176,11 @@ def _describe(batches: Iterator[pa.RecordBatch], shingle: int, id_bits: int, wid
 
     for batch in batches:
         out = []
-        for _, s in _sets(batch.column(4), shingle):
-            sid = _set_id(s, id_bits)
+        for _, sid, s in _named_sets(batch.column(4), shingle, id_bits):
             out.append((*sid, len(s), _parity(s)))
             if len(s) and sid not in seen:
                 seen.add(sid)
-                yield from map(segments, counts.add(s))
+                yield from map(segments, counts.add(s.copy()))  # a part would hold the whole piece
         made = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
         none = [pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.binary())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made, *none], names=names)
@@ -281,9 +298,9 @@ def _signatures(
 
     for batch in batches:
         signs, sids, infos, held, texts, owners = [], [], [], 0, [], []
-        for i, s in _sets(batch.column(0), shingle):
+        for i, ids, s in _named_sets(batch.column(0), shingle, id_bits):
             n = len(s)
-            sid = _name(s, renamed, id_bits)
+            sid = renamed.get(ids, ids[0])  # or another one if a different set has that too
             if not budgets(n, percent)[1] or sid in seen:  # a set with no room for a different partner, or one done already
                 continue
             seen.add(sid)

@@ -67,11 +67,12 @@ class Partial:
     def _sum(self) -> None:
         new = np.concatenate([cells(k, row, self.width) for k in self.waiting for row in range(self.depth)])
         at, n = np.unique(new, return_counts=True)
-        every, back = np.unique(np.concatenate([self.places, at]), return_inverse=True)
-        total = np.zeros(len(every), np.int64)
-        total[back[: len(self.places)]] = self.counts
-        total[back[len(self.places) :]] += n
-        self.places, self.counts, self.waiting, self.size = every, total, [], 0
+        here = np.searchsorted(self.places, at)
+        known = np.append(self.places, -1)[here] == at
+        self.counts[here[known]] += n[known]
+        self.places = np.insert(self.places, here[~known], at[~known])
+        self.counts = np.insert(self.counts, here[~known], n[~known])
+        self.waiting, self.size = [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         """Count the keys; yields (segments, their counters) when many are held."""

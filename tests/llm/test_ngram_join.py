@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from gapline.llm import ngram_join
+from gapline.llm import ngram_join, sketch
 from gapline.llm.ngram_join import Classes, combinations, jaccard_components, jaccard_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,3 +158,40 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(df).count() == 0
     assert jaccard_dedup(df).count() == 0
+
+
+def test_a_piece_of_texts_is_hashed_at_once(monkeypatch):
+    rng = random.Random(7)
+    rows = [None, "", "a B", "a  b", *(" ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 60))) for _ in range(400))]
+    calls = []
+    mix = ngram_join.mix
+    monkeypatch.setattr(ngram_join, "mix", lambda x: calls.append(len(x)) or mix(x))
+    nothing = pa.nulls(len(rows), pa.int64())
+    batch = pa.RecordBatch.from_arrays([nothing] * 4 + [pa.array(rows)], names=["nil", "doc", "t1", "t2", "text"])
+    out = [x for x in ngram_join._describe(iter([batch]), 4, 64, 1 << 10) if x.column("segment").null_count]
+    assert len(calls) <= 6  # three for each text before
+    words = [tuple(WORD.findall((t or "").translate(FOLD))) for t in rows]
+    sets = [{w[k : k + 4] for k in range(max(1, len(w) - 3))} if w else set() for w in words]
+    assert out[0].column("n").to_pylist() == [len(s) for s in sets]
+    ids = list(zip(out[0].column("raw").to_pylist(), out[0].column("check").to_pylist(), strict=True))
+    assert len(set(ids)) == len({frozenset(s) for s in sets}) == len({(i, frozenset(s)) for i, s in zip(ids, sets, strict=True)})
+
+
+def test_the_sketch_sorts_each_key_once(monkeypatch):
+    monkeypatch.setattr(sketch, "STEP", 500)
+    rng, width, depth = np.random.default_rng(8), 1 << 16, 2
+    keys = [rng.integers(0, 20_000, 100, dtype=np.uint64) for _ in range(200)]
+    given = []
+    unique = np.unique
+    monkeypatch.setattr(sketch.np, "unique", lambda x, **kw: given.append(len(x)) or unique(x, **kw))
+    made = sketch.Partial(depth, width)
+    found = [x for k in keys for x in made.add(k)] + list(made.rest())
+    assert sum(given) == depth * 200 * 100  # what was held already was sorted again at each step before
+    counts = np.zeros(depth * width, np.int64)
+    for segments, packed in found:
+        for segment, data in zip(segments, packed, strict=True):
+            at, n = sketch.unpack(data)
+            counts[segment * sketch.SEGMENT + at] += n
+    every = np.concatenate(keys)
+    expected = sum(np.bincount(sketch.cells(every, row, width), minlength=depth * width) for row in range(depth))
+    assert (counts == expected).all()
